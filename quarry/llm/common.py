@@ -108,12 +108,21 @@ def range_of(col, bounds: list):
     return F.when(F.col(name).isNull(), F.lit(0)).otherwise(F.expr(f"size(filter({text}, b -> b <= {name}))"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_by(docs: DataFrame, ids: DataFrame, count: int, how: str) -> DataFrame:
     """docs left semi or anti joined to ids(doc_id); broadcast only where count allows it.
 
     Null ids match null ids.
     """
-    small = ids.select(F.col("doc_id").alias("__id"))
+    name = fresh(docs, "other_id")
+    small = ids.select(F.col("doc_id").alias(name))
     if count <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    return docs.join(small, docs["doc_id"].eqNullSafe(F.col("__id")), how)
+    return docs.join(small, docs["doc_id"].eqNullSafe(F.col(name)), how)

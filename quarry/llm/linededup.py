@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, arrow_map, stored
+from quarry.llm.common import BROADCAST_ROWS, arrow_map, fresh, stored
 from quarry.llm.words import chunks, words
 
 #: Lines of fewer words stay; similarity from which a later line goes; counters of the rarity sketch.
@@ -212,12 +212,15 @@ def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
     A text that loses nothing is unchanged, null included.
     """
-    lost = stored(dropped_lines(docs, least).select(F.col("doc_id").alias("__of"), F.col("lines").alias("__lost")), "lines-lost")
-    n = lost.agg(F.sum(F.size("__lost") + 4)).first()[0] or 0
+    of, lost_lines = fresh(docs, "lines_of"), fresh(docs, "lost_lines")
+    lost = stored(dropped_lines(docs, least).select(F.col("doc_id").alias(of), F.col("lines").alias(lost_lines)), "lines-lost")
+    n = lost.agg(F.sum(F.size(lost_lines) + 4)).first()[0] or 0
     side = F.broadcast(lost) if n <= 4 * BROADCAST_ROWS else lost
-    joined = docs.join(side, F.col("__of").eqNullSafe(docs["doc_id"]), "left")
+    joined = docs.join(side, F.col(of).eqNullSafe(docs["doc_id"]), "left")
     lines = F.split(F.col("text"), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__lost"), i)), "\n")
-    out = joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__lost"), F.lit(0)).cast("long")})
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-    return out.withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(kept)).drop("__of", "__lost")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(lost_lines), i)), "\n")
+    joined = joined.withColumns({
+        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
+        "n_removed": F.when(F.col(lost_lines).isNull(), F.lit(0)).otherwise(F.size(lost_lines)).cast("long"),
+    })
+    return joined.withColumn("text", F.when(F.col(lost_lines).isNull(), F.col("text")).otherwise(kept)).drop(of, lost_lines)

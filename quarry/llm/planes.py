@@ -126,7 +126,7 @@ class PlaneReader:
 
     def documents(self):
         """(doc_id, ids) in order, one block in memory at a time beside the current document."""
-        have, left, i = [], 0, 0
+        have, left, i = [np.zeros(0, "<u4")], 0, 0
         for doc_id, n in zip(self.doc_ids, self.counts.tolist(), strict=True):
             while left < n:
                 have.append(self.block(i))
