@@ -14,6 +14,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: Texts whose spaces stand next to other white space are encoded in one piece.
 SPACE_RUN = re.compile(r" [ \t\n\r\x0b\x0c]|[\t\n\r\x0b\x0c] ")
+#: Marks that end a word and never join its match.
+MARKS = ".,;:!?"
 #: Pieces kept in each of the two generations of a cache.
 CACHE_PIECES = 500_000
 LONGEST_PIECE = 64
@@ -78,11 +80,20 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(raw)], dtype="<u4").tobytes()
 
     def after_space(self, piece: str) -> bytes:
-        return self.merged(f" {piece}") if piece.isalpha() else self.whole(f" {piece}")
+        if piece.isalpha():
+            return self.merged(f" {piece}")
+        body = piece.rstrip(MARKS)
+        if body.isalpha():  # splitting cuts between letters and marks
+            return self.rest[body] + self.heads[piece[len(body) :]]
+        return self.whole(f" {piece}")
 
     def word(self, piece: str) -> bytes:
-        if piece.isalpha() and max(piece) < "İ":  # composed Latin letters: lower case is all that normalizing does
-            return self.merged(piece.lower())
+        if piece.isalpha():
+            # of composed Latin letters, lower case is all that normalizing does
+            return self.merged(piece.lower()) if max(piece) < "İ" else self.whole(piece)
+        body = piece.rstrip(MARKS)
+        if body.isalpha() and max(body) < "İ":
+            return self.words[body] + self.words[piece[len(body) :]]
         return self.whole(piece)
 
     def __call__(self, text: str | None) -> bytes:
