@@ -1,11 +1,11 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Lines of equal sets form a class. Each class
-orders its words by rarity over the corpus and posts those of its prefix;
-classes that share a posted word are joined under the length, positional and
-bitmap filters, which all are upper bounds, and the Jaccard similarity of the
-survivors is computed exactly. A line goes if an earlier line (by doc_id, then
-line number) is similar.
+A line is the set of its words. Later lines of the same words in the same
+numbers go first, by a key. The others order their words by rarity over the
+corpus and post those of their prefix; postings of a word meet in one task,
+where the length, positional and bitmap filters, all of them upper bounds,
+leave candidates, and the Jaccard similarity of these is computed exactly. A
+line goes if an earlier line (by doc_id, then line number) is similar.
 """
 
 from __future__ import annotations
@@ -17,194 +17,305 @@ from pyspark.sql import functions as F
 from quarry.llm.common import BROADCAST_ROWS, arrow_map, fresh, stored
 from quarry.llm.words import chunks, words
 
-#: Lines of fewer words stay; similarity from which a later line goes; counters of the rarity sketch.
+#: Lines of fewer words stay; similarity from which a later line goes, as a fraction.
 LEAST_WORDS, NUM, DEN = 5, 4, 5
+#: The rarity sketch: 2^18 counters (2 MB) whatever the corpus.
 SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 13
-#: A word posted by more classes than this is joined by its leaders first.
-HEAVY = 64
-
-
-def _line_sets(texts: list[str], least: int):
-    """Of all lines with enough words: text number, line number, and distinct word hashes (flat, with edges)."""
-    lines = [(t or "").split("\n") for t in texts]
-    flat = [x for own in lines for x in own]
-    counts = [len(x) for x in lines]
-    w = words(flat)
-    owner, h = w.owner, w.hashes
-    n_words = np.bincount(owner, minlength=len(flat))
-    long_ = n_words >= least
-    keep = long_[owner]
-    owner, h = owner[keep], h[keep]
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
-    owner, h = owner[first], h[first]
-    at = np.flatnonzero(long_)
-    edges = np.searchsorted(owner, np.append(at, len(flat)))
-    text_no = np.repeat(np.arange(len(texts)), counts)
-    line_no = np.arange(len(flat)) - np.repeat(np.cumsum([0, *counts[:-1]]), counts)
-    return text_no[at], line_no[at], h, edges
-
-
-def _key(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, whatever the order."""
-    x = h * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return np.add.reduceat(x, edges[:-1]).view(np.int64) if len(edges) > 1 else np.zeros(0, np.int64)
-
-
-def line_table(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, line_no, key, words (distinct word hashes, 8 bytes each, ascending) of each line of enough words."""
-
-    def run(batches):
-        for b in batches:
-            for ids, texts in chunks(b["doc_id"], b["text"]):
-                text_no, line_no, h, edges = _line_sets(texts, least)
-                raw = h.astype("<u8").tobytes()
-                cut = (edges * 8).tolist()
-                yield {"doc_id": [ids[i] for i in text_no.tolist()], "line_no": line_no, "key": _key(h, edges), "words": [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]}
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, line_no int, key bigint, words binary")
-
-
-def rarity(classes: DataFrame) -> np.ndarray:
-    """How many classes hold a word, by the first bits of its hash: 2^18 counters (2 MB) whatever the corpus.
-
-    Any fixed order of words gives the same pairs; this one makes short lists.
+#: Candidates that a posted line names at first; only a line none of whose candidates hold, and that has more, is looked at again.
+FIRST = 2
+_NULL = -(1 << 63)
+_BLOCK = 256
+
+
+class Lines:
+    """Of all lines with enough words in some texts: number of the text, number of the line in it, word hashes with edges."""
+
+    def __init__(self, texts: list, least: int):
+        w = words(texts)
+        raw = np.frombuffer(w.raw, np.uint8)
+        breaks = np.flatnonzero(raw == 10)  # every text ends with one, too
+        line = np.searchsorted(breaks, w.starts)
+        n = np.bincount(line, minlength=len(breaks))
+        keep = np.flatnonzero(n >= least)
+        ends = np.cumsum(np.fromiter((len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts), np.int64, len(texts)))
+        text = np.searchsorted(ends, breaks, side="right")
+        first = np.searchsorted(breaks, np.concatenate(([0], ends[:-1])))
+        self.text, self.line = text[keep], keep - first[text[keep]]
+        self.h = w.hashes[(n >= least)[line]]
+        self.edges = np.concatenate(([0], np.cumsum(n[keep])))
+
+    def keys(self) -> np.ndarray:
+        """A 64-bit name of the words of each line with their numbers, whatever the order."""
+        if not len(self.text):
+            return np.zeros(0, np.int64)
+        x = self.h * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        return np.add.reduceat(x, self.edges[:-1]).view(np.int64)
+
+    def take(self, rows: np.ndarray) -> None:
+        """Keeps only these lines."""
+        own = np.zeros(len(self.text), bool)
+        own[rows] = True
+        n = np.diff(self.edges)
+        self.h = self.h[np.repeat(own, n)]
+        self.text, self.line, self.edges = self.text[own], self.line[own], np.concatenate(([0], np.cumsum(n[own])))
+
+    def distinct(self, counts: np.ndarray | None = None) -> None:
+        """Each line's words once, ascending by hash, or by rarity and then hash."""
+        own = np.repeat(np.arange(len(self.text)), np.diff(self.edges))
+        order = np.lexsort((self.h, own) if counts is None else (self.h, counts[(self.h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], own))
+        h = self.h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
+        self.h = h[new]
+        self.edges = np.concatenate(([0], np.cumsum(np.bincount(own[new], minlength=len(self.text)))))
+
+
+def _id(doc_id) -> int:
+    return _NULL if doc_id is None else doc_id
+
+
+def survey(docs: DataFrame, least: int = LEAST_WORDS) -> tuple[DataFrame, np.ndarray]:
+    """The table of lines (doc, line_no, key), and how often words occur in them, counted by the first bits of their hash.
+
+    doc is doc_id, the least long for null. Any fixed order of words gives
+    the same pairs; rarity makes short lists. The driver gets 32 rows of 64 kB.
     """
 
-    def count(batches):
+    def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            h = np.frombuffer(b"".join(b["words"]), "<u8")
-            total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            for ids, texts in chunks(b["doc_id"], b["text"]):
+                lines = Lines(texts, least)
+                total += np.bincount((lines.h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                ids = np.array([_id(i) for i in ids], np.int64)
+                none = [None] * len(lines.text)
+                yield {"doc": ids[lines.text], "line_no": lines.line, "key": lines.keys(), "block": none, "counts": none}
         blocks = total.reshape(-1, SKETCH_BLOCK).astype("<u4")
-        yield {"block": np.arange(len(blocks)), "counts": [x.tobytes() for x in blocks]}
+        none = [None] * len(blocks)
+        yield {"doc": none, "line_no": none, "key": none, "block": np.arange(len(blocks)), "counts": [x.tobytes() for x in blocks]}
 
     def add(pdf):
-        total = np.zeros(SKETCH_BLOCK, np.int64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(x, "<u4")
         import pandas as pd
 
+        total = sum((np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["counts"]), np.zeros(SKETCH_BLOCK, np.int64))
         return pd.DataFrame({"block": pdf["block"][:1].to_numpy(), "counts": [total.astype("<i8").tobytes()]})
 
-    parts = arrow_map(classes.select("words"), count, "block int, counts binary")
-    rows = sorted(parts.groupBy("block").applyInPandas(add, "block int, counts binary").collect())
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    both = stored(arrow_map(docs.select("doc_id", "text"), run, "doc bigint, line_no int, key bigint, block int, counts binary"), "lines")
+    rows = both.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
-        out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.counts, "<i8")
-    return out
+        counts[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.counts, "<i8")
+    return both.where("block IS NULL").select("doc", "line_no", "key"), counts
+
+
+def _by_doc(lines: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """(doc, lines) of distinct lines(doc, line_no), stored, and how many lines there are."""
+    out = stored(lines.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("lines")), label)
+    return out, out.agg(F.coalesce(F.sum(F.size("lines") + 2), F.lit(0))).first()[0]
+
+
+def _with_lines(docs: DataFrame, lines: DataFrame, size: int, how: str) -> DataFrame:
+    """doc_id, text, lines of docs joined to (doc, lines); broadcast only up to a size."""
+    side = F.broadcast(lines) if size <= 4 * BROADCAST_ROWS else lines
+    own = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NULL)).alias("own"))
+    return own.join(side, F.col("own") == F.col("doc"), how).select("doc_id", "text", "lines")
 
 
-def postings(classes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """For each prefix word of each class: word, place in the ordered set, key, n, marks, doc_id, line_no.
+def _rows_of(lines: Lines, wanted: list, inside: bool) -> np.ndarray:
+    """Rows of the lines whose number is in wanted (a list or None for each text), or is not."""
+    sizes = np.fromiter((len(x or ()) for x in wanted), np.int64, len(wanted))
+    flat = np.fromiter((k for x in wanted for k in x or ()), np.int64, int(sizes.sum()))
+    names = np.repeat(np.arange(len(wanted)), sizes) << 32 | flat
+    return np.flatnonzero(np.isin((lines.text.astype(np.int64) << 32) | lines.line, names) == inside)
+
+
+def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS) -> DataFrame:
+    """For each prefix word of each line of docs(doc_id, text, lines) that isn't in lines: word, doc, line_no, place, n, marks.
 
     The prefix of a set of n words has n - ceil(0.8 n) + 1 words. marks: a
     64-bit map with a bit for each word.
     """
-    held = classes.sparkSession.sparkContext.broadcast(counts)
+    held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for b in batches:
-            n = np.array([len(x) // 8 for x in b["words"]])
-            h = np.frombuffer(b"".join(b["words"]), "<u8")
-            edges = np.concatenate(([0], np.cumsum(n)))
-            own = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, held.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], own))
-            place = np.arange(len(h)) - edges[own]
-            marks = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), edges[:-1]).view(np.int64)
-            prefix = n - (NUM * n + DEN - 1) // DEN + 1
-            take = place < prefix[own]
-            at = own[take]
-            ids, lines, keys = np.array(b["doc_id"], object), np.array(b["line_no"]), np.array(b["key"])
-            yield {"word": h[order][take].view(np.int64), "place": place[take], "key": keys[at], "n": n[at], "marks": marks[at], "doc_id": ids[at], "line_no": lines[at]}
-
-    return arrow_map(classes.select("doc_id", "line_no", "key", "words"), run, "word bigint, place int, key bigint, n int, marks bigint, doc_id bigint, line_no int")
-
-
-def _before(a: str, b: str) -> str:
-    """a's first line comes before b's: null doc_id first."""
-    at = lambda x: f"coalesce({x}.doc_id, {-(1 << 63)}L)"
-    return f"({at(a)} < {at(b)} OR ({at(a)} = {at(b)} AND ({a}.line_no < {b}.line_no OR ({a}.line_no = {b}.line_no AND {a}.key < {b}.key))))"
-
-
-#: Words that two sets must share at least, and what the filters leave possible.
-_NEED = f"cast(ceil({NUM} * (a.n + b.n) / {NUM + DEN}.0D - 1e-9D) as int)"
-_MAY = f"""{DEN} * a.n >= {NUM} * b.n AND {DEN} * b.n >= {NUM} * a.n
-  AND 1 + least(a.n - a.place - 1, b.n - b.place - 1) + least(a.place, b.place) >= {_NEED}
-  AND bit_count(a.marks ^ b.marks) <= a.n + b.n - 2 * {_NEED}"""
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, count: int) -> DataFrame:
-    """Of pairs (old, new) the keys new whose similarity is 0.8 or more, each once."""
-    sets = classes.select(F.col("key").alias("k"), "words")
-    ids = pairs.select(F.col("old").alias("i")).union(pairs.select(F.col("new").alias("i"))).distinct()
-    ids = F.broadcast(ids) if 2 * count <= BROADCAST_ROWS else ids
-    sets = sets.join(ids, F.col("k") == F.col("i"), "left_semi")
-    both = pairs.join(sets.select(F.col("k").alias("old"), F.col("words").alias("x")), "old").join(sets.select(F.col("k").alias("new"), F.col("words").alias("y")), "new")
+            for at, texts in chunks(range(len(b["text"])), b["text"]):
+                lines = Lines(texts, least)
+                lines.take(_rows_of(lines, [b["lines"][i] for i in at], False))
+                if not len(lines.text):
+                    continue
+                lines.distinct(held.value)
+                n = np.diff(lines.edges)
+                own = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(lines.h)) - lines.edges[own]
+                marks = np.bitwise_or.reduceat(np.uint64(1) << (lines.h & np.uint64(63)), lines.edges[:-1]).view(np.int64)
+                take = place < (n - (NUM * n + DEN - 1) // DEN + 1)[own]
+                row = own[take]
+                ids = np.array([_id(b["doc_id"][i]) for i in at], np.int64)
+                yield {"word": lines.h[take].view(np.int64), "doc": ids[lines.text][row], "line_no": lines.line[row], "place": place[take], "n": n[row], "marks": marks[row]}
+
+    return arrow_map(docs, run, "word bigint, doc bigint, line_no int, place int, n int, marks bigint")
+
+
+def _pass(a: dict, b: dict) -> np.ndarray:
+    """Which pairs of postings of one word (columns that broadcast) the filters leave."""
+    need = -(-NUM * (a["n"] + b["n"]) // (NUM + DEN))
+    good = (DEN * a["n"] >= NUM * b["n"]) & (DEN * b["n"] >= NUM * a["n"])
+    good &= np.minimum(a["n"] - a["place"], b["n"] - b["place"]) + np.minimum(a["place"], b["place"]) >= need
+    return good & (np.bitwise_count((a["marks"] ^ b["marks"]).view(np.uint64)).astype(np.int64) <= a["n"] + b["n"] - 2 * need)
+
+
+def _run_pairs(cols: dict, first: int | None, again: np.ndarray | None):
+    """Candidates within one word's postings, in line order: (old, new) row numbers, and rows that have more than first."""
+    n, out, more = len(cols["n"]), [], []
+    for at in range(0, n, _BLOCK):
+        rows = np.arange(at, min(at + _BLOCK, n))
+        if again is not None:
+            rows = rows[again[rows]]
+        if not len(rows):
+            continue
+        new = {k: v[rows, None] for k, v in cols.items()}
+        count = np.zeros(len(rows), np.int64)
+        for lo in range(0, int(rows[-1]), 8192):
+            old = {k: v[None, lo : lo + 8192] for k, v in cols.items()}
+            good = _pass(old, new) & (np.arange(lo, lo + old["n"].shape[1])[None] < rows[:, None])
+            i, j = np.nonzero(good)
+            if first is not None:
+                rank = np.arange(len(i)) - np.searchsorted(i, i) + count[i]
+                count += good.sum(1)
+                i, j = i[rank < first], j[rank < first]
+            out.append((j + lo, rows[i]))
+        if first is not None:
+            more.append(rows[count > first])
+    old, new = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
+    return old, new, np.concatenate(more) if more else np.zeros(0, int)
+
+
+def _pairs_two(cols: dict, starts: np.ndarray):
+    """Candidates of the words with exactly two postings, all at once."""
+    a, b = ({k: v[starts + d] for k, v in cols.items()} for d in (0, 1))
+    good = _pass(a, b)
+    return starts[good], starts[good] + 1
+
+
+def candidates(posts: DataFrame, first: int | None = FIRST) -> DataFrame:
+    """(old_doc, old_line, doc, line_no, more) of lines that share a posted word and pass the filters.
+
+    posts may have a column again: then only lines where it is true look for
+    earlier ones, for all of them. A word's postings are one task's work, in
+    blocks; they are read in order, so no list is ever held twice.
+    """
+    names = ["word", "doc", "line_no", "place", "n", "marks", *(["again"] if "again" in posts.columns else [])]
+    dealt = posts.select(*names).repartition("word").sortWithinPartitions("word", "doc", "line_no")
 
     def run(batches):
+        kept: list[dict] = []
+
+        def work(cols):
+            word = cols["word"]
+            edges = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
+            size = np.diff(edges)
+            own = {k: cols[k] for k in ("n", "place", "marks")}
+            again = cols.get("again")
+            old, new, more = [], [], []
+            two = edges[:-1][size == 2]
+            a, b = _pairs_two(own, two)
+            if again is not None:
+                a, b = a[again[b]], b[again[b]]
+            old.append(a)
+            new.append(b)
+            for at, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                part = slice(at, at + n)
+                x, y, z = _run_pairs({k: v[part] for k, v in own.items()}, None if again is not None else first, None if again is None else again[part])
+                old.append(x + at)
+                new.append(y + at)
+                more.append(z + at)
+            o, w = np.concatenate(old), np.concatenate(new)
+            flag = np.zeros(len(word), bool)
+            if more:
+                flag[np.concatenate(more)] = True
+            if len(o):
+                yield {"old_doc": cols["doc"][o], "old_line": cols["line_no"][o], "doc": cols["doc"][w], "line_no": cols["line_no"][w], "more": flag[w]}
+
         for b in batches:
-            good = []
-            for key, x, y in zip(b["new"], b["x"], b["y"], strict=True):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                if DEN * shared >= NUM * (len(p) + len(q) - shared):
-                    good.append(key)
-            yield {"key": good}
+            cols = {k: np.array(b[k], dtype=bool if k == "again" else np.int64) for k in names}
+            last = len(cols["word"]) - int((cols["word"] == cols["word"][-1]).sum())
+            if last == 0:
+                kept.append(cols)
+                continue
+            kept.append({k: v[:last] for k, v in cols.items()})
+            yield from work({k: np.concatenate([x[k] for x in kept]) for k in names})
+            kept = [{k: v[last:] for k, v in cols.items()}]
+        if kept:
+            yield from work({k: np.concatenate([x[k] for x in kept]) for k in names})
 
-    return arrow_map(both.select("new", "x", "y"), run, "key bigint").distinct()
+    found = arrow_map(dealt, run, "old_doc bigint, old_line int, doc bigint, line_no int, more boolean")
+    return found.groupBy("old_doc", "old_line", "doc", "line_no").agg(F.max("more").alias("more"))
 
 
-def similar_later(classes: DataFrame) -> DataFrame:
-    """Keys of the classes that have a similar class whose first line is earlier.
+def similar(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Of candidate pairs the lines (doc, line_no) that have an earlier line of similarity 0.8 or more, each once.
 
-    A word that many classes post is joined with its earliest class of each
-    length range first: what that already removes needs no further partner,
-    so a large group of near copies doesn't meet itself. The rest is joined
-    with all earlier classes, so nothing is missed.
+    Only the lines that the pairs name are read again.
     """
-    posts = stored(postings(classes, rarity(classes)), "line-postings")
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "line_no", "key", "place", "n", "marks")
-    heavy = posts.groupBy("word").agg(F.count("*").alias("c"), F.min(order).alias("lead")).where(F.col("c") > HEAVY)
-    lead = stored(heavy.select("word", "lead.*"), "line-leaders").withColumnRenamed("d", "doc_id")
-    n_lead = lead.count()
-    gone = None
-    if n_lead:
-        side = F.broadcast(lead) if n_lead <= BROADCAST_ROWS else lead
-        met = posts.alias("b").join(side.alias("a"), F.expr(f"a.word = b.word AND a.key <> b.key AND {_MAY} AND {_before('a', 'b')}"))
-        led = stored(met.select(F.col("a.key").alias("old"), F.col("b.key").alias("new")).distinct(), "line-led")
-        gone = stored(_verified(led, classes, led.count()), "line-gone")
-    later = posts
-    if gone is not None:
-        n_gone = gone.count()
-        later = posts.join(F.broadcast(gone) if n_gone <= BROADCAST_ROWS else gone, "key", "left_anti").select(posts.columns)
-    met = posts.alias("a").join(later.alias("b"), F.expr(f"a.word = b.word AND a.key <> b.key AND {_MAY} AND {_before('a', 'b')}"))
-    pairs = stored(met.select(F.col("a.key").alias("old"), F.col("b.key").alias("new")).distinct(), "line-pairs")
-    more = _verified(pairs, classes, pairs.count())
-    return (more if gone is None else more.union(gone)).distinct()
+    named = pairs.select("doc", "line_no").union(pairs.select("old_doc", "old_line"))
+    wanted, size = _by_doc(named, "lines-named")
+
+    def sets(batches):
+        for b in batches:
+            for at, texts in chunks(range(len(b["text"])), b["text"]):
+                lines = Lines(texts, least)
+                lines.take(_rows_of(lines, [b["lines"][i] for i in at], True))
+                lines.distinct()
+                raw, cut = lines.h.astype("<u8").tobytes(), (lines.edges * 8).tolist()
+                ids = np.array([_id(b["doc_id"][i]) for i in at], np.int64)
+                yield {"doc": ids[lines.text], "line_no": lines.line, "words": [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)]}
+
+    table = stored(arrow_map(_with_lines(docs, wanted, size, "inner"), sets, "doc bigint, line_no int, words binary").dropDuplicates(["doc", "line_no"]), "line-sets")
+    old = table.select(F.col("doc").alias("old_doc"), F.col("line_no").alias("old_line"), F.col("words").alias("x"))
+    both = pairs.join(old, ["old_doc", "old_line"]).join(table, ["doc", "line_no"])
+
+    def run(batches):
+        for b in batches:
+            good = []
+            for i, (x, y) in enumerate(zip(b["x"], b["words"], strict=True)):
+                if x == y:
+                    good.append(i)
+                    continue
+                p, q = set(np.frombuffer(x, "<u8").tolist()), np.frombuffer(y, "<u8").tolist()
+                shared = sum(w in p for w in q)
+                if DEN * shared >= NUM * (len(p) + len(q) - shared):
+                    good.append(i)
+            yield {"doc": [b["doc"][i] for i in good], "line_no": [b["line_no"][i] for i in good]}
+
+    return arrow_map(both.select("doc", "line_no", "x", "words"), run, "doc bigint, line_no int").distinct()
 
 
 def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, lines: the numbers of the lines that go, ascending, of documents that lose any.
 
-    Lines of fewer than least words always stay. Rows that repeat a doc_id
-    are told apart by nothing: a line number goes from each, so give every
-    row its own id. Null doc_id come first; null texts have no lines.
+    Lines of fewer than least words always stay. Null doc_id come first; null
+    texts have no lines. Rows that repeat a doc_id aren't told apart: line
+    numbers go from each of them.
     """
-    table = stored(line_table(docs, least), "lines")
-    first = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("doc_id"), F.col("line_no"))
-    classes = stored(table.groupBy("key").agg(F.min(first).alias("f"), F.min("words").alias("words")).select("key", "f.doc_id", "f.line_no", "words"), "line-classes")
-    later = stored(similar_later(classes).select("key", F.lit(True).alias("late")), "line-later")
-    n = later.count()
-    marked = classes.select("key", F.col("doc_id").alias("d"), F.col("line_no").alias("l")).join(F.broadcast(later) if n <= BROADCAST_ROWS else later, "key", "left")
-    lines = table.select("doc_id", "line_no", "key").join(marked, "key")
-    lost = lines.where(F.coalesce("late", F.lit(False)) | ~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))))
-    return lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    table, counts = survey(docs, least)
+    first = table.groupBy("key").agg(F.min(F.struct("doc", "line_no")).alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), "f")
+    copies = table.join(first, F.col("key") == F.col("k")).where((F.col("doc") != F.col("f.doc")) | (F.col("line_no") != F.col("f.line_no")))
+    copies, n = _by_doc(copies.select("doc", "line_no"), "line-copies")
+    posts = postings(_with_lines(docs, copies, n, "left"), counts, least)
+    pairs = stored(candidates(posts), "line-pairs")
+    late = stored(similar(docs, pairs, least), "line-later")
+    open_ = pairs.groupBy("doc", "line_no").agg(F.max("more").alias("more")).where("more").select("doc", "line_no").join(late, ["doc", "line_no"], "left_anti")
+    open_ = stored(open_, "lines-open")
+    if open_.count():
+        flagged = posts.join(open_.withColumn("again", F.lit(True)), ["doc", "line_no"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
+        late = late.union(similar(docs, stored(candidates(flagged), "line-pairs-again"), least))
+    lost = copies.select("doc", F.explode("lines").alias("line_no")).union(late)
+    lost = lost.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    return lost.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), "lines")
 
 
 def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -214,7 +325,7 @@ def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """
     of, lost_lines = fresh(docs, "lines_of"), fresh(docs, "lost_lines")
     lost = stored(dropped_lines(docs, least).select(F.col("doc_id").alias(of), F.col("lines").alias(lost_lines)), "lines-lost")
-    n = lost.agg(F.sum(F.size(lost_lines) + 4)).first()[0] or 0
+    n = lost.agg(F.sum(F.size(lost_lines) + 2)).first()[0] or 0
     side = F.broadcast(lost) if n <= 4 * BROADCAST_ROWS else lost
     joined = docs.join(side, F.col(of).eqNullSafe(docs["doc_id"]), "left")
     lines = F.split(F.col("text"), "\n")

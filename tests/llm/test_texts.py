@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarry.llm import bpe, iblt, langid, linededup, packing, planes, simhash
 from quarry.llm.tokens import Encoder
@@ -251,15 +252,19 @@ def plain_line_dedup(docs, least=linededup.LEAST_WORDS):
     return dict(gone)
 
 
-def test_line_dedup(spark, monkeypatch):
+def test_line_dedup(spark):
     docs = docs_of(spark).select("doc_id", "text").where("length(text) < 4000")
     base = [f"w{i}" for i in range(40)]
     near = [(200000 + i, " ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) + f"\nplain line number {i} of five words") for i in range(40)]
     docs = docs.union(spark.createDataFrame(near, "doc_id bigint, text string"))
     want = plain_line_dedup([(r.doc_id, r.text) for r in docs.collect()])
-    for heavy in (3, 10**9):
-        monkeypatch.setattr(linededup, "HEAVY", heavy)
-        assert {r.doc_id: r.lines for r in linededup.dropped_lines(docs).collect()} == want
+    assert {r.doc_id: r.lines for r in linededup.dropped_lines(docs).collect()} == want
+    # the second look names every similar pair
+    _, counts = linededup.survey(docs)
+    posts = linededup.postings(docs.select("doc_id", "text", F.expr("cast(null as array<int>)").alias("lines")), counts).withColumn("again", F.lit(True))
+    got = {((r.old_doc, r.old_line), (r.doc, r.line_no)) for r in linededup.candidates(posts).collect()}
+    sets = {(r.doc_id, k): set(x.encode().lower().split()) for r in docs.collect() for k, x in enumerate(r.text.split("\n")) if len(x.split()) >= 5}
+    assert {(x, y) for x, y in itertools.combinations(sorted(sets), 2) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])} <= got
     hard = linededup.dedup(table(spark).dropDuplicates(["doc_id"]))
     assert hard.columns[: len(table(spark).columns)] == table(spark).columns
     own = {r.doc_id: r for r in hard.collect()}
