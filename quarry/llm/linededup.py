@@ -22,7 +22,9 @@ LEAST_WORDS, NUM, DEN = 5, 4, 5
 #: The rarity sketch: 2^18 counters (2 MB) whatever the corpus.
 SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 13
 #: Candidates that a posted line names at first; only a line none of whose candidates hold, and that has more, is looked at again.
-FIRST = 2
+FIRST = 8
+#: Words of up to so many postings are compared all at once.
+SMALL = 64
 _NULL = -(1 << 63)
 _BLOCK = 256
 
@@ -133,10 +135,12 @@ def _rows_of(lines: Lines, wanted: list, inside: bool) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS) -> DataFrame:
-    """For each prefix word of each line of docs(doc_id, text, lines) that isn't in lines: word, doc, line_no, place, n, marks.
+    """For each prefix word of each line of docs(doc_id, text, lines) that isn't in lines: word, doc, line_no, shape, marks, marks2.
 
-    The prefix of a set of n words has n - ceil(0.8 n) + 1 words. marks: a
-    64-bit map with a bit for each word.
+    The prefix of a set of n words has n - ceil(0.8 n) + 1 words. shape: the
+    word's place in the ordered set, and n. marks: 128 bits, each the parity
+    of the number of words that hash to it; two sets differ in at least as
+    many words as bits.
     """
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -151,13 +155,15 @@ def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS) -> D
                 n = np.diff(lines.edges)
                 own = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(lines.h)) - lines.edges[own]
-                marks = np.bitwise_or.reduceat(np.uint64(1) << (lines.h & np.uint64(63)), lines.edges[:-1]).view(np.int64)
+                bit = np.uint64(1) << (lines.h & np.uint64(63))
+                low = (lines.h >> np.uint64(6) & np.uint64(1)).astype(bool)
+                marks, marks2 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), lines.edges[:-1]).view(np.int64) for x in (low, ~low))
                 take = place < (n - (NUM * n + DEN - 1) // DEN + 1)[own]
                 row = own[take]
                 ids = np.array([_id(b["doc_id"][i]) for i in at], np.int64)
-                yield {"word": lines.h[take].view(np.int64), "doc": ids[lines.text][row], "line_no": lines.line[row], "place": place[take], "n": n[row], "marks": marks[row]}
+                yield {"word": lines.h[take].view(np.int64), "doc": ids[lines.text][row], "line_no": lines.line[row], "shape": place[take] << 32 | n[row], "marks": marks[row], "marks2": marks2[row]}
 
-    return arrow_map(docs, run, "word bigint, doc bigint, line_no int, place int, n int, marks bigint")
+    return arrow_map(docs, run, "word bigint, doc bigint, line_no int, shape bigint, marks bigint, marks2 bigint")
 
 
 def _pass(a: dict, b: dict) -> np.ndarray:
@@ -165,7 +171,8 @@ def _pass(a: dict, b: dict) -> np.ndarray:
     need = -(-NUM * (a["n"] + b["n"]) // (NUM + DEN))
     good = (DEN * a["n"] >= NUM * b["n"]) & (DEN * b["n"] >= NUM * a["n"])
     good &= np.minimum(a["n"] - a["place"], b["n"] - b["place"]) + np.minimum(a["place"], b["place"]) >= need
-    return good & (np.bitwise_count((a["marks"] ^ b["marks"]).view(np.uint64)).astype(np.int64) <= a["n"] + b["n"] - 2 * need)
+    ones = lambda k: np.bitwise_count((a[k] ^ b[k]).view(np.uint64)).astype(np.int64)
+    return good & (ones("marks") + ones("marks2") <= a["n"] + b["n"] - 2 * need)
 
 
 def _run_pairs(cols: dict, first: int | None, again: np.ndarray | None):
@@ -194,11 +201,22 @@ def _run_pairs(cols: dict, first: int | None, again: np.ndarray | None):
     return old, new, np.concatenate(more) if more else np.zeros(0, int)
 
 
-def _pairs_two(cols: dict, starts: np.ndarray):
-    """Candidates of the words with exactly two postings, all at once."""
-    a, b = ({k: v[starts + d] for k, v in cols.items()} for d in (0, 1))
-    good = _pass(a, b)
-    return starts[good], starts[good] + 1
+def _small_pairs(cols: dict, place: np.ndarray, first: int | None, again: np.ndarray | None):
+    """The same for many words of few postings at once; place: each row's place among its word's."""
+    out, rows = [], np.arange(len(place))
+    if again is not None:
+        rows = rows[again]
+    for d in range(1, int(place.max(initial=0)) + 1):
+        rows = rows[place[rows] >= d]
+        good = _pass({k: v[rows - d] for k, v in cols.items()}, {k: v[rows] for k, v in cols.items()})
+        out.append((rows[good] - d, rows[good]))
+    old, new = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
+    if first is None or not len(new):
+        return old, new, np.zeros(0, int)
+    order = np.lexsort((old, new))
+    old, new = old[order], new[order]
+    rank = np.arange(len(new)) - np.searchsorted(new, new)
+    return old[rank < first], new[rank < first], np.unique(new[rank >= first])
 
 
 def candidates(posts: DataFrame, first: int | None = FIRST) -> DataFrame:
@@ -208,7 +226,9 @@ def candidates(posts: DataFrame, first: int | None = FIRST) -> DataFrame:
     earlier ones, for all of them. A word's postings are one task's work, in
     blocks; they are read in order, so no list is ever held twice.
     """
-    names = ["word", "doc", "line_no", "place", "n", "marks", *(["again"] if "again" in posts.columns else [])]
+    more_of = "again" in posts.columns
+    first = None if more_of else first
+    names = ["word", "doc", "line_no", "shape", "marks", "marks2", *(["again"] if more_of else [])]
     dealt = posts.select(*names).repartition("word").sortWithinPartitions("word", "doc", "line_no")
 
     def run(batches):
@@ -218,25 +238,21 @@ def candidates(posts: DataFrame, first: int | None = FIRST) -> DataFrame:
             word = cols["word"]
             edges = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
             size = np.diff(edges)
-            own = {k: cols[k] for k in ("n", "place", "marks")}
+            own = {"n": cols["shape"] & 0xFFFFFFFF, "place": cols["shape"] >> 32, "marks": cols["marks"], "marks2": cols["marks2"]}
             again = cols.get("again")
-            old, new, more = [], [], []
-            two = edges[:-1][size == 2]
-            a, b = _pairs_two(own, two)
-            if again is not None:
-                a, b = a[again[b]], b[again[b]]
-            old.append(a)
-            new.append(b)
-            for at, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            few = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+            place = (np.arange(len(word)) - np.repeat(edges[:-1], size))[few]
+            x, y, z = _small_pairs({k: v[few] for k, v in own.items()}, place, first, None if again is None else again[few])
+            old, new, more = [few[x]], [few[y]], [few[z]]
+            for at, n in zip(edges[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
                 part = slice(at, at + n)
-                x, y, z = _run_pairs({k: v[part] for k, v in own.items()}, None if again is not None else first, None if again is None else again[part])
+                x, y, z = _run_pairs({k: v[part] for k, v in own.items()}, first, None if again is None else again[part])
                 old.append(x + at)
                 new.append(y + at)
                 more.append(z + at)
             o, w = np.concatenate(old), np.concatenate(new)
             flag = np.zeros(len(word), bool)
-            if more:
-                flag[np.concatenate(more)] = True
+            flag[np.concatenate(more)] = True
             if len(o):
                 yield {"old_doc": cols["doc"][o], "old_line": cols["line_no"][o], "doc": cols["doc"][w], "line_no": cols["line_no"][w], "more": flag[w]}
 
