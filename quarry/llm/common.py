@@ -65,8 +65,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema: str | StructType) -> DataFrame:
-    """mapInArrow for functions that take and give columns as lists or arrays."""
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema: str | StructType, arrays: bool = False) -> DataFrame:
+    """mapInArrow for functions that take and give columns as lists or arrays.
+
+    arrays: they take NumPy arrays, for columns of numbers without nulls.
+    """
     out = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     names = out.fieldNames()
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -77,7 +80,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[
         def columns():
             for b in batches:
                 if b.num_rows:
-                    yield {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+                    yield {n: b.column(i).to_numpy(zero_copy_only=False) if arrays else b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
 
         for got in fn(columns()):
             yield pa.RecordBatch.from_arrays([pa.array(got[n], type=to.field(n).type) for n in names], schema=to)

@@ -257,7 +257,7 @@ def candidates(posts: DataFrame, first: int | None = FIRST) -> DataFrame:
                 yield {"old_doc": cols["doc"][o], "old_line": cols["line_no"][o], "doc": cols["doc"][w], "line_no": cols["line_no"][w], "more": flag[w]}
 
         for b in batches:
-            cols = {k: np.array(b[k], dtype=bool if k == "again" else np.int64) for k in names}
+            cols = {k: b[k] for k in names}
             last = len(cols["word"]) - int((cols["word"] == cols["word"][-1]).sum())
             if last == 0:
                 kept.append(cols)
@@ -268,7 +268,7 @@ def candidates(posts: DataFrame, first: int | None = FIRST) -> DataFrame:
         if kept:
             yield from work({k: np.concatenate([x[k] for x in kept]) for k in names})
 
-    found = arrow_map(dealt, run, "old_doc bigint, old_line int, doc bigint, line_no int, more boolean")
+    found = arrow_map(dealt, run, "old_doc bigint, old_line int, doc bigint, line_no int, more boolean", arrays=True)
     return found.groupBy("old_doc", "old_line", "doc", "line_no").agg(F.max("more").alias("more"))
 
 
@@ -321,13 +321,17 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     first = table.groupBy("key").agg(F.min(F.struct("doc", "line_no")).alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), "f")
     copies = table.join(first, F.col("key") == F.col("k")).where((F.col("doc") != F.col("f.doc")) | (F.col("line_no") != F.col("f.line_no")))
     copies, n = _by_doc(copies.select("doc", "line_no"), "line-copies")
-    posts = postings(_with_lines(docs, copies, n, "left"), counts, least)
+    posts = stored(postings(_with_lines(docs, copies, n, "left"), counts, least), "line-postings")
     pairs = stored(candidates(posts), "line-pairs")
     late = stored(similar(docs, pairs, least), "line-later")
     open_ = pairs.groupBy("doc", "line_no").agg(F.max("more").alias("more")).where("more").select("doc", "line_no").join(late, ["doc", "line_no"], "left_anti")
     open_ = stored(open_, "lines-open")
     if open_.count():
-        flagged = posts.join(open_.withColumn("again", F.lit(True)), ["doc", "line_no"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
+        asked = posts.join(open_, ["doc", "line_no"]).select(F.col("word").alias("asked")).distinct()
+        asked = stored(asked, "line-words")
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+        flagged = posts.join(asked, F.col("word") == F.col("asked"), "left_semi")
+        flagged = flagged.join(open_.withColumn("again", F.lit(True)), ["doc", "line_no"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
         late = late.union(similar(docs, stored(candidates(flagged), "line-pairs-again"), least))
     lost = copies.select("doc", F.explode("lines").alias("line_no")).union(late)
     lost = lost.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
