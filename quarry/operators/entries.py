@@ -67,24 +67,30 @@ def read_with_entry(spark: SparkSession, path: str, entry: str = "entry") -> Dat
     return df.select(F.col("_metadata.row_index").alias(entry), *[F.col(f"`{c}`") for c in df.columns])
 
 
+def _bare(path: str) -> str:
+    """A path without scheme and leading slashes, as keys of files."""
+    return re.sub("^[a-z0-9]+:/*|^/+", "", path)
+
+
 def file_counts(spark: SparkSession, paths: list[str]) -> dict[str, int]:
     """Rows of each Parquet file, in the order of paths, from one pass that reads no column. A missing file counts 0."""
-    there = [p for p in paths if "://" in p or os.path.exists(p)]
+    there = [p for p in dict.fromkeys(paths) if "://" in p or os.path.exists(p)]
     got: dict[str, int] = {}
     if there:
         for r in spark.read.parquet(*there).groupBy(F.col("_metadata.file_path").alias("f")).count().collect():  # a row a file
-            got[r.f.split("://", 1)[-1].replace("//", "/").lstrip("/")] = r["count"]
+            got[_bare(r.f)] = r["count"]
     out = {}
     for p in paths:
-        key = p.split("://", 1)[-1].lstrip("/")
+        key = _bare(p)
         out[p] = sum(n for f, n in got.items() if f == key or f.startswith(f"{key}/"))
     return out
 
 
 def numentries(spark: SparkSession, paths, total: bool = True):
     """Row count of all files, or with total=False a dict of path -> count in order."""
-    counts = file_counts(spark, expand(paths))
-    return sum(counts.values()) if total else counts
+    files = expand(paths)
+    counts = file_counts(spark, files)
+    return sum(counts[p] for p in files) if total else counts
 
 
 def read_all(spark: SparkSession, paths, entry: str = "entry", file: str | None = None) -> DataFrame:
@@ -95,8 +101,9 @@ def read_all(spark: SparkSession, paths, entry: str = "entry", file: str | None
     number in the scan, without a shuffle.
     """
     parts, at = [], 0
-    counts = [(p, file_counts(spark, [p])[p]) for p in expand(paths)] if len(set(expand(paths))) < len(expand(paths)) else list(file_counts(spark, expand(paths)).items())
-    once = len({p for p, _ in counts}) == len(counts)
+    files = expand(paths)
+    of = file_counts(spark, files)
+    counts, once = [(p, of[p]) for p in files], len(of) == len(files)
     if once and len(counts) > 8:
         return _read_many(spark, counts, entry, file)
     for p, n in counts:
@@ -112,7 +119,7 @@ def read_all(spark: SparkSession, paths, entry: str = "entry", file: str | None
 def _read_many(spark: SparkSession, counts: list[tuple[str, int]], entry: str, file: str | None) -> DataFrame:
     at, rows = 0, []
     for p, n in counts:
-        rows.append((p.split("://", 1)[-1].lstrip("/"), p, at))
+        rows.append((_bare(p), p, at))
         at += n
     offsets = spark.createDataFrame(rows, "file_key string, file_path string, file_at bigint")
     offsets = F.broadcast(offsets) if len(rows) <= MOST_FILES else offsets
