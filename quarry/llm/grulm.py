@@ -321,7 +321,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
 
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for at, texts in chunks(range(len(b["text"])), b["text"], 1 << 23):
+            for at, texts in chunks(range(len(b["text"])), b["text"], 1 << 22):
                 w = words(texts)
                 entry, c = s.look_up(w.hashes)
                 edges = np.searchsorted(w.owner, np.arange(len(texts) + 1))
