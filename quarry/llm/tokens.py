@@ -6,6 +6,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -68,23 +69,38 @@ class Encoder:
         self.spaced = kind == "ByteLevel" and not spec.get("normalizer") and not spec["pre_tokenizer"].get("add_prefix_space") and spec["pre_tokenizer"].get("use_regex", True)
         self.worded = kind == "Sequence" and bool(spec["model"].get("end_of_word_suffix")) and '"Removed"' in json.dumps(spec["pre_tokenizer"])
         self.table = byte_letters()
-        self.heads, self.rest = Pieces(self.whole), Pieces(self.after_space)
+        self.heads, self.rest = Pieces(self.head), Pieces(self.after_space)
         self.words = Pieces(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def merged(self, letters: str) -> bytes:
-        """Ids of one run of letters, which no splitting cuts."""
-        raw = letters.encode().decode("latin1").translate(self.table)
-        return np.array([t.id for t in self.model.tokenize(raw)], dtype="<u4").tobytes()
+    def merged(self, letters: str, space: str = "") -> bytes:
+        """Ids of one run of letters, after a space or none, which no splitting cuts."""
+        if letters.isascii():  # these stand for themselves
+            raw = f"{space and self.table[32]}{letters}"
+        else:
+            raw = f"{space}{letters}".encode().decode("latin1").translate(self.table)
+        ids = [t.id for t in self.model.tokenize(raw)]
+        return pack(f"<{len(ids)}I", *ids)
 
-    def after_space(self, piece: str) -> bytes:
+    def head(self, piece: str) -> bytes:
         if piece.isalpha():
-            return self.merged(f" {piece}")
+            return self.merged(piece)
         body = piece.rstrip(MARKS)
         if body.isalpha():  # splitting cuts between letters and marks
+            return self.heads[body] + self.heads[piece[len(body) :]]
+        return self.whole(piece)
+
+    def after_space(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.merged(piece, " ")
+        body = piece.rstrip(MARKS)
+        if body.isalpha():
             return self.rest[body] + self.heads[piece[len(body) :]]
+        line, end, other = piece.partition("\n")
+        if end and line.rstrip(MARKS).isalpha() and other.rstrip(MARKS).isalpha():  # splitting cuts at both sides of a single line end
+            return self.rest[line] + self.heads[end] + self.heads[other]
         return self.whole(f" {piece}")
 
     def word(self, piece: str) -> bytes:
