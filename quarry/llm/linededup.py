@@ -25,6 +25,10 @@ SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 13
 FIRST = 8
 #: Words of up to so many postings are compared all at once.
 SMALL = 64
+#: Columns of a posting; postings that a task holds before it sends them; most tasks that compare them.
+POSTING = {"word": "<i8", "doc": "<i8", "line_no": "<i4", "n": "<i4", "place": "<i4", "marks": "<i8", "marks2": "<i8"}
+POSTING_BYTES = sum(np.dtype(t).itemsize for t in POSTING.values())
+HELD, MOST_PARTS = 1 << 19, 100_000
 _NULL = -(1 << 63)
 _BLOCK = 256
 
@@ -64,15 +68,27 @@ class Lines:
         self.h = self.h[np.repeat(own, n)]
         self.text, self.line, self.edges = self.text[own], self.line[own], np.concatenate(([0], np.cumsum(n[own])))
 
-    def distinct(self, counts: np.ndarray | None = None) -> None:
-        """Each line's words once, ascending by hash, or by rarity and then hash."""
-        own = np.repeat(np.arange(len(self.text)), np.diff(self.edges))
-        order = np.lexsort((self.h, own) if counts is None else (self.h, counts[(self.h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], own))
-        h = self.h[order]
+    def distinct(self, ranks: np.ndarray | None = None) -> None:
+        """Each line's words once, ascending by hash, or by rarity and then hash.
+
+        By rarity, 48 bits name a word: the rank of its counter, then 30 bits of its hash.
+        """
+        own = np.repeat(np.arange(len(self.text), dtype=np.uint64), np.diff(self.edges))
+        if ranks is None:
+            order = np.lexsort((self.h, own))
+            own, h = own[order], self.h[order]
+        else:
+            h = ranks[(self.h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(30) | self.h & np.uint64((1 << 30) - 1)
+            if len(self.text) <= 1 << 16:
+                both = np.sort(own << np.uint64(48) | h)
+                own, h = both >> np.uint64(48), both & np.uint64((1 << 48) - 1)
+            else:
+                order = np.lexsort((h, own))
+                own, h = own[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
         self.h = h[new]
-        self.edges = np.concatenate(([0], np.cumsum(np.bincount(own[new], minlength=len(self.text)))))
+        self.edges = np.concatenate(([0], np.cumsum(np.bincount(own[new].astype(np.int64), minlength=len(self.text)))))
 
 
 def _id(doc_id) -> int:
@@ -134,24 +150,54 @@ def _rows_of(lines: Lines, wanted: list, inside: bool) -> np.ndarray:
     return np.flatnonzero(np.isin((lines.text.astype(np.int64) << 32) | lines.line, names) == inside)
 
 
-def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS) -> DataFrame:
-    """For each prefix word of each line of docs(doc_id, text, lines) that isn't in lines: word, doc, line_no, shape, marks, marks2.
+def buckets_of(counts: np.ndarray) -> int:
+    """So many buckets of words that one holds about 2^18 postings."""
+    return max(64, int(counts.sum()) // (5 << 18))
 
-    The prefix of a set of n words has n - ceil(0.8 n) + 1 words. shape: the
-    word's place in the ordered set, and n. marks: 128 bits, each the parity
-    of the number of words that hash to it; two sets differ in at least as
-    many words as bits.
+
+def _packed(held: list[dict], buckets: int) -> dict:
+    """A row for each bucket: its postings' columns, one after the other, as bytes."""
+    cols = {k: np.concatenate([x[k] for x in held]).astype(t) for k, t in POSTING.items()}
+    bucket = (cols["word"] & ((1 << 30) - 1)) % buckets
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    bucket = bucket[order]
+    cols = [v[order] for v in cols.values()]
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    return {"bucket": bucket[edges[:-1]], "posts": [b"".join(v[x:y].tobytes() for v in cols) for x, y in zip(edges.tolist(), edges[1:].tolist(), strict=False)]}
+
+
+def _unpacked(parts: list[bytes]) -> dict:
+    """The columns of all postings in some rows' bytes."""
+    out = {k: [] for k in POSTING}
+    for p in parts:
+        n, at = len(p) // POSTING_BYTES, 0
+        for k, t in POSTING.items():
+            out[k].append(np.frombuffer(p, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, inside: bool = False) -> DataFrame:
+    """(bucket, posts): the prefix words of each line of docs(doc_id, text, lines) that isn't in lines, or that is.
+
+    The prefix of a set of n words has n - ceil(0.8 n) + 1 words. place: the
+    word's place in the ordered set. marks: 128 bits, each the parity of the
+    number of words that hash to it; two sets differ in at least as many words
+    as bits. Postings travel by bucket of their word, many to a row.
     """
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+    ranks = np.empty(len(counts), np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
+    shared, buckets = docs.sparkSession.sparkContext.broadcast(ranks), buckets_of(counts)
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
             for at, texts in chunks(range(len(b["text"])), b["text"]):
                 lines = Lines(texts, least)
-                lines.take(_rows_of(lines, [b["lines"][i] for i in at], False))
+                lines.take(_rows_of(lines, [b["lines"][i] for i in at], inside))
                 if not len(lines.text):
                     continue
-                lines.distinct(held.value)
+                lines.distinct(shared.value)
                 n = np.diff(lines.edges)
                 own = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(lines.h)) - lines.edges[own]
@@ -161,18 +207,31 @@ def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS) -> D
                 take = place < (n - (NUM * n + DEN - 1) // DEN + 1)[own]
                 row = own[take]
                 ids = np.array([_id(b["doc_id"][i]) for i in at], np.int64)
-                yield {"word": lines.h[take].view(np.int64), "doc": ids[lines.text][row], "line_no": lines.line[row], "shape": place[take] << 32 | n[row], "marks": marks[row], "marks2": marks2[row]}
+                held.append({"word": lines.h[take].view(np.int64), "doc": ids[lines.text][row], "line_no": lines.line[row], "n": n[row], "place": place[take], "marks": marks[row], "marks2": marks2[row]})
+                size += len(row)
+                if size >= HELD:
+                    yield _packed(held, buckets)
+                    held, size = [], 0
+        if held:
+            yield _packed(held, buckets)
+
+    return arrow_map(docs, run, "bucket bigint, posts binary")
 
-    return arrow_map(docs, run, "word bigint, doc bigint, line_no int, shape bigint, marks bigint, marks2 bigint")
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of so many words can be similar."""
+    return (DEN * a >= NUM * b) & (DEN * b >= NUM * a)
 
-def _pass(a: dict, b: dict) -> np.ndarray:
-    """Which pairs of postings of one word (columns that broadcast) the filters leave."""
-    need = -(-NUM * (a["n"] + b["n"]) // (NUM + DEN))
-    good = (DEN * a["n"] >= NUM * b["n"]) & (DEN * b["n"] >= NUM * a["n"])
-    good &= np.minimum(a["n"] - a["place"], b["n"] - b["place"]) + np.minimum(a["place"], b["place"]) >= need
-    ones = lambda k: np.bitwise_count((a[k] ^ b[k]).view(np.uint64)).astype(np.int64)
-    return good & (ones("marks") + ones("marks2") <= a["n"] + b["n"] - 2 * need)
+
+def _close(cols: dict, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Which pairs of rows, of fitting lengths, the positional filter and the marks leave."""
+    a, b, p, q = cols["n"][old], cols["n"][new], cols["place"][old], cols["place"][new]
+    need = -(-NUM * (a + b) // (NUM + DEN))
+    good = np.flatnonzero(np.minimum(a - p, b - q) + np.minimum(p, q) >= need)
+    room = (a + b - 2 * need)[good]
+    old, new = old[good], new[good]
+    ones = lambda k: np.bitwise_count((cols[k][old] ^ cols[k][new]).view(np.uint64)).astype(np.int32)
+    return good[ones("marks") + ones("marks2") <= room]
 
 
 def _run_pairs(cols: dict, first: int | None, again: np.ndarray | None):
@@ -184,15 +243,15 @@ def _run_pairs(cols: dict, first: int | None, again: np.ndarray | None):
             rows = rows[again[rows]]
         if not len(rows):
             continue
-        new = {k: v[rows, None] for k, v in cols.items()}
         count = np.zeros(len(rows), np.int64)
         for lo in range(0, int(rows[-1]), 8192):
-            old = {k: v[None, lo : lo + 8192] for k, v in cols.items()}
-            good = _pass(old, new) & (np.arange(lo, lo + old["n"].shape[1])[None] < rows[:, None])
-            i, j = np.nonzero(good)
+            old = np.arange(lo, min(lo + 8192, n))
+            i, j = np.nonzero(_lengths(cols["n"][old][None], cols["n"][rows][:, None]) & (old[None] < rows[:, None]))
+            good = _close(cols, j + lo, rows[i])
+            i, j = i[good], j[good]
             if first is not None:
                 rank = np.arange(len(i)) - np.searchsorted(i, i) + count[i]
-                count += good.sum(1)
+                count += np.bincount(i, minlength=len(rows))
                 i, j = i[rank < first], j[rank < first]
             out.append((j + lo, rows[i]))
         if first is not None:
@@ -208,8 +267,9 @@ def _small_pairs(cols: dict, place: np.ndarray, first: int | None, again: np.nda
         rows = rows[again]
     for d in range(1, int(place.max(initial=0)) + 1):
         rows = rows[place[rows] >= d]
-        good = _pass({k: v[rows - d] for k, v in cols.items()}, {k: v[rows] for k, v in cols.items()})
-        out.append((rows[good] - d, rows[good]))
+        new = rows[_lengths(cols["n"][rows - d], cols["n"][rows])]
+        new = new[_close(cols, new - d, new)]
+        out.append((new - d, new))
     old, new = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
     if first is None or not len(new):
         return old, new, np.zeros(0, int)
@@ -219,56 +279,70 @@ def _small_pairs(cols: dict, place: np.ndarray, first: int | None, again: np.nda
     return old[rank < first], new[rank < first], np.unique(new[rank >= first])
 
 
-def candidates(posts: DataFrame, first: int | None = FIRST) -> DataFrame:
+def _of_bucket(cols: dict, again: np.ndarray | None, first: int | None):
+    """Candidates among the postings of one bucket."""
+    word = np.sort(cols["word"])
+    twice = np.unique(word[1:][word[1:] == word[:-1]])
+    rows = np.flatnonzero(np.isin(cols["word"], twice))  # a word posted once is in no pair
+    if not len(rows):
+        return
+    last = np.zeros(len(rows), bool) if again is None else again[rows]
+    rows = rows[np.lexsort((last, cols["line_no"][rows], cols["doc"][rows], cols["word"][rows]))]
+    cols = {k: v[rows] for k, v in cols.items()}
+    again = None if again is None else again[rows]
+    word = cols["word"]
+    edges = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
+    size = np.diff(edges)
+    few = np.flatnonzero(np.repeat(size <= SMALL, size))
+    place = (np.arange(len(word)) - np.repeat(edges[:-1], size))[few]
+    x, y, z = _small_pairs({k: v[few] for k, v in cols.items()}, place, first, None if again is None else again[few])
+    old, new, more = [few[x]], [few[y]], [few[z]]
+    for at, n in zip(edges[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        part = slice(at, at + n)
+        x, y, z = _run_pairs({k: v[part] for k, v in cols.items()}, first, None if again is None else again[part])
+        old.append(x + at)
+        new.append(y + at)
+        more.append(z + at)
+    o, w = np.concatenate(old), np.concatenate(new)
+    flag = np.zeros(len(word), bool)
+    flag[np.concatenate(more)] = True
+    other = (cols["doc"][o] != cols["doc"][w]) | (cols["line_no"][o] != cols["line_no"][w])
+    o, w = o[other], w[other]
+    if len(o):
+        yield {"old_doc": cols["doc"][o], "old_line": cols["line_no"][o], "doc": cols["doc"][w], "line_no": cols["line_no"][w], "more": flag[w]}
+
+
+def candidates(posts: DataFrame, first: int | None = FIRST, parts: int | None = None) -> DataFrame:
     """(old_doc, old_line, doc, line_no, more) of lines that share a posted word and pass the filters.
 
-    posts may have a column again: then only lines where it is true look for
-    earlier ones, for all of them. A word's postings are one task's work, in
-    blocks; they are read in order, so no list is ever held twice.
+    posts may have a column again: then only postings where it is true look
+    for earlier ones, for all of them. A bucket's postings are one task's
+    work, in blocks; parts: tasks.
     """
-    more_of = "again" in posts.columns
-    first = None if more_of else first
-    names = ["word", "doc", "line_no", "shape", "marks", "marks2", *(["again"] if more_of else [])]
-    dealt = posts.select(*names).repartition("word").sortWithinPartitions("word", "doc", "line_no")
+    second = "again" in posts.columns
+    first = None if second else first
+    posts = posts if second else posts.withColumn("again", F.lit(False))
+    dealt = (posts.repartition(parts, "bucket") if parts else posts.repartition("bucket")).sortWithinPartitions("bucket")
 
     def run(batches):
-        kept: list[dict] = []
-
-        def work(cols):
-            word = cols["word"]
-            edges = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
-            size = np.diff(edges)
-            own = {"n": cols["shape"] & 0xFFFFFFFF, "place": cols["shape"] >> 32, "marks": cols["marks"], "marks2": cols["marks2"]}
-            again = cols.get("again")
-            few = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
-            place = (np.arange(len(word)) - np.repeat(edges[:-1], size))[few]
-            x, y, z = _small_pairs({k: v[few] for k, v in own.items()}, place, first, None if again is None else again[few])
-            old, new, more = [few[x]], [few[y]], [few[z]]
-            for at, n in zip(edges[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                part = slice(at, at + n)
-                x, y, z = _run_pairs({k: v[part] for k, v in own.items()}, first, None if again is None else again[part])
-                old.append(x + at)
-                new.append(y + at)
-                more.append(z + at)
-            o, w = np.concatenate(old), np.concatenate(new)
-            flag = np.zeros(len(word), bool)
-            flag[np.concatenate(more)] = True
-            if len(o):
-                yield {"old_doc": cols["doc"][o], "old_line": cols["line_no"][o], "doc": cols["doc"][w], "line_no": cols["line_no"][w], "more": flag[w]}
+        bucket, held, flags = None, [], []
+
+        def work():
+            sizes = [len(x) // POSTING_BYTES for x in held]
+            return _of_bucket(_unpacked(held), np.repeat(np.array(flags, bool), sizes) if second else None, first)
 
         for b in batches:
-            cols = {k: b[k] for k in names}
-            last = len(cols["word"]) - int((cols["word"] == cols["word"][-1]).sum())
-            if last == 0:
-                kept.append(cols)
-                continue
-            kept.append({k: v[:last] for k, v in cols.items()})
-            yield from work({k: np.concatenate([x[k] for x in kept]) for k in names})
-            kept = [{k: v[last:] for k, v in cols.items()}]
-        if kept:
-            yield from work({k: np.concatenate([x[k] for x in kept]) for k in names})
-
-    found = arrow_map(dealt, run, "old_doc bigint, old_line int, doc bigint, line_no int, more boolean", arrays=True)
+            for at, posted, flag in zip(b["bucket"], b["posts"], b["again"], strict=True):
+                if at != bucket and held:
+                    yield from work()
+                    held, flags = [], []
+                bucket = at
+                held.append(posted)
+                flags.append(flag)
+        if held:
+            yield from work()
+
+    found = arrow_map(dealt, run, "old_doc bigint, old_line int, doc bigint, line_no int, more boolean")
     return found.groupBy("old_doc", "old_line", "doc", "line_no").agg(F.max("more").alias("more"))
 
 
@@ -322,17 +396,16 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     copies = table.join(first, F.col("key") == F.col("k")).where((F.col("doc") != F.col("f.doc")) | (F.col("line_no") != F.col("f.line_no")))
     copies, n = _by_doc(copies.select("doc", "line_no"), "line-copies")
     posts = stored(postings(_with_lines(docs, copies, n, "left"), counts, least), "line-postings")
-    pairs = stored(candidates(posts), "line-pairs")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets_of(counts) // 2, MOST_PARTS))
+    pairs = stored(candidates(posts, parts=parts), "line-pairs")
     late = stored(similar(docs, pairs, least), "line-later")
     open_ = pairs.groupBy("doc", "line_no").agg(F.max("more").alias("more")).where("more").select("doc", "line_no").join(late, ["doc", "line_no"], "left_anti")
-    open_ = stored(open_, "lines-open")
-    if open_.count():
-        asked = posts.join(open_, ["doc", "line_no"]).select(F.col("word").alias("asked")).distinct()
-        asked = stored(asked, "line-words")
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-        flagged = posts.join(asked, F.col("word") == F.col("asked"), "left_semi")
-        flagged = flagged.join(open_.withColumn("again", F.lit(True)), ["doc", "line_no"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
-        late = late.union(similar(docs, stored(candidates(flagged), "line-pairs-again"), least))
+    open_, n = _by_doc(open_, "lines-open")
+    if n:
+        again = stored(postings(_with_lines(docs, open_, n, "inner"), counts, least, inside=True), "line-postings-again")
+        asked = again.select(F.col("bucket").alias("asked")).distinct()
+        flagged = posts.join(asked, F.col("bucket") == F.col("asked"), "left_semi").withColumn("again", F.lit(False)).union(again.withColumn("again", F.lit(True)))
+        late = late.union(similar(docs, stored(candidates(flagged, parts=parts), "line-pairs-again"), least))
     lost = copies.select("doc", F.explode("lines").alias("line_no")).union(late)
     lost = lost.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
     return lost.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), "lines")

@@ -10,10 +10,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _RNG.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+#: Longer words are hashed one by one, by XXH64.
+_LONG = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -33,9 +35,10 @@ class Words:
 
 
 def words(texts: Iterable[str | None]) -> Words:
-    """The words of all texts, in order. The hash is multilinear in bytes and places; long words also hash by blocks."""
+    """The words of all texts, in order. The hash mixes in eight bytes at a time."""
     own = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     raw = b"\n".join(own) + b"\n"
+    eights = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))
     sizes = np.fromiter(map(len, own), np.int64, len(own)) + 1
     b = np.frombuffer(raw, np.uint8)
     solid = ~_SPACE[b]
@@ -45,15 +48,20 @@ def words(texts: Iterable[str | None]) -> Words:
         none = np.zeros(0, np.int64)
         return Words(raw, none, none, np.zeros(0, np.uint64), none)
     lens = ends - starts
-    inner = b[solid]
-    first = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    place = np.arange(len(inner), dtype=np.int64) - np.repeat(first, lens)
-    part = _BYTE[inner] * _PLACE[place & 1023]
-    if lens.max() > 1024:
-        part *= (place >> 10).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    h = np.add.reduceat(part, first) ^ (lens.astype(np.uint64) << np.uint64(40))
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(32)
+    h = lens.astype(np.uint64) * _ODD2
+    todo = np.arange(len(lens))
+    at = 0
+    while len(todo):
+        x = h[todo] ^ (eights[starts[todo] + at] & _MASK[np.minimum(lens[todo] - at, 8)])
+        x ^= x >> np.uint64(31)
+        x *= _ODD
+        x ^= x >> np.uint64(29)
+        x *= _ODD2
+        h[todo] = x ^ x >> np.uint64(32)
+        at += 8
+        todo = todo[(lens[todo] > at) & (lens[todo] <= _LONG)]
+    for i in np.flatnonzero(lens > _LONG):
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
     owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
     return Words(raw, starts, ends, h, owner)
 
