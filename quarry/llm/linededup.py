@@ -281,9 +281,9 @@ def _small_pairs(cols: dict, place: np.ndarray, first: int | None, again: np.nda
 
 def _of_bucket(cols: dict, again: np.ndarray | None, first: int | None):
     """Candidates among the postings of one bucket."""
-    word = np.sort(cols["word"])
-    twice = np.unique(word[1:][word[1:] == word[:-1]])
-    rows = np.flatnonzero(np.isin(cols["word"], twice))  # a word posted once is in no pair
+    rows = np.argsort(cols["word"])
+    same = np.diff(cols["word"][rows]) == 0
+    rows = rows[np.concatenate((same, [False])) | np.concatenate(([False], same))]  # a word posted once is in no pair
     if not len(rows):
         return
     last = np.zeros(len(rows), bool) if again is None else again[rows]
