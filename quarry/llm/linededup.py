@@ -29,6 +29,8 @@ SMALL = 64
 POSTING = {"word": "<i8", "doc": "<i8", "line_no": "<i4", "n": "<i4", "place": "<i4", "marks": "<i8", "marks2": "<i8"}
 POSTING_BYTES = sum(np.dtype(t).itemsize for t in POSTING.values())
 HELD, MOST_PARTS = 1 << 19, 100_000
+#: A line's copies are hot from 1 / (HOT_SHARE * shuffle partitions) of all lines on: at most that many keys are broadcast.
+HOT_SHARE = 8
 _NULL = -(1 << 63)
 _BLOCK = 256
 
@@ -384,6 +386,24 @@ def similar(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS) -> Data
     return arrow_map(both.select("doc", "line_no", "x", "words"), run, "doc bigint, line_no int").distinct()
 
 
+def _repeats(table: DataFrame) -> DataFrame:
+    """(doc, line_no) of the lines whose key an earlier line of table(doc, line_no, key) has.
+
+    Keys of more than a share of all lines are so few, whatever the input,
+    that they are broadcast; only the others travel to the join.
+    """
+    spark = table.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = table.groupBy("key").agg(F.min(F.struct("doc", "line_no")).alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), "f", "c")
+    first = stored(first, "line-firsts")
+    most = max(1, table.count() // (HOT_SHARE * parts))
+    hot, cold = first.where(F.col("c") > most), first.where(F.col("c") <= most)
+    late = (F.col("doc") != F.col("f.doc")) | (F.col("line_no") != F.col("f.line_no"))
+    of_hot = table.join(F.broadcast(hot), F.col("key") == F.col("k"))
+    of_cold = table.join(F.broadcast(hot.select("k")), F.col("key") == F.col("k"), "left_anti").join(cold, F.col("key") == F.col("k"))
+    return of_hot.where(late).select("doc", "line_no").union(of_cold.where(late).select("doc", "line_no"))
+
+
 def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, lines: the numbers of the lines that go, ascending, of documents that lose any.
 
@@ -392,9 +412,8 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     numbers go from each of them.
     """
     table, counts = survey(docs, least)
-    first = table.groupBy("key").agg(F.min(F.struct("doc", "line_no")).alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), "f")
-    copies = table.join(first, F.col("key") == F.col("k")).where((F.col("doc") != F.col("f.doc")) | (F.col("line_no") != F.col("f.line_no")))
-    copies, n = _by_doc(copies.select("doc", "line_no"), "line-copies")
+    copies = _repeats(table)
+    copies, n = _by_doc(copies, "line-copies")
     posts = stored(postings(_with_lines(docs, copies, n, "left"), counts, least), "line-postings")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets_of(counts) // 2, MOST_PARTS))
     pairs = stored(candidates(posts, parts=parts), "line-pairs")
