@@ -2,7 +2,7 @@
 
 A 64-bit fingerprint is mapped to the bit counts of its 2-bit segments. The
 Manhattan distance of two such vectors never exceeds the Hamming distance of
-the fingerprints. Fingerprints within 4 bits have a half (16 segments) within
+the fingerprints. Fingerprints within 5 bits have a half (16 segments) within
 2; two grid points of Manhattan distance 2 share a grid point within 1 of
 both. So an equi-join on the grid points within 1 of each half finds every
 pair, and the exact distance is checked inside the join.
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_map, bits, stored
 from quarry.llm.graph import components
 
-BITS = 4
+#: Most differing bits of a link, and the most for which halves within 2 find every pair.
+BITS, MOST_BITS = 4, 5
 _BLOCK = 1 << 15
 
 
@@ -70,16 +71,18 @@ def grid_cells(classes: DataFrame) -> DataFrame:
     return at.select((F.col("half.e") + F.col("step") + F.col("half.h")).alias("cell"), "fp", "rep")
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(src, dst) between the representatives of all classes(fp, rep) at 1 to 4 differing bits; a pair may repeat."""
+def links(classes: DataFrame, most: int = BITS) -> DataFrame:
+    """(src, dst) between the representatives of all classes(fp, rep) at 1 to most differing bits; a pair may repeat."""
+    if not 1 <= most <= MOST_BITS:
+        raise ValueError(f"the grid finds every pair within 1 to {MOST_BITS} bits, not {most}")
     cells = grid_cells(classes)
     a, b = cells.alias("a"), cells.alias("b")
-    exact = F.expr(f"a.cell = b.cell AND a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= {BITS}")
+    exact = F.expr(f"a.cell = b.cell AND a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= {most}")
     return a.join(b, exact).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
 
 
-def near_groups(docs: DataFrame, words: int = 4) -> DataFrame:
-    """Per document: doc_id, fp, component_id, the smallest doc_id reachable over links.
+def near_groups(docs: DataFrame, words: int = 4, most: int = BITS) -> DataFrame:
+    """Per document: doc_id, fp, component_id, the smallest doc_id reachable over links of at most so many bits.
 
     Texts with equal fingerprints form a class, linked through its smallest
     doc_id; classes are joined on the grid. Rows that repeat a doc_id keep
@@ -87,6 +90,6 @@ def near_groups(docs: DataFrame, words: int = 4) -> DataFrame:
     """
     prints = stored(fingerprints(docs, words), "simhash")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    found = components(stored(links(classes.where("rep IS NOT NULL")).distinct(), "simhash-links"))
+    found = components(stored(links(classes.where("rep IS NOT NULL"), most).distinct(), "simhash-links"))
     named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -174,14 +174,15 @@ def test_simhash(spark):
     assert simhash.near_groups(table(spark)).count() == len(rows())
 
 
-def test_simhash_links_find_every_pair(spark):
+@pytest.mark.parametrize("most", [4, 5])
+def test_simhash_links_find_every_pair(spark, most):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (1, 2, 3, 4, 5)]
+    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (1, 2, 3, 4, 5, 5, 5, 6)]
     fps = list(dict.fromkeys([*map(int, base), *near, 0, 1, (1 << 64) - 1]))
     classes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp bigint, rep bigint")
-    got = {tuple(sorted((r.src, r.dst))) for r in simhash.links(classes).collect()}
-    assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(fps), 2) if bin(a ^ b).count("1") <= 4}
+    got = {tuple(sorted((r.src, r.dst))) for r in simhash.links(classes, most).collect()}
+    assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(fps), 2) if bin(a ^ b).count("1") <= most}
 
 
 def test_words():
