@@ -14,15 +14,15 @@ import pyarrow as pa
 from quarry.operators.steps import Chunk
 from quarry.sources.binary import In
 from quarry.sources.codec import decompress
+from quarry.sources.elements import Quantised, arrow_of, bits_of, decode_bits, parse
 
 # Fixed values of the format: leaf class -> big-endian type of its elements.
-LEAVES = {"TLeafB": ">i1", "TLeafS": ">i2", "TLeafI": ">i4", "TLeafL": ">i8", "TLeafG": ">i8", "TLeafF": ">f4", "TLeafD": ">f8", "TLeafO": "?", "TLeafC": "string"}
+LEAVES = {"TLeafB": ">i1", "TLeafS": ">i2", "TLeafI": ">i4", "TLeafL": ">i8", "TLeafG": ">i8", "TLeafF": ">f4", "TLeafD": ">f8", "TLeafO": "?", "TLeafC": "string", "TLeafF16": "short float", "TLeafD32": "short double"}
 # Fixed values of the format: element types of vectors.
 ELEMENTS = {
     "bool": "?", "char": ">i1", "short": ">i2", "int": ">i4", "long": ">i8", "long long": ">i8", "Long64_t": ">i8", "float": ">f4", "double": ">f8", "unsigned char": ">u1",
     "unsigned short": ">u2", "unsigned int": ">u4", "unsigned long": ">u8", "unsigned long long": ">u8", "ULong64_t": ">u8",
 }
-_WIDER = {"u1": pa.int16(), "u2": pa.int32(), "u4": pa.int64(), "u8": pa.decimal128(20, 0)}
 
 
 @dataclass
@@ -45,6 +45,7 @@ class Branch:
     name: str
     title: str
     kind: str | None = None
+    element: object = None
     shape: tuple[int, ...] = ()
     counter: str | None = None
     skip: int = 0
@@ -63,7 +64,11 @@ class Branch:
             return None
         if self.kind == "string":
             return pa.string()
-        out = pa.bool_() if self.kind == "?" else _WIDER.get(self.kind[1:], None) or pa.from_numpy_dtype(np.dtype(self.kind).newbyteorder("="))
+        if self.kind == "bits":
+            return pa.list_(pa.bool_())
+        if self.kind == "composite":
+            return self.element.arrow
+        out = self.element.arrow if self.element else arrow_of(self.kind)
         for _ in self.shape:
             out = pa.list_(out)
         return pa.list_(out) if self.jagged else out
@@ -275,6 +280,8 @@ class Tree:
             leaf = leaves[0]
             b.kind, b.unsigned, b.counter = leaf["kind"], leaf["unsigned"], leaf["counter"]
             b.shape = tuple(int(x) for x in re.findall(r"\[(\d+)\]", leaf["title"])) or ((leaf["len"],) if leaf["len"] > 1 and not b.counter and b.kind != "string" else ())
+            if b.kind in ("short float", "short double"):
+                b.element = Quantised.of_title(title if "," in title else leaf["title"], b.kind == "short double")
         if cls == "TBranchElement":
             self._element(b, d)
         return b
@@ -287,6 +294,10 @@ class Tree:
             b.kind, b.skip, b.counter, b.shape = ELEMENTS[m[1]], 10, None, ()
         elif name in ("string", "TString") and not b.children:
             b.kind = "string"
+        elif bits_of(name) and not b.children:
+            b.kind, b.element, b.counter, b.shape = "bits", bits_of(name), None, ()
+        elif not b.children and parse(name, ELEMENTS) is not None:
+            b.kind, b.element, b.counter, b.shape = "composite", parse(name, ELEMENTS), None, ()
 
     def _leaf(self, cls: str, d: In, end: int | None, note) -> dict:
         own: dict = {"kind": LEAVES.get(cls), "unsigned": False, "counter": None, "len": 1, "title": "", "name": ""}
@@ -345,7 +356,13 @@ class Tree:
                 d = In(data, int(offsets[k]))
                 out.append(d.string())
             return pa.array(out, pa.string())
-        width = np.dtype(b.kind).itemsize
+        if b.kind == "bits":
+            flags = decode_bits(data, b.element)
+            return pa.ListArray.from_arrays(np.arange(len(flags) + 1, dtype=np.int32) * b.element, pa.array(flags.ravel()))
+        if b.kind == "composite":
+            # six bytes, a length and a version, come before each entry
+            return pa.array([b.element.read(In(data, int(at) + 6)) for at in offsets[:-1]], b.element.arrow)
+        width = b.element.width if b.element else np.dtype(b.kind).itemsize
         each = int(np.prod(b.shape)) if b.shape else 1
         if b.skip:
             raw = np.frombuffer(data, np.uint8)
@@ -353,7 +370,7 @@ class Tree:
             keep[(offsets[:-1, None] + np.arange(b.skip)).ravel()] = False
             flat, counts = np.frombuffer(raw[keep].tobytes(), b.kind), (np.diff(offsets) - b.skip) // width
         else:
-            flat = np.frombuffer(data, b.kind)
+            flat = b.element.decode(data) if b.element else np.frombuffer(data, b.kind)
             if b.counter is not None:
                 counts = self._counts(b, b.entry_edges[i], b.entry_edges[i + 1]) if offsets is None else np.diff(offsets) // (width * each)
         values = _values(flat)
@@ -387,6 +404,5 @@ class Tree:
 def _values(flat: np.ndarray) -> pa.Array:
     """Native-endian Arrow values; unsigned numbers in the next wider type."""
     if flat.dtype.kind == "u":
-        wide = _WIDER[f"u{flat.dtype.itemsize}"]
-        return pa.array(flat.astype(flat.dtype.newbyteorder("="))).cast(wide)
+        return pa.array(flat.astype(flat.dtype.newbyteorder("="))).cast(arrow_of(f">u{flat.dtype.itemsize}"))
     return pa.array(flat.astype(flat.dtype.newbyteorder("=")))
