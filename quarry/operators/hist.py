@@ -145,3 +145,89 @@ class Histogram:
         name = lambda i: self.axis.labels[i - 1] if 0 < i <= len(self.axis.labels) else f"[{e[i]:g}, {e[i + 1]:g})"
         wide = max(len(name(i)) for i in range(len(self.allvalues)))
         return "\n".join(f"{name(i):>{wide}} {v:<10g}|{'*' * round(width * v / top)}" for i, v in enumerate(self.allvalues))
+
+
+@dataclass
+class HistogramND:
+    """A filled histogram of one to three axes on the driver; arrays have an index per axis, each with under- and overflow."""
+
+    axes: tuple[Axis, ...]
+    allvalues: np.ndarray
+    allvariances: np.ndarray
+    name: str = ""
+    title: str = ""
+
+    @classmethod
+    def collect(cls, filled: DataFrame, axes: Sequence[Axis], name: str = "", title: str = "") -> HistogramND:
+        """From a fill whose bin columns come first, in the order of the axes."""
+        shape = tuple(a.n + 2 for a in axes)
+        values, squares = np.zeros(shape), np.zeros(shape)
+        for r in filled.collect():  # a row a bin at most
+            at = tuple(r[: len(axes)])
+            values[at], squares[at] = r.sumw, r.sumw2
+        return cls(tuple(axes), values, squares, name, title)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.allvalues[(slice(1, -1),) * len(self.axes)]
+
+    @property
+    def variances(self) -> np.ndarray:
+        return self.allvariances[(slice(1, -1),) * len(self.axes)]
+
+    def numpy(self):
+        return self.values, [a.bounds() for a in self.axes]
+
+    def project(self, axis: int) -> Histogram:
+        """Summed over all other axes, their under- and overflow included."""
+        other = tuple(i for i in range(len(self.axes)) if i != axis)
+        return Histogram(self.axes[axis], self.allvalues.sum(other), self.allvariances.sum(other), self.name, self.title)
+
+
+@dataclass
+class Profile:
+    """Per bin of one to three axes the sums of weights, of their squares, of w * y and of w * y * y."""
+
+    axes: tuple[Axis, ...]
+    entries: np.ndarray
+    entries2: np.ndarray
+    sums: np.ndarray
+    squares: np.ndarray
+    name: str = ""
+    title: str = ""
+
+    @classmethod
+    def collect(cls, filled: DataFrame, axes: Sequence[Axis], name: str = "", title: str = "") -> Profile:
+        shape = tuple(a.n + 2 for a in axes)
+        out = [np.zeros(shape) for _ in range(4)]
+        for r in filled.collect():  # a row a bin at most
+            for a, v in zip(out, (r.sumw, r.sumw2, r.sumwy, r.sumwy2), strict=True):
+                a[tuple(r[: len(axes)])] = v
+        return cls(tuple(axes), *out, name, title)
+
+    @property
+    def means(self) -> np.ndarray:
+        """Mean of y per inner bin; NaN where nothing was filled."""
+        inner = (slice(1, -1),) * len(self.axes)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return self.sums[inner] / self.entries[inner]
+
+    @property
+    def errors(self) -> np.ndarray:
+        """Error of the mean per inner bin: spread over the root of the effective number of entries."""
+        inner = (slice(1, -1),) * len(self.axes)
+        n, n2, sq = self.entries[inner], self.entries2[inner], self.squares[inner]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.sqrt(np.maximum(sq / n - self.means**2, 0.0) * n2) / n
+
+
+def fill_nd(df: DataFrame, xs: Sequence[Column | str], axes: Sequence[Axis], weight: Column | None = None, y: Column | str | None = None) -> DataFrame:
+    """bin_0, bin_1 ..., sumw, sumw2, and with y sumwy and sumwy2 for a profile: one partial aggregation."""
+    c = lambda a: F.col(a) if isinstance(a, str) else a
+    keys = [f"bin_{i}" for i in range(len(axes))]
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    ys = [] if y is None else [c(y).cast("double").alias("y")]
+    rows = df.select(*[a.bin(c(x)).alias(k) for k, x, a in zip(keys, xs, axes, strict=True)], w.alias("w"), *ys).dropna(subset=[*keys, *(["y"] if ys else [])])
+    w, y = F.col("w"), F.col("y")
+    more = [F.sum(w * y).alias("sumwy"), F.sum(w * y * y).alias("sumwy2")] if ys else []
+    return rows.groupBy(*keys).agg(F.sum(w).alias("sumw"), F.sum(w * w).alias("sumw2"), *more)

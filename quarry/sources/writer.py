@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 
-from quarry.operators.hist import Histogram
+from quarry.operators.hist import Histogram, HistogramND, Profile
 from quarry.sources.binary import Out
 from quarry.sources.codec import compress
 
@@ -91,10 +91,16 @@ class FileWriter:
     def string(self, name: str, text: str) -> None:
         self.put("TObjString", name, "Collectable string class", lambda k: bytes(Out(k).object(1, lambda o: o.base_object().string(text)).parts))
 
-    def hist(self, name: str, h: Histogram) -> None:
-        from quarry.sources.hists import write_hist
+    def hist(self, name: str, h: Histogram | HistogramND | Profile, kind: str = "D") -> None:
+        """kind: how bins are stored, C, S, I, F or D; profiles are always D."""
+        from quarry.sources.hists import class_of, write_hist
 
-        self.put("TH1D", name, h.title, lambda k: write_hist(h, name, k))
+        self.put(class_of(h, kind), name, h.title, lambda k: write_hist(h, name, k, kind))
+
+    def update(self, objects: dict | list) -> None:
+        """Adds many objects that aren't trees: texts, histograms and profiles, by name."""
+        for name, x in objects.items() if isinstance(objects, dict) else objects:
+            self.string(name, x) if isinstance(x, str) else self.hist(name, x)
 
     def tree(self, name: str, schema: pa.Schema, title: str = "", shapes: dict[str, tuple[int, ...]] | None = None, compressions: dict | None = None) -> TreeWriter:
         return TreeWriter(self, name, schema, title, shapes or {}, compressions or {})

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarry.operators.hist import Axis, Histogram
+from quarry.operators.hist import Axis, Histogram, HistogramND, Profile, fill_nd
 from quarry.sources import codec, datasource
 from quarry.sources.reader import File
 from quarry.sources.writer import FileWriter, write_table
@@ -76,6 +76,47 @@ def test_histogram(tmp_path):
         assert f.histogram("v").edges.tolist() == [0, 1, 10, 100, 1000, 10000]
 
 
+@pytest.mark.parametrize("kind", ["C", "S", "I", "F", "D"])
+def test_histograms_of_many_axes(tmp_path, kind):
+    axes = (Axis(3, 0.0, 3.0, title="x"), Axis.variable([0, 1, 10], title="y", labels=("low", "high")), Axis(4, -1.0, 1.0))
+    with FileWriter(tmp_path / "h.root") as f:
+        for n in (1, 2, 3):
+            values = np.arange(np.prod([a.n + 2 for a in axes[:n]])).reshape([a.n + 2 for a in axes[:n]]) % 100.0
+            h = HistogramND(axes[:n], values, values * 2, title="t") if n > 1 else Histogram(axes[1], np.array([1.0, 2, 3, 4]), np.ones(4))
+            f.hist(f"h{n}", h, kind)
+        p = [np.random.default_rng(i).random([a.n + 2 for a in axes[:2]]) for i in range(4)]
+        f.update({"p1": Profile(axes[:1], *[x[:, 0] for x in p]), "p2": Profile(axes[:2], *p), "note": "text"})
+    with File(tmp_path / "h.root") as f:
+        assert [k.class_name for k in f.listing()] == [f"TH1{kind}", f"TH2{kind}", f"TH3{kind}", "TProfile", "TProfile2D", "TObjString"]
+        one = f.histogram("h1")
+        assert one.axis == axes[1] and one.allvalues.tolist() == [1, 2, 3, 4]
+        for n in (2, 3):
+            got = f.histogram(f"h{n}")
+            want = np.arange(got.allvalues.size).reshape(got.allvalues.shape) % 100.0
+            assert got.axes == axes[:n] and (got.allvalues == want).all() and (got.allvariances == want * 2).all()
+            assert got.project(0).allvalues.sum() == want.sum()
+        got = f.histogram("p2")
+        assert all((a == b).all() for a, b in zip((got.entries, got.entries2, got.sums, got.squares), p, strict=True)) and got.axes == axes[:2]
+        assert (f.histogram("p1").means == (p[2] / p[0])[1:-1, 0]).all()
+
+
+def test_bins_run_along_the_first_axis(tmp_path):
+    values = np.arange(12.0).reshape(3, 4)
+    with FileWriter(tmp_path / "h.root", compression=None) as f:
+        f.hist("h", HistogramND((Axis(1, 0.0, 1.0), Axis(2, 0.0, 2.0)), values, values))
+    assert np.array([0, 4, 8, 1, 5, 9, 2, 6, 10, 3, 7, 11], ">f8").tobytes() in (tmp_path / "h.root").read_bytes()
+
+
+def test_fill_of_many_axes(spark):
+    axes = (Axis(2, 0.0, 4.0), Axis(2, 0.0, 2.0))
+    df = spark.createDataFrame([(0.5, 0.5, 1.0), (0.6, 0.1, 3.0), (3.0, 5.0, 2.0), (None, 1.0, 1.0), (1.0, float("nan"), 1.0), (1.0, 1.0, None)], "x double, y double, v double")
+    h = HistogramND.collect(fill_nd(df, ["x", "y"], axes), axes)
+    assert h.allvalues[1, 1] == 2 and h.allvalues[2, 3] == 1 and h.allvalues[1, 2] == 1 and h.allvalues.sum() == 4
+    p = Profile.collect(fill_nd(df, ["x"], axes[:1], y="v"), axes[:1])
+    assert p.means.tolist() == [5 / 3, 2.0] and p.entries.sum() == 4
+    assert abs(p.errors[0] - np.std([1, 3, 1]) / 3**0.5) < 1e-12
+
+
 def test_codecs():
     for kind in codec.TAGS:
         for data in (b"", b"x", b"ab" * 5000, bytes(range(256)) * 40):
