@@ -207,6 +207,19 @@ def hist_added(spark, d):
     return hist.add(*parts).select("bin", "sumw")
 
 
+def hist_3d(spark, d):
+    """Three axes at once, as one partial aggregation."""
+    axes = hist.Axis(4, 0.0, 40.0), hist.Axis.variable([0.0, 0.025, 0.055]), hist.Axis(2, 0.0, 50000.0)
+    own = hist.fill_nd(_read(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"], axes)
+    return own.select("bin_0", "bin_1", "bin_2", "sumw")
+
+
+def hist_profile(spark, d):
+    """Mean quantity by bins of the price, with its sums."""
+    own = hist.fill_nd(_read(spark, d, "lineitem"), ["l_extendedprice"], [hist.Axis(8, 0.0, 80000.0)], y="l_quantity")
+    return own.select(F.col("bin_0").alias("bin"), "sumw", "sumwy", "sumwy2", F.round(F.col("sumwy") / F.col("sumw"), 6).alias("mean"))
+
+
 def union_files(spark, d):
     """Two tables as one, with entries that run on."""
     paths, names = [f"{d}/customer.parquet", f"{d}/supplier.parquet"], {"c_custkey": "key", "s_suppkey": "key", "c_acctbal": "bal", "s_acctbal": "bal"}
@@ -299,6 +312,8 @@ ORACLE_SQL = {
     "hist_weighted": "SELECT cast(o_totalprice >= 0 AS BIGINT) + cast(o_totalprice >= 1e4 AS BIGINT) + cast(o_totalprice >= 1e5 AS BIGINT) + cast(o_totalprice >= 1e6 AS BIGINT) AS bin, sum(length(o_orderpriority))::DOUBLE AS sumw, sum(length(o_orderpriority) * length(o_orderpriority))::DOUBLE AS sumw2 FROM orders GROUP BY 1",
     "hist_normalized": f"SELECT {_bin('l_quantity', 4, 0, 60)} AS bin, round(count(*) / (SELECT count(*) FROM lineitem), 9) AS share FROM lineitem GROUP BY 1",
     "hist_added": f"SELECT {_bin('l_quantity', 6, 0, 60)} AS bin, count(*)::DOUBLE AS sumw FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1",
+    "hist_3d": f"SELECT {_bin('l_quantity', 4, 0, 40)} AS bin_0, cast(l_discount >= 0 AS BIGINT) + cast(l_discount >= 0.025 AS BIGINT) + cast(l_discount >= 0.055 AS BIGINT) AS bin_1, {_bin('l_extendedprice', 2, 0, 50000)} AS bin_2, count(*)::DOUBLE AS sumw FROM lineitem GROUP BY 1, 2, 3",
+    "hist_profile": f"SELECT {_bin('l_extendedprice', 8, 0, 80000)} AS bin, count(*)::DOUBLE AS sumw, sum(l_quantity) AS sumwy, sum(l_quantity * l_quantity) AS sumwy2, round(sum(l_quantity) / count(*), 6) AS mean FROM lineitem GROUP BY 1",
     "union_files": "SELECT true AS customers, 0::BIGINT AS low, count(*) - 1 AS high, count(*) AS n, sum(c_custkey)::BIGINT AS key FROM customer UNION ALL SELECT false, (SELECT count(*) FROM customer), (SELECT count(*) FROM customer) + count(*) - 1, count(*), sum(s_suppkey)::BIGINT FROM supplier",
     "map_zip": f"SELECT entry, subentry + 1 AS k, quantity AS q FROM {_SUB}",
     "vector_mass": "SELECT l_orderkey, round(max(sqrt((l_quantity + l_extendedprice) * (l_quantity + l_extendedprice) - l_quantity * l_quantity - l_discount * l_discount - l_tax * l_tax)), 3) AS mass, round(max(sqrt(l_quantity * l_quantity + l_discount * l_discount)), 6) AS pt FROM lineitem GROUP BY 1",

@@ -3,7 +3,9 @@
 Options: path (a file, a glob, or several split by commas), tree, branches
 (names split by commas: Spark can't prune columns of a Python source itself),
 entrystart, entrystop, step (entries a task, or a size as "64 MB"; clusters
-that together have about 64 MB by default), compression, level, rows.
+that together have about 64 MB by default), compression, level, rows,
+compressions (of single columns, as "x:zstd,y:lz4"; "x:" for none), shapes (of
+lists of fixed length, as "a:3,b:2x3").
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ def _files(options) -> list[str]:
     return out
 
 
+def _pairs(text: str) -> list[tuple[str, str]]:
+    """("x", "zstd"), ("y", "") of "x:zstd,y:"."""
+    return [tuple(x.strip().rsplit(":", 1)) for x in text.split(",") if x.strip()]
+
+
 def _merge(pairs: list[tuple[int, int]], rows: int) -> list[tuple[int, int]]:
     """Neighbouring clusters joined up to about rows entries."""
     out: list[list[int]] = []
@@ -120,7 +127,8 @@ class Writer(DataSourceArrowWriter):
         name = os.path.join(self.folder, f".{uuid.uuid4().hex}")
         o = self.options
         with FileWriter(name, "create", o.get("compression", "zlib") or None, int(o.get("level", 1))) as f:
-            t = f.tree(o.get("tree", "tree"), self.schema)
+            shapes = {k: tuple(int(n) for n in v.split("x")) for k, v in _pairs(o.get("shapes", ""))}
+            t = f.tree(o.get("tree", "tree"), self.schema, o.get("title", ""), shapes, {k: v or None for k, v in _pairs(o.get("compressions", ""))})
             for batch in iterator:
                 t.extend(pa.Table.from_batches([batch]))
             t.close()

@@ -11,10 +11,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 
+from quarry.operators.entries import expand
 from quarry.operators.steps import Chunk
 from quarry.sources.binary import In
 from quarry.sources.codec import decompress
-from quarry.sources.elements import Quantised, arrow_of, bits_of, decode_bits, parse
+from quarry.sources.elements import Quantised, Record, arrow_of, bits_of, decode_bits, parse
 
 # Fixed values of the format: leaf class -> big-endian type of its elements.
 LEAVES = {"TLeafB": ">i1", "TLeafS": ">i2", "TLeafI": ">i4", "TLeafL": ">i8", "TLeafG": ">i8", "TLeafF": ">f4", "TLeafD": ">f8", "TLeafO": "?", "TLeafC": "string", "TLeafF16": "short float", "TLeafD32": "short double"}
@@ -66,7 +67,7 @@ class Branch:
             return pa.string()
         if self.kind == "bits":
             return pa.list_(pa.bool_())
-        if self.kind == "composite":
+        if self.kind in ("composite", "record"):
             return self.element.arrow
         out = self.element.arrow if self.element else arrow_of(self.kind)
         for _ in self.shape:
@@ -188,6 +189,15 @@ class File:
         return read_hist(In(self.payload(key), origin=key.keylen), key.class_name)
 
 
+def numentries(paths, tree: str, total: bool = True):
+    """Entries of a tree over files, from its metadata alone; files without the tree count 0. total=False: by path, in order."""
+    counts = {}
+    for p in expand(paths):
+        with File(p) as f:
+            counts[p] = f.tree(tree).numentries if tree in f else 0
+    return sum(counts[p] for p in expand(paths)) if total else counts
+
+
 def _open(source):
     if isinstance(source, (bytes, bytearray)):
         return io.BytesIO(source)
@@ -282,6 +292,9 @@ class Tree:
             b.shape = tuple(int(x) for x in re.findall(r"\[(\d+)\]", leaf["title"])) or ((leaf["len"],) if leaf["len"] > 1 and not b.counter and b.kind != "string" else ())
             if b.kind in ("short float", "short double"):
                 b.element = Quantised.of_title(title if "," in title else leaf["title"], b.kind == "short double")
+        elif leaves and all(x["kind"] and (x["kind"] == "?" or x["kind"][0] == ">") and not x["counter"] for x in leaves):
+            shape = lambda x: tuple(int(k) for k in re.findall(r"\[(\d+)\]", x["title"])) or ((x["len"],) if x["len"] > 1 else ())
+            b.kind, b.element = "record", Record(tuple((x["name"], x["kind"], shape(x)) for x in leaves))
         if cls == "TBranchElement":
             self._element(b, d)
         return b
@@ -359,6 +372,8 @@ class Tree:
         if b.kind == "bits":
             flags = decode_bits(data, b.element)
             return pa.ListArray.from_arrays(np.arange(len(flags) + 1, dtype=np.int32) * b.element, pa.array(flags.ravel()))
+        if b.kind == "record":
+            return b.element.decode(data)
         if b.kind == "composite":
             # six bytes, a length and a version, come before each entry
             return pa.array([b.element.read(In(data, int(at) + 6)) for at in offsets[:-1]], b.element.arrow)

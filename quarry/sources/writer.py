@@ -133,6 +133,10 @@ class TreeWriter:
 
     def __init__(self, file: FileWriter, name: str, schema: pa.Schema, title: str, shapes: dict, compressions: dict):
         self.file, self.name, self.title, self.rows, self.columns = file, name, title, 0, {}
+        for kind in {*compressions.values()} - {*NUMBERS}:
+            raise ValueError(f"unknown compression {kind!r}")
+        for kind in {*compressions, *shapes} - {*schema.names}:
+            raise KeyError(kind)
         for f in schema:
             t, dims, how = f.type, shapes.get(f.name, ()), compressions.get(f.name, file.compression)
             for _ in dims:

@@ -6,7 +6,7 @@ import pytest
 
 from quarry.operators.hist import Axis, Histogram, HistogramND, Profile, fill_nd
 from quarry.sources import codec, datasource
-from quarry.sources.reader import File
+from quarry.sources.reader import File, numentries
 from quarry.sources.writer import FileWriter, write_table
 
 RANGES = [(None, None), (1, None), (1, 2), (1, 10), (10, 11), (10, 20), (6, 12), (6, 13)]
@@ -158,3 +158,21 @@ def test_data_source(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         df.write.format("eventfile").option("tree", "t").mode("append").save(out)
     df.write.format("eventfile").option("tree", "t").mode("overwrite").save(out)
+
+
+def test_columns_own_options(spark, tmp_path):
+    datasource.register(spark)
+    out = str(tmp_path / "out")
+    df = spark.range(0, 500, 1, 2).selectExpr("id", "id * 2 AS twice", "array(array(id, id + 1)) AS fixed")
+    df.write.format("eventfile").options(compression="zlib", compressions="twice:lz4,id:", shapes="fixed:1x2").mode("append").save(out)
+    with File(f"{out}/part-00000.root") as f:
+        t = f.tree("tree")
+        assert t.keys() == ["id", "twice", "fixed"]
+        raw, packed = (sum(getattr(c, k) for c in t.chunks(["id"])) for k in ("uncompressed", "compressed"))
+        assert raw == packed and sum(c.compressed for c in t.chunks(["twice"])) < raw
+    back = spark.read.format("eventfile").load(out).orderBy("id").collect()
+    assert [(r.twice, r.fixed) for r in back] == [(2 * i, [[i, i + 1]]) for i in range(500)]
+    assert numentries(f"{out}/*.root", "tree") == 500 and numentries(f"{out}/*.root", "none") == 0
+    assert list(numentries([f"{out}/part-00001.root", f"{out}/part-00000.root"], "tree", total=False).values()) == [250, 250]
+    with FileWriter(tmp_path / "x.root") as f, pytest.raises(ValueError):
+        f.tree("t", pa.schema([("x", pa.int32())]), compressions={"x": "none"})
