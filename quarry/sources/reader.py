@@ -15,7 +15,7 @@ from quarry.operators.entries import expand
 from quarry.operators.steps import Chunk
 from quarry.sources.binary import In
 from quarry.sources.codec import decompress
-from quarry.sources.elements import Quantised, Record, arrow_of, bits_of, decode_bits, parse
+from quarry.sources.elements import Quantised, Record, arrow_of, bits_of, decode_bits, parse, unpack_strings
 
 # Fixed values of the format: leaf class -> big-endian type of its elements.
 LEAVES = {"TLeafB": ">i1", "TLeafS": ">i2", "TLeafI": ">i4", "TLeafL": ">i8", "TLeafG": ">i8", "TLeafF": ">f4", "TLeafD": ">f8", "TLeafO": "?", "TLeafC": "string", "TLeafF16": "short float", "TLeafD32": "short double"}
@@ -362,13 +362,9 @@ class Tree:
 
     def _decode(self, name: str, i: int) -> pa.Array:
         b = self._all[name]
-        data, offsets, n, _ = self._basket(b, i)
+        data, offsets, _, _ = self._basket(b, i)
         if b.kind == "string":
-            out = []
-            for k in range(n):
-                d = In(data, int(offsets[k]))
-                out.append(d.string())
-            return pa.array(out, pa.string())
+            return unpack_strings(data, offsets if offsets is not None else np.zeros(1, np.int64))
         if b.kind == "bits":
             flags = decode_bits(data, b.element)
             return pa.ListArray.from_arrays(np.arange(len(flags) + 1, dtype=np.int32) * b.element, pa.array(flags.ravel()))

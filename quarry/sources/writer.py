@@ -16,6 +16,7 @@ import pyarrow as pa
 from quarry.operators.hist import Histogram, HistogramND, Profile
 from quarry.sources.binary import Out
 from quarry.sources.codec import compress
+from quarry.sources.elements import pack_strings
 
 # Fixed values of the format: element type -> leaf class, and its letter in titles.
 LEAF_OF = {"i1": ("TLeafB", "B"), "i2": ("TLeafS", "S"), "i4": ("TLeafI", "I"), "i8": ("TLeafL", "L"), "f4": ("TLeafF", "F"), "f8": ("TLeafD", "D"), "b1": ("TLeafO", "O"), "S": ("TLeafC", "C")}
@@ -172,8 +173,7 @@ class TreeWriter:
     def _chunk(self, c: Column, col: pa.Array) -> None:
         n, offsets = len(col), None
         if c.kind == "S":
-            parts = [bytes(Out().string(x).parts) for x in col.to_pylist()]
-            data, offsets = b"".join(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            data, offsets = pack_strings(col)
         else:
             width = int(c.kind[1:]) * (int(np.prod(c.shape)) if c.shape else 1)
             if c.counter:
