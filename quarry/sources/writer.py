@@ -81,13 +81,21 @@ class FileWriter:
         """Writes an object: make(length of its key) gives its bytes. A name that is there gets the next cycle."""
         if "/" in name:
             raise NotImplementedError("directories can't be written")
-        cycle = 1 + sum(k[1] == name for k in self.keys)
+        cycle = 1 + max((k[2] for k in self.keys if k[1] == name), default=0)
         keylen = self._key_head(cls, name, title, 0, 0, 0, cycle)[1]
         data = make(keylen)
         body = compress(data, self.compression if compression is False else compression, self.level)
         head = self._key_head(cls, name, title, len(data), len(body), self.at, cycle)[0]
         self._write(head + body)
-        self.keys.append((head, name))
+        self.keys.append((head, name, cycle))
+
+    def remove(self, name: str) -> None:
+        """Takes a name, all its cycles or the one after ``;``, out of the key list; its bytes stay. KeyError if it isn't there."""
+        bare, _, cycle = name.partition(";")
+        gone = [k for k in self.keys if k[1] == bare and (not cycle or k[2] == int(cycle))]
+        if not gone:
+            raise KeyError(name)
+        self.keys = [k for k in self.keys if k not in gone]
 
     def string(self, name: str, text: str) -> None:
         self.put("TObjString", name, "Collectable string class", lambda k: bytes(Out(k).object(1, lambda o: o.base_object().string(text)).parts))
@@ -107,7 +115,7 @@ class FileWriter:
         return TreeWriter(self, name, schema, title, shapes or {}, compressions or {})
 
     def close(self) -> None:
-        keys = b"".join(k for k, _ in self.keys)
+        keys = b"".join(k for k, _, _ in self.keys)
         body = struct.pack(">i", len(self.keys)) + keys
         head, keylen = self._key_head("TFile", self.name, "", len(body), len(body), self.at)
         seek_keys = self._write(head + body)

@@ -176,3 +176,18 @@ def test_columns_own_options(spark, tmp_path):
     assert list(numentries([f"{out}/part-00001.root", f"{out}/part-00000.root"], "tree", total=False).values()) == [250, 250]
     with FileWriter(tmp_path / "x.root") as f, pytest.raises(ValueError):
         f.tree("t", pa.schema([("x", pa.int32())]), compressions={"x": "none"})
+
+
+def test_remove(tmp_path):
+    with FileWriter(tmp_path / "a.root") as f:
+        for text in ("one", "two", "three"):
+            f.string("x", text)
+        f.string("y", "kept")
+        f.remove("x;2")
+        f.string("x", "four")
+        f.string("z", "gone")
+        f.remove("z")
+        with pytest.raises(KeyError):
+            f.remove("z")
+    with File(tmp_path / "a.root") as f:
+        assert [(k.name, k.cycle) for k in f.listing()] == [("x", 1), ("x", 3), ("y", 1), ("x", 4)] and f.string("x") == "four" and f.string("x;1") == "one"
