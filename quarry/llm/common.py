@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 
 #: A side with at most so many rows of a few numbers may be broadcast (about 16 MB).
 BROADCAST_ROWS = 500_000
+#: The column that tells rows apart where doc_id may not.
+ROW = "row_of_docs"
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -119,13 +121,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_by(docs: DataFrame, ids: DataFrame, count: int, how: str) -> DataFrame:
-    """docs left semi or anti joined to ids(doc_id); broadcast only where count allows it.
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with a column ROW, if it has none: a long of each row's own, never null, that ascends with doc_id, nulls first.
+
+    It is doc_id itself where no row lacks one or shares it. Otherwise the
+    rows are sorted and written once with their numbers; a hot doc_id is dealt
+    over tasks like any other rows.
+    """
+    if ROW in docs.columns:
+        return docs
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id"))
+    own = docs.withColumn(ROW, F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_first(), ROW)
+    return stored(own.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def keep_by(docs: DataFrame, ids: DataFrame, count: int, how: str, key: str = "doc_id") -> DataFrame:
+    """docs left semi or anti joined to ids by key; broadcast only where count allows it.
 
     Null ids match null ids.
     """
     name = fresh(docs, "other_id")
-    small = ids.select(F.col("doc_id").alias(name))
+    small = ids.select(F.col(key).alias(name))
     if count <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    return docs.join(small, docs["doc_id"].eqNullSafe(F.col(name)), how)
+    return docs.join(small, docs[key].eqNullSafe(F.col(name)), how)

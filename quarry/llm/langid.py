@@ -14,6 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.llm.common import arrow_map
 
@@ -106,18 +107,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return train([r.text for r in got], [r.lang for r in got])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous of every whole text of docs(doc_id, text).
+def label(docs: DataFrame, model: Model) -> DataFrame:
+    """docs, all columns, with lang_pred, score, ambiguous, and whether the whole text has a letter.
 
     A text that is null or has no letter is ``und`` with score 0; so is every
-    text if nothing was learned. Repeated rows give repeated rows.
+    text if nothing was learned. Each row is decided on its own.
     """
 
     def run(batches):
         for b in batches:
             n = len(b["text"])
-            out = {"doc_id": b["doc_id"], "lang_pred": [UND] * n, "score": [0.0] * n, "ambiguous": [False] * n}
-            todo = [i for i, t in enumerate(b["text"]) if t and _LETTER.search(t)] if model.langs else []
+            letters = [bool(t and _LETTER.search(t)) for t in b["text"]]
+            out = b | {"lang_pred": [UND] * n, "score": [0.0] * n, "ambiguous": [False] * n, "has_letter": letters}
+            todo = [i for i in range(n) if letters[i]] if model.langs else []
             for at in range(0, len(todo), 512):
                 part = todo[at : at + 512]
                 best, score, unsure = model.decode(np.stack([features(b["text"][i]) for i in part]))
@@ -125,4 +127,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     out["lang_pred"][i], out["score"][i], out["ambiguous"][i] = model.langs[k], min(1.0, s), u
             yield out
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
+    added = StructType.fromDDL("lang_pred string, score double, ambiguous boolean, has_letter boolean")
+    return arrow_map(docs, run, StructType([*docs.schema.fields, *added.fields]))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous of every whole text of docs(doc_id, text), as label() gives them.
+
+    Repeated rows give repeated rows.
+    """
+    return label(docs.select("doc_id", "text"), model).select("doc_id", "lang_pred", "score", "ambiguous")

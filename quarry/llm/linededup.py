@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, arrow_map, fresh, stored
+from quarry.llm.common import BROADCAST_ROWS, ROW, arrow_map, fresh, identified, stored
 from quarry.llm.words import chunks, words
 
 #: Lines of fewer words stay; similarity from which a later line goes, as a fraction.
@@ -407,9 +407,8 @@ def _repeats(table: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, lines: the numbers of the lines that go, ascending, of documents that lose any.
 
-    Lines of fewer than least words always stay. Null doc_id come first; null
-    texts have no lines. Rows that repeat a doc_id aren't told apart: line
-    numbers go from each of them.
+    Lines of fewer than least words always stay. Null texts have no lines.
+    doc_id must tell the rows apart (see identified); one null comes first.
     """
     table, counts = survey(docs, least)
     copies = _repeats(table)
@@ -433,17 +432,22 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """docs, all columns, without the lines that go; n_lines and n_removed are added.
 
-    A text that loses nothing is unchanged, null included.
+    A text that loses nothing is unchanged, null included. Rows are told apart
+    by an identity of their own: those that share a doc_id, or have none, are
+    documents of their own, whose order among each other is any fixed one.
     """
-    of, lost_lines = fresh(docs, "lines_of"), fresh(docs, "lost_lines")
-    lost = stored(dropped_lines(docs, least).select(F.col("doc_id").alias(of), F.col("lines").alias(lost_lines)), "lines-lost")
+    own = identified(docs)
+    of, lost_lines = fresh(own, "lines_of"), fresh(own, "lost_lines")
+    gone = dropped_lines(own.select(F.col(ROW).alias("doc_id"), "text"), least)
+    lost = stored(gone.select(F.col("doc_id").alias(of), F.col("lines").alias(lost_lines)), "lines-lost")
     n = lost.agg(F.sum(F.size(lost_lines) + 2)).first()[0] or 0
     side = F.broadcast(lost) if n <= 4 * BROADCAST_ROWS else lost
-    joined = docs.join(side, F.col(of).eqNullSafe(docs["doc_id"]), "left")
+    joined = own.join(side, F.col(of) == own[ROW], "left")
     lines = F.split(F.col("text"), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(lost_lines), i)), "\n")
     joined = joined.withColumns({
         "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
         "n_removed": F.when(F.col(lost_lines).isNull(), F.lit(0)).otherwise(F.size(lost_lines)).cast("long"),
     })
-    return joined.withColumn("text", F.when(F.col(lost_lines).isNull(), F.col("text")).otherwise(kept)).drop(of, lost_lines)
+    out = joined.withColumn("text", F.when(F.col(lost_lines).isNull(), F.col("text")).otherwise(kept)).drop(of, lost_lines)
+    return out if ROW in docs.columns else out.drop(ROW)
