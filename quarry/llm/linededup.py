@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Later lines of the same words in the same
+A line is the set of its words (or another unit with sets: see neardup). Later lines of the same words in the same
 numbers go first, by a key. The others order their words by rarity over the
 corpus and post those of their prefix; postings of a word meet in one task,
 where the length, positional and bitmap filters, all of them upper bounds,
@@ -97,7 +97,7 @@ def _id(doc_id) -> int:
     return _NULL if doc_id is None else doc_id
 
 
-def survey(docs: DataFrame, least: int = LEAST_WORDS) -> tuple[DataFrame, np.ndarray]:
+def survey(docs: DataFrame, least: int = LEAST_WORDS, unit: type = Lines) -> tuple[DataFrame, np.ndarray]:
     """The table of lines (doc, line_no, key), and how often words occur in them, counted by the first bits of their hash.
 
     doc is doc_id, the least long for null. Any fixed order of words gives
@@ -108,7 +108,7 @@ def survey(docs: DataFrame, least: int = LEAST_WORDS) -> tuple[DataFrame, np.nda
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
             for ids, texts in chunks(b["doc_id"], b["text"]):
-                lines = Lines(texts, least)
+                lines = unit(texts, least)
                 total += np.bincount((lines.h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
                 ids = np.array([_id(i) for i in ids], np.int64)
                 none = [None] * len(lines.text)
@@ -179,7 +179,7 @@ def _unpacked(parts: list[bytes]) -> dict:
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, inside: bool = False) -> DataFrame:
+def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, inside: bool = False, unit: type = Lines) -> DataFrame:
     """(bucket, posts): the prefix words of each line of docs(doc_id, text, lines) that isn't in lines, or that is.
 
     The prefix of a set of n words has n - ceil(0.8 n) + 1 words. place: the
@@ -195,7 +195,7 @@ def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, insi
         held, size = [], 0
         for b in batches:
             for at, texts in chunks(range(len(b["text"])), b["text"]):
-                lines = Lines(texts, least)
+                lines = unit(texts, least)
                 lines.take(_rows_of(lines, [b["lines"][i] for i in at], inside))
                 if not len(lines.text):
                     continue
@@ -348,7 +348,7 @@ def candidates(posts: DataFrame, first: int | None = FIRST, parts: int | None =
     return found.groupBy("old_doc", "old_line", "doc", "line_no").agg(F.max("more").alias("more"))
 
 
-def similar(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def similar(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, unit: type = Lines) -> DataFrame:
     """Of candidate pairs the lines (doc, line_no) that have an earlier line of similarity 0.8 or more, each once.
 
     Only the lines that the pairs name are read again.
@@ -359,7 +359,7 @@ def similar(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS) -> Data
     def sets(batches):
         for b in batches:
             for at, texts in chunks(range(len(b["text"])), b["text"]):
-                lines = Lines(texts, least)
+                lines = unit(texts, least)
                 lines.take(_rows_of(lines, [b["lines"][i] for i in at], True))
                 lines.distinct()
                 raw, cut = lines.h.astype("<u8").tobytes(), (lines.edges * 8).tolist()
@@ -404,26 +404,27 @@ def _repeats(table: DataFrame) -> DataFrame:
     return of_hot.where(late).select("doc", "line_no").union(of_cold.where(late).select("doc", "line_no"))
 
 
-def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, unit: type = Lines, named: DataFrame | None = None) -> DataFrame:
     """doc_id, lines: the numbers of the lines that go, ascending, of documents that lose any.
 
     Lines of fewer than least words always stay. Null texts have no lines.
     doc_id must tell the rows apart (see identified); one null comes first.
+    unit: what makes sets of texts. named: more candidates, as of candidates().
     """
-    table, counts = survey(docs, least)
+    table, counts = survey(docs, least, unit)
     copies = _repeats(table)
     copies, n = _by_doc(copies, "line-copies")
-    posts = stored(postings(_with_lines(docs, copies, n, "left"), counts, least), "line-postings")
+    posts = stored(postings(_with_lines(docs, copies, n, "left"), counts, least, unit=unit), "line-postings")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets_of(counts) // 2, MOST_PARTS))
     pairs = stored(candidates(posts, parts=parts), "line-pairs")
-    late = stored(similar(docs, pairs, least), "line-later")
+    late = stored(similar(docs, pairs if named is None else pairs.unionByName(named), least, unit), "line-later")
     open_ = pairs.groupBy("doc", "line_no").agg(F.max("more").alias("more")).where("more").select("doc", "line_no").join(late, ["doc", "line_no"], "left_anti")
     open_, n = _by_doc(open_, "lines-open")
     if n:
-        again = stored(postings(_with_lines(docs, open_, n, "inner"), counts, least, inside=True), "line-postings-again")
+        again = stored(postings(_with_lines(docs, open_, n, "inner"), counts, least, inside=True, unit=unit), "line-postings-again")
         asked = again.select(F.col("bucket").alias("asked")).distinct()
         flagged = posts.join(asked, F.col("bucket") == F.col("asked"), "left_semi").withColumn("again", F.lit(False)).union(again.withColumn("again", F.lit(True)))
-        late = late.union(similar(docs, stored(candidates(flagged, parts=parts), "line-pairs-again"), least))
+        late = late.union(similar(docs, stored(candidates(flagged, parts=parts), "line-pairs-again"), least, unit))
     lost = copies.select("doc", F.explode("lines").alias("line_no")).union(late)
     lost = lost.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
     return lost.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), "lines")

@@ -1,6 +1,9 @@
 """Whole jobs: what earlier versions left out."""
 
+import random
+
 import corpus_pipeline
+from pyspark.sql import functions as F
 from quarry.llm import linededup
 
 PIPE_DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -37,3 +40,32 @@ def test_line_dedup_of_repeated_ids(spark):
     got = linededup.dedup(documents(spark, rows)).collect()
     assert sum(r.n_removed for r in got) == 2
     assert sorted(x for r in got for x in r.text.split("\n") if x) == sorted(sentence(i) for i in (1, 2, 3, 4))
+
+
+def shingles(text, k=5):
+    found = text.encode().lower().split()
+    return {tuple(found[i : i + k]) for i in range(max(1, len(found) - k + 1))} if found else set()
+
+
+def test_near_dedup_finds_every_pair_of_similarity(spark):
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((1, 3, 5, 12, 60, 150, 400)))]
+        rows.append(" ".join(base))
+        for _ in range(3):
+            other = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 30)):
+                other[rng.randrange(len(other))] = f"new{rng.randrange(10**6)}"
+            rows.append(" ".join(other[: len(other) - rng.randrange(1 + len(base) // 10)]))
+    docs = documents(spark, [(i, t, "en") for i, t in enumerate(rows)]).union(
+        spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("text IS NOT NULL").withColumn("doc_id", F.expr("doc_id + 1000"))
+    )
+    seen, want = [], set()
+    for i, t in sorted((r.doc_id, r.text) for r in docs.collect()):
+        own = shingles(t)
+        like = [s for s in seen if own and 5 * len(own & s) >= 4 * len(own | s)]
+        seen.append(own)
+        if not like:
+            want.add(i)
+    got = {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert got == want and len(want) < len(seen) - 60
