@@ -3,8 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 from quarry.llm import linededup
+from quarry.llm.tokens import Encoder
 
 PIPE_DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -69,3 +72,13 @@ def test_near_dedup_finds_every_pair_of_similarity(spark):
             want.add(i)
     got = {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()}
     assert got == want and len(want) < len(seen) - 60
+
+
+def test_pipeline_gives_the_packed_ids(spark):
+    docs = documents(spark, [(i, " ".join(map(sentence, range(i, 9 * i))), "en") for i in range(1, 9)])
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: np.append(np.frombuffer(own(r.text), "<u4"), 1).tolist() for r in docs.collect()}
+    got = {}
+    for r in sorted(corpus_pipeline.pack(spark, docs, "").collect(), key=lambda r: r.start):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert got == want
