@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
-from quarry.llm import linededup
+from quarry.llm import langid, linededup
 from quarry.llm.tokens import Encoder
 
 PIPE_DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -82,3 +82,21 @@ def test_pipeline_gives_the_packed_ids(spark):
     for r in sorted(corpus_pipeline.pack(spark, docs, "").collect(), key=lambda r: r.start):
         got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
     assert got == want
+
+
+def test_language_stage_without_labels(spark):
+    docs = documents(spark, [(1, sentence(1), None), (2, "12 !?", None), (3, sentence(2), None), (4, None, None)])
+    left = corpus_pipeline.language(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.lang) for r in left) == [(1, None), (3, None)]
+
+
+def test_language_decision_takes_effect(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL")
+    docs = docs.select("doc_id", "text", F.expr("if(doc_id % 4 = 0, null, lang)").alias("lang"), "source", "n_chars", F.col("lang").alias("truth"))
+    pairs = corpus_pipeline.language(spark, docs.drop("truth"), "").join(docs.select("doc_id", "truth"), "doc_id").where("doc_id % 4 = 0").collect()
+    assert pairs and sum(r.lang == r.truth for r in pairs) >= 0.9 * len(pairs)
+    codes = langid.codewords(2)
+    none = langid.Model(["en", "fr"], codes, np.zeros((langid.DIM + 1, codes.shape[1]), np.float32))
+    monkeypatch.setattr(langid, "fit", lambda docs: none)  # to it every text is ambiguous, and en the best
+    left = corpus_pipeline.language(spark, documents(spark, [(1, "a text", None), (2, "a text", "en"), (3, "a text", "fr")]), "")
+    assert [(r.doc_id, r.lang) for r in left.collect()] == [(2, "en")]
