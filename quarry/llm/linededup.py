@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import BROADCAST_ROWS, ROW, arrow_map, fresh, identified, stored
 from quarry.llm.words import chunks, words
 
-#: Lines of fewer words stay; similarity from which a later line goes, as a fraction.
-LEAST_WORDS, NUM, DEN = 5, 4, 5
+#: Lines of fewer words, the blank ones, stay; similarity from which a later line goes, as a fraction.
+LEAST_WORDS, NUM, DEN = 1, 4, 5
 #: The rarity sketch: 2^18 counters (2 MB) whatever the corpus.
 SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 13
 #: Candidates that a posted line names at first; only a line none of whose candidates hold, and that has more, is looked at again.

@@ -100,3 +100,11 @@ def test_language_decision_takes_effect(spark, monkeypatch):
     monkeypatch.setattr(langid, "fit", lambda docs: none)  # to it every text is ambiguous, and en the best
     left = corpus_pipeline.language(spark, documents(spark, [(1, "a text", None), (2, "a text", "en"), (3, "a text", "fr")]), "")
     assert [(r.doc_id, r.lang) for r in left.collect()] == [(2, "en")]
+
+
+def test_short_lines_and_lines_without_blanks(spark):
+    chinese = "这是一个没有空格的段落，它在两个文档里重复出现。"
+    rows = [(1, f"Read more\n{chinese}\n\none two three four", "en"), (2, f"{chinese}\n\nread  MORE\nx", "en"), (3, "one two three four five\nx\n\n", "en")]
+    got = {r.doc_id: r for r in linededup.dedup(documents(spark, rows)).collect()}
+    assert [got[i].text for i in (1, 2, 3)] == [rows[0][1], "\nx", "\n"]
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 2, 2]
