@@ -9,6 +9,7 @@ its first word to its end, window after window.
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
@@ -20,8 +21,10 @@ from quarry.llm.words import chunks, words
 
 #: Model: vocabulary, hidden numbers, classes. Words whose counts every task gets (16 bytes each), as a bound.
 VOCAB, HIDDEN, CLASSES, KNOWN = 4096, 32, 64, 1 << 18
-#: Training of the weights: documents (one a slot of hashed texts), words of each, window, lanes, epochs, rate.
-SAMPLE, SAMPLE_WORDS, WINDOW, LANES, EPOCHS, RATE = 2000, 600, 16, 64, 2, 6e-3
+#: Training of the weights: documents of the start (one a slot of hashed texts), window, lanes, epochs of the start, rate.
+SAMPLE, WINDOW, LANES, EPOCHS, RATE = 2000, 16, 64, 2, 6e-3
+#: The pass over all documents: most lanes, steps that few entries are cut into, entries that a task takes at once, weights in a row of what tasks send.
+PASS_LANES, PASS_STEPS, PASS_ENTRIES, PASS_BLOCK = 256, 200, 1 << 20, 1 << 13
 END, RARE = 0, 1
 
 
@@ -276,12 +279,60 @@ class Scorer:
         return [np.append(entry[a:b], END) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def learn_all(scorer: Scorer, docs: DataFrame) -> None:
+    """Trains the weights on every whole text of docs(text): each task on its own from the same start, then their mean by entries read.
+
+    What the driver gets, and what a task holds, doesn't depend on the input.
+    """
+    held, names = docs.sparkSession.sparkContext.broadcast(scorer), sorted(scorer.gru.p)
+
+    def run(batches):
+        s, total = held.value, 0
+        gru = copy.copy(s.gru)
+        gru.p = {n: a.copy() for n, a in s.gru.p.items()}
+        waiting, size = [], 0
+
+        def learn():
+            gru.train(waiting, 1, lanes=int(np.clip(size // (WINDOW * PASS_STEPS), 1, PASS_LANES)))
+
+        for b in batches:
+            for _, texts in chunks(b["text"], b["text"], 1 << 22):
+                for d in s.entries(texts):
+                    waiting.append(d)
+                    size += len(d)
+                    if size >= PASS_ENTRIES:
+                        learn()
+                        total, waiting, size = total + size, [], 0
+        if size:
+            learn()
+            total += size
+        if total:
+            flat = np.concatenate([gru.p[n].ravel() for n in names]).astype("<f4")
+            blocks = [flat[at : at + PASS_BLOCK].tobytes() for at in range(0, len(flat), PASS_BLOCK)]
+            yield {"block": np.arange(len(blocks)), "n": [total] * len(blocks), "weights": blocks}
+
+    def mean(pdf):
+        import pandas as pd
+
+        total = sum(n * np.frombuffer(w, "<f4").astype(np.float64) for n, w in zip(pdf["n"], pdf["weights"], strict=True))
+        return pd.DataFrame({"block": pdf["block"][:1].to_numpy(), "weights": [(total / pdf["n"].sum()).astype("<f4").tobytes()]})
+
+    sent = stored(arrow_map(docs.select("text"), run, "block int, n bigint, weights binary"), "lm-weights")
+    got = sorted((r.block, r.weights) for r in sent.groupBy("block").applyInPandas(mean, "block int, weights binary").collect())
+    at, flat = 0, np.frombuffer(b"".join(w for _, w in got), "<f4")
+    for n in names if len(flat) else []:
+        a = scorer.gru.p[n]
+        scorer.gru.p[n] = flat[at : at + a.size].reshape(a.shape).astype(np.float32)
+        at += a.size
+
+
 def fit(docs: DataFrame, training: Column, sample: int = SAMPLE) -> tuple[Scorer, DataFrame]:
     """The scorer, and the table of all counts.
 
-    Counts, totals and the vocabulary are over all training documents; only
-    the weights are learned from at most sample documents (of each slot of
-    hashed texts the least), SAMPLE_WORDS words each.
+    Counts, totals, the vocabulary and the weights are over all training
+    documents, whole. The weights start from at most sample documents (of each
+    slot of hashed texts the one of the least hash); then learn_all() reads
+    every document once.
     """
     own = docs.where(F.coalesce(training, F.lit(False)))
     table = stored(word_counts(own), "lm-counts")
@@ -299,9 +350,11 @@ def fit(docs: DataFrame, training: Column, sample: int = SAMPLE) -> tuple[Scorer
     h = top["h"].to_numpy().astype(np.int64).view(np.uint64) if top is not None else np.zeros(0, np.uint64)
     c = top["c"].to_numpy().astype(np.int64) if top is not None else np.zeros(0, np.int64)
     scorer = Scorer(h, c, n_docs, total, distinct)
-    slots = own.groupBy(F.pmod(F.xxhash64("text"), F.lit(sample)).alias("slot")).agg(F.min(F.substring(F.coalesce("text", F.lit("")), 1, 8 * SAMPLE_WORDS)).alias("text"))
+    hashed = own.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    slots = hashed.groupBy(F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min_by("text", "h").alias("text"))
     texts = [r.text for r in slots.orderBy("slot").collect()]
-    scorer.gru.train([d[:SAMPLE_WORDS] for d in scorer.entries(texts)])
+    scorer.gru.train(scorer.entries(texts))
+    learn_all(scorer, own)
     return scorer, table
 
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
-from quarry.llm import langid, linededup
+from quarry.llm import grulm, langid, linededup
 from quarry.llm.tokens import Encoder
 
 PIPE_DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -108,3 +108,11 @@ def test_short_lines_and_lines_without_blanks(spark):
     got = {r.doc_id: r for r in linededup.dedup(documents(spark, rows)).collect()}
     assert [got[i].text for i in (1, 2, 3)] == [rows[0][1], "\nx", "\n"]
     assert [got[i].n_removed for i in (1, 2, 3)] == [0, 2, 2]
+
+
+def test_lm_learns_from_all_documents_whole(spark):
+    rng, cycle = random.Random(1), [f"c{k}" for k in range(10)]
+    texts = [" ".join([f"a{rng.randrange(10)}" for _ in range(700)] + cycle * 70) for _ in range(120)]
+    scorer, _ = grulm.fit(documents(spark, [(i, t, "en") for i, t in enumerate(texts)]), F.lit(True), sample=2)
+    tail = scorer.entries([" ".join(cycle * 70)])[0]
+    assert scorer.gru.score([tail])[0] / len(tail) > -0.5  # a word of its cycle is one of twenty without learning, -1.3
