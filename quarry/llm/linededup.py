@@ -25,6 +25,8 @@ SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 13
 FIRST = 8
 #: Words of up to so many postings are compared all at once.
 SMALL = 64
+#: Sets of more words have no marks: those would differ too little against the room, and zeros take no space when compressed.
+MARKED = 256
 #: Columns of a posting; postings that a task holds before it sends them; most tasks that compare them.
 POSTING = {"word": "<i8", "doc": "<i8", "line_no": "<i4", "n": "<i4", "place": "<i4", "marks": "<i8", "marks2": "<i8"}
 POSTING_BYTES = sum(np.dtype(t).itemsize for t in POSTING.values())
@@ -185,7 +187,7 @@ def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, insi
     The prefix of a set of n words has n - ceil(0.8 n) + 1 words. place: the
     word's place in the ordered set. marks: 128 bits, each the parity of the
     number of words that hash to it; two sets differ in at least as many words
-    as bits. Postings travel by bucket of their word, many to a row.
+    as bits; sets of more than MARKED words have none. Postings travel by bucket of their word, many to a row.
     """
     ranks = np.empty(len(counts), np.uint64)
     ranks[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
@@ -205,7 +207,7 @@ def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, insi
                 place = np.arange(len(lines.h)) - lines.edges[own]
                 bit = np.uint64(1) << (lines.h & np.uint64(63))
                 low = (lines.h >> np.uint64(6) & np.uint64(1)).astype(bool)
-                marks, marks2 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), lines.edges[:-1]).view(np.int64) for x in (low, ~low))
+                marks, marks2 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), lines.edges[:-1]).view(np.int64) * (n <= MARKED) for x in (low, ~low))
                 take = place < (n - (NUM * n + DEN - 1) // DEN + 1)[own]
                 row = own[take]
                 ids = np.array([_id(b["doc_id"][i]) for i in at], np.int64)
@@ -233,7 +235,7 @@ def _close(cols: dict, old: np.ndarray, new: np.ndarray) -> np.ndarray:
     room = (a + b - 2 * need)[good]
     old, new = old[good], new[good]
     ones = lambda k: np.bitwise_count((cols[k][old] ^ cols[k][new]).view(np.uint64)).astype(np.int32)
-    return good[ones("marks") + ones("marks2") <= room]
+    return good[(np.maximum(a[good], b[good]) > MARKED) | (ones("marks") + ones("marks2") <= room)]
 
 
 def _run_pairs(cols: dict, first: int | None, again: np.ndarray | None):
