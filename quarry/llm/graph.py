@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0 to n - 1 that each one reaches over the links a-b, all at once."""
+    least = np.arange(n)
+    while len(a):
+        x, y = least[a], least[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least[least] != least).any():
+            least = least[least]
+    return least
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: each node's larger (or smaller) neighbours move to its least neighbour."""
     if large:

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, iblt, langid, linededup, packing, planes, simhash
+from quarry.llm.graph import roots
 from quarry.llm.tokens import Encoder
 from quarry.llm.words import words
 from tests.llm.cases import rows, table
@@ -174,15 +175,53 @@ def test_simhash(spark):
     assert simhash.near_groups(table(spark)).count() == len(rows())
 
 
-@pytest.mark.parametrize("most", [4, 5])
-def test_simhash_links_find_every_pair(spark, most):
+def plain_roots(fps, most):
+    """The least fingerprint that each reaches over pairs of at most so many bits."""
+    x, left, out = np.array(fps, np.uint64), set(range(len(fps))), {}
+    while left:
+        todo, own = [left.pop()], []
+        while todo:
+            i = todo.pop()
+            own.append(i)
+            new = left & set(np.flatnonzero(np.bitwise_count(x ^ x[i]) <= most).tolist())
+            left -= new
+            todo += new
+        out |= dict.fromkeys((fps[i] for i in own), min(fps[i] for i in own))
+    return out
+
+
+def linked_roots(spark, fps, most):
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), most).toPandas()
+    number = {f: i for i, f in enumerate(sorted(fps))}
+    ends = [np.array([number[int(v) & (1 << 64) - 1] for v in got[c]], int) for c in ("src", "dst")]
+    least = roots(len(fps), *ends)
+    return {f: sorted(fps)[least[number[f]]] for f in fps}, len(got)
+
+
+@pytest.mark.parametrize("most,shard", [(4, 1 << 16), (5, 1 << 16), (4, 7)])
+def test_simhash_links_join_every_pair(spark, monkeypatch, most, shard):
+    monkeypatch.setattr(simhash, "SHARD", shard)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (1, 2, 3, 4, 5, 5, 5, 6)]
     fps = list(dict.fromkeys([*map(int, base), *near, 0, 1, (1 << 64) - 1]))
-    classes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp bigint, rep bigint")
-    got = {tuple(sorted((r.src, r.dst))) for r in simhash.links(classes, most).collect()}
-    assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(fps), 2) if bin(a ^ b).count("1") <= most}
+    assert linked_roots(spark, fps, most)[0] == plain_roots(fps, most)
+
+
+def test_simhash_dense_group(spark):
+    rng = np.random.default_rng(6)
+    fps = list(dict.fromkeys(int(0x0123456789ABCDEF) ^ sum(1 << int(k) for k in rng.choice(64, 3, replace=False)) for _ in range(40_000)))
+    fps = fps[:20_000] + rng.integers(0, 1 << 63, 500).tolist()
+    got, n = linked_roots(spark, fps, 4)
+    assert got == plain_roots(fps, 4) and n <= 50 * len(fps)
+
+
+def test_simhash_links_rows_without_an_id(spark):
+    own = [(None, "a b c d e f"), (7, "a b c d e f"), (None, "only here, without an id"), (None, None), (9, "")]
+    prints = [simhash.fingerprint(t) for _, t in own]
+    got = Counter((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_groups(spark.createDataFrame(own, "doc_id bigint, text string")).collect())
+    assert got == Counter(zip((None, 7, None, None, 9), prints, (7, 7, None, 9, 9), strict=True))
 
 
 def test_words():
