@@ -1,24 +1,30 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words (or another unit with sets: see neardup). Later lines of the same words in the same
-numbers go first, by a key. The others order their words by rarity over the
-corpus and post those of their prefix; postings of a word meet in one task,
-where the length, positional and bitmap filters, all of them upper bounds,
-leave candidates, and the Jaccard similarity of these is computed exactly. A
-line goes if an earlier line (by doc_id, then line number) is similar.
+A line is the set of its words (or another unit with sets: see neardup). Later
+lines of the same set go first, by a key; sets of under four words are similar
+to equal ones only. The others order their words by rarity over the corpus and
+post those of their prefix (the commonest words in pairs with the next ones,
+so that no word's list is a share of the corpus). Postings of a word meet in
+one task, where the length, positional and bitmap filters, all of them upper
+bounds, leave candidates, and the Jaccard similarity of these is computed
+exactly. A line goes if an earlier line (by doc_id, then line number) is
+similar.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, ROW, arrow_map, fresh, identified, stored
+from quarry.llm.common import BROADCAST_ROWS, ROW, added, arrow_map, fresh, identified, stored
 from quarry.llm.words import chunks, words
 
 #: Lines of fewer words, the blank ones, stay; similarity from which a later line goes, as a fraction.
 LEAST_WORDS, NUM, DEN = 1, 4, 5
+#: Sets of fewer words have no similar ones but their equals: n words of n + 1 are NUM / DEN from here on.
+LEAST_SET = NUM // (DEN - NUM)
 #: The rarity sketch: 2^18 counters (2 MB) whatever the corpus.
 SKETCH_BITS, SKETCH_BLOCK = 18, 1 << 13
 #: Candidates that a posted line names at first; only a line none of whose candidates hold, and that has more, is looked at again.
@@ -27,19 +33,46 @@ FIRST = 8
 SMALL = 64
 #: Sets of more words have no marks: those would differ too little against the room, and zeros take no space when compressed.
 MARKED = 256
-#: Columns of a posting; postings that a task holds before it sends them; most tasks that compare them.
-POSTING = {"word": "<i8", "doc": "<i8", "line_no": "<i4", "n": "<i4", "place": "<i4", "marks": "<i8", "marks2": "<i8"}
-POSTING_BYTES = sum(np.dtype(t).itemsize for t in POSTING.values())
-HELD, MOST_PARTS = 1 << 19, 100_000
+#: Words counted more often than this, and than this share (a power of two) of all words, are posted in pairs.
+HOT_WORD, HOT_WORD_SHARE = 1 << 17, 11
+#: Postings that a task holds before it sends them, postings a bucket, buckets a task, most tasks that compare them.
+HELD, BUCKET, BUCKETS_A_TASK, MOST_PARTS = 1 << 19, 1 << 16, 8, 100_000
 #: A line's copies are hot from 1 / (HOT_SHARE * shuffle partitions) of all lines on: at most that many keys are broadcast.
 HOT_SHARE = 8
 _NULL = -(1 << 63)
 _BLOCK = 256
+#: 48 bits name a word in postings and keys.
+_NAME = np.uint64((1 << 48) - 1)
+
+
+def _distinct(own: np.ndarray, names: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's names of 48 bits once, ascending; own: the lines' numbers, as unsigned 64-bit."""
+    if lines <= 1 << 16:
+        both = np.sort(own << np.uint64(48) | names)
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        both = both[new]
+        return both >> np.uint64(48), both & _NAME
+    order = np.lexsort((names, own))
+    own, names = own[order], names[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (names[1:] != names[:-1])
+    return own[new], names[new]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
 
 
 class Lines:
     """Of all lines with enough words in some texts: number of the text, number of the line in it, word hashes with edges."""
 
+    #: Columns of a posting.
+    columns = {"word": "<i8", "doc": "<i8", "line_no": "<i4", "n": "<i4", "place": "<i4", "marks": "<i8", "marks2": "<i8"}
+
     def __init__(self, texts: list, least: int):
         w = words(texts)
         raw = np.frombuffer(w.raw, np.uint8)
@@ -54,15 +87,15 @@ class Lines:
         self.h = w.hashes[(n >= least)[line]]
         self.edges = np.concatenate(([0], np.cumsum(n[keep])))
 
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.text), dtype=np.uint64), np.diff(self.edges))
+
     def keys(self) -> np.ndarray:
-        """A 64-bit name of the words of each line with their numbers, whatever the order."""
+        """A 64-bit name of the set of words of each line."""
         if not len(self.text):
             return np.zeros(0, np.int64)
-        x = self.h * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        return np.add.reduceat(x, self.edges[:-1]).view(np.int64)
+        own, names = _distinct(self.owners(), self.h & _NAME, len(self.text))
+        return np.add.reduceat(_mixed(names), np.searchsorted(own, np.arange(len(self.text), dtype=np.uint64))).view(np.int64)
 
     def take(self, rows: np.ndarray) -> None:
         """Keeps only these lines."""
@@ -77,22 +110,16 @@ class Lines:
 
         By rarity, 48 bits name a word: the rank of its counter, then 30 bits of its hash.
         """
-        own = np.repeat(np.arange(len(self.text), dtype=np.uint64), np.diff(self.edges))
+        own = self.owners()
         if ranks is None:
             order = np.lexsort((self.h, own))
             own, h = own[order], self.h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
+            own, self.h = own[new], h[new]
         else:
-            h = ranks[(self.h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(30) | self.h & np.uint64((1 << 30) - 1)
-            if len(self.text) <= 1 << 16:
-                both = np.sort(own << np.uint64(48) | h)
-                own, h = both >> np.uint64(48), both & np.uint64((1 << 48) - 1)
-            else:
-                order = np.lexsort((h, own))
-                own, h = own[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
-        self.h = h[new]
-        self.edges = np.concatenate(([0], np.cumsum(np.bincount(own[new].astype(np.int64), minlength=len(self.text)))))
+            own, self.h = _distinct(own, ranks[(self.h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(30) | self.h & np.uint64((1 << 30) - 1), len(self.text))
+        self.edges = np.concatenate(([0], np.cumsum(np.bincount(own.astype(np.int64), minlength=len(self.text)))))
 
 
 def _id(doc_id) -> int:
@@ -103,7 +130,8 @@ def survey(docs: DataFrame, least: int = LEAST_WORDS, unit: type = Lines) -> tup
     """The table of lines (doc, line_no, key), and how often words occur in them, counted by the first bits of their hash.
 
     doc is doc_id, the least long for null. Any fixed order of words gives
-    the same pairs; rarity makes short lists. The driver gets 32 rows of 64 kB.
+    the same pairs; rarity makes short lists. Tasks' counts are added in two
+    steps, so that no group grows with the tasks; the driver gets 32 rows of 64 kB.
     """
 
     def run(batches):
@@ -115,18 +143,18 @@ def survey(docs: DataFrame, least: int = LEAST_WORDS, unit: type = Lines) -> tup
                 ids = np.array([_id(i) for i in ids], np.int64)
                 none = [None] * len(lines.text)
                 yield {"doc": ids[lines.text], "line_no": lines.line, "key": lines.keys(), "block": none, "counts": none}
-        blocks = total.reshape(-1, SKETCH_BLOCK).astype("<u4")
+        blocks = total.reshape(-1, SKETCH_BLOCK)
         none = [None] * len(blocks)
         yield {"doc": none, "line_no": none, "key": none, "block": np.arange(len(blocks)), "counts": [x.tobytes() for x in blocks]}
 
     def add(pdf):
         import pandas as pd
 
-        total = sum((np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["counts"]), np.zeros(SKETCH_BLOCK, np.int64))
-        return pd.DataFrame({"block": pdf["block"][:1].to_numpy(), "counts": [total.astype("<i8").tobytes()]})
+        total = sum((np.frombuffer(x, "<i8") for x in pdf["counts"]), np.zeros(SKETCH_BLOCK, np.int64))
+        return pd.DataFrame({"block": pdf["block"][:1].to_numpy(), "counts": [total.tobytes()]})
 
     both = stored(arrow_map(docs.select("doc_id", "text"), run, "doc bigint, line_no int, key bigint, block int, counts binary"), "lines")
-    rows = both.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
+    rows = added(both.where("block IS NOT NULL").select("block", "counts"), add, "block int, counts binary").collect()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
         counts[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(r.counts, "<i8")
@@ -155,42 +183,58 @@ def _rows_of(lines: Lines, wanted: list, inside: bool) -> np.ndarray:
 
 
 def buckets_of(counts: np.ndarray) -> int:
-    """So many buckets of words that one holds about 2^18 postings."""
-    return max(64, int(counts.sum()) // (5 << 18))
+    """So many buckets of words that one holds about BUCKET postings."""
+    return max(64, int(counts.sum()) // (5 * BUCKET))
 
 
-def _packed(held: list[dict], buckets: int) -> dict:
-    """A row for each bucket: its postings' columns, one after the other, as bytes."""
-    cols = {k: np.concatenate([x[k] for x in held]).astype(t) for k, t in POSTING.items()}
+def _packed(held: list[dict], buckets: int, columns: dict) -> dict:
+    """A row for each bucket: its postings' columns, one after the other, compressed."""
+    cols = {k: np.concatenate([x[k] for x in held]).astype(t) for k, t in columns.items()}
     bucket = (cols["word"] & ((1 << 30) - 1)) % buckets
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     bucket = bucket[order]
     cols = [v[order] for v in cols.values()]
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    return {"bucket": bucket[edges[:-1]], "posts": [b"".join(v[x:y].tobytes() for v in cols) for x, y in zip(edges.tolist(), edges[1:].tolist(), strict=False)]}
+    press = zstandard.ZstdCompressor(level=1)
+    return {"bucket": bucket[edges[:-1]], "posts": [press.compress(b"".join(v[x:y].tobytes() for v in cols)) for x, y in zip(edges.tolist(), edges[1:].tolist(), strict=False)]}
 
 
-def _unpacked(parts: list[bytes]) -> dict:
-    """The columns of all postings in some rows' bytes."""
-    out = {k: [] for k in POSTING}
-    for p in parts:
-        n, at = len(p) // POSTING_BYTES, 0
-        for k, t in POSTING.items():
+def _unpacked(rows: list[bytes], columns: dict) -> tuple[dict, list[int]]:
+    """The columns of all postings in some rows' bytes, and how many each row has."""
+    out, sizes, open_ = {k: [] for k in columns}, [], zstandard.ZstdDecompressor()
+    width = sum(np.dtype(t).itemsize for t in columns.values())
+    for p in map(open_.decompress, rows):
+        n, at = len(p) // width, 0
+        for k, t in columns.items():
             out[k].append(np.frombuffer(p, t, n, at))
             at += n * np.dtype(t).itemsize
-    return {k: np.concatenate(v) for k, v in out.items()}
+        sizes.append(n)
+    return {"line_no": np.zeros(sum(sizes), np.int32)} | {k: np.concatenate(v) for k, v in out.items()}, sizes
+
+
+def _paired(rows: np.ndarray, h: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of these words with each of the after words that follow it in its line: row of the first, and the pair's name."""
+    n = after[rows]
+    first = np.repeat(rows, n)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+    return first, _mixed(h[first] * np.uint64(3) + _mixed(h[second])) & _NAME
 
 
 def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, inside: bool = False, unit: type = Lines) -> DataFrame:
     """(bucket, posts): the prefix words of each line of docs(doc_id, text, lines) that isn't in lines, or that is.
 
-    The prefix of a set of n words has n - ceil(0.8 n) + 1 words. place: the
-    word's place in the ordered set. marks: 128 bits, each the parity of the
-    number of words that hash to it; two sets differ in at least as many words
-    as bits; sets of more than MARKED words have none. Postings travel by bucket of their word, many to a row.
+    The prefix of a set of n words has n - ceil(0.8 n) + 1 words. Two similar
+    sets share their first common word in both prefixes, and the second in
+    prefixes longer by one; so a word that is hot by its count goes in pairs
+    with those after it. place: the word's place in the ordered set. marks:
+    128 bits, each the parity of the number of words that hash to it; two sets
+    differ in at least as many words as bits; sets of more than MARKED words
+    have none. Postings travel by bucket of their word, many to a row.
     """
+    order = np.argsort(counts, kind="stable")
     ranks = np.empty(len(counts), np.uint64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
+    ranks[order] = np.arange(len(counts), dtype=np.uint64)
+    hot = np.uint64(np.searchsorted(counts[order], max(HOT_WORD, int(counts.sum()) >> HOT_WORD_SHARE), side="right"))
     shared, buckets = docs.sparkSession.sparkContext.broadcast(ranks), buckets_of(counts)
 
     def run(batches):
@@ -205,19 +249,26 @@ def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, insi
                 n = np.diff(lines.edges)
                 own = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(lines.h)) - lines.edges[own]
-                bit = np.uint64(1) << (lines.h & np.uint64(63))
-                low = (lines.h >> np.uint64(6) & np.uint64(1)).astype(bool)
-                marks, marks2 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), lines.edges[:-1]).view(np.int64) * (n <= MARKED) for x in (low, ~low))
-                take = place < (n - (NUM * n + DEN - 1) // DEN + 1)[own]
+                prefix = np.where(n >= LEAST_SET, n - (NUM * n + DEN - 1) // DEN + 1, 0)
+                take = np.flatnonzero(place < prefix[own])
+                common = lines.h[take] >> np.uint64(30) >= hot
+                first, pairs = _paired(take[common], lines.h, prefix[own] - place)
+                take = np.concatenate((take[~common], first))
                 row = own[take]
                 ids = np.array([_id(b["doc_id"][i]) for i in at], np.int64)
-                held.append({"word": lines.h[take].view(np.int64), "doc": ids[lines.text][row], "line_no": lines.line[row], "n": n[row], "place": place[take], "marks": marks[row], "marks2": marks2[row]})
+                cols = {"word": np.concatenate((lines.h[take[: len(take) - len(first)]], pairs)).view(np.int64), "doc": ids[lines.text][row], "line_no": lines.line[row], "n": n[row], "place": place[take]}
+                if "marks" in unit.columns:
+                    bit = np.uint64(1) << (lines.h & np.uint64(63))
+                    low = (lines.h >> np.uint64(6) & np.uint64(1)).astype(bool)
+                    cols |= {k: (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), lines.edges[:-1]).view(np.int64) * (n <= MARKED))[row] for k, x in (("marks", low), ("marks2", ~low))}
+                if len(row):
+                    held.append(cols)
                 size += len(row)
                 if size >= HELD:
-                    yield _packed(held, buckets)
+                    yield _packed(held, buckets, unit.columns)
                     held, size = [], 0
-        if held:
-            yield _packed(held, buckets)
+        if size:
+            yield _packed(held, buckets, unit.columns)
 
     return arrow_map(docs, run, "bucket bigint, posts binary")
 
@@ -232,6 +283,8 @@ def _close(cols: dict, old: np.ndarray, new: np.ndarray) -> np.ndarray:
     a, b, p, q = cols["n"][old], cols["n"][new], cols["place"][old], cols["place"][new]
     need = -(-NUM * (a + b) // (NUM + DEN))
     good = np.flatnonzero(np.minimum(a - p, b - q) + np.minimum(p, q) >= need)
+    if "marks" not in cols:
+        return good
     room = (a + b - 2 * need)[good]
     old, new = old[good], new[good]
     ones = lambda k: np.bitwise_count((cols[k][old] ^ cols[k][new]).view(np.uint64)).astype(np.int32)
@@ -316,7 +369,7 @@ def _of_bucket(cols: dict, again: np.ndarray | None, first: int | None):
         yield {"old_doc": cols["doc"][o], "old_line": cols["line_no"][o], "doc": cols["doc"][w], "line_no": cols["line_no"][w], "more": flag[w]}
 
 
-def candidates(posts: DataFrame, first: int | None = FIRST, parts: int | None = None) -> DataFrame:
+def candidates(posts: DataFrame, first: int | None = FIRST, parts: int | None = None, unit: type = Lines) -> DataFrame:
     """(old_doc, old_line, doc, line_no, more) of lines that share a posted word and pass the filters.
 
     posts may have a column again: then only postings where it is true look
@@ -332,8 +385,8 @@ def candidates(posts: DataFrame, first: int | None = FIRST, parts: int | None =
         bucket, held, flags = None, [], []
 
         def work():
-            sizes = [len(x) // POSTING_BYTES for x in held]
-            return _of_bucket(_unpacked(held), np.repeat(np.array(flags, bool), sizes) if second else None, first)
+            cols, sizes = _unpacked(held, unit.columns)
+            return _of_bucket(cols, np.repeat(np.array(flags, bool), sizes) if second else None, first)
 
         for b in batches:
             for at, posted, flag in zip(b["bucket"], b["posts"], b["again"], strict=True):
@@ -417,8 +470,8 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, unit: type = Lines,
     copies = _repeats(table)
     copies, n = _by_doc(copies, "line-copies")
     posts = stored(postings(_with_lines(docs, copies, n, "left"), counts, least, unit=unit), "line-postings")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets_of(counts) // 2, MOST_PARTS))
-    pairs = stored(candidates(posts, parts=parts), "line-pairs")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets_of(counts) // BUCKETS_A_TASK, MOST_PARTS))
+    pairs = stored(candidates(posts, parts=parts, unit=unit), "line-pairs")
     late = stored(similar(docs, pairs if named is None else pairs.unionByName(named), least, unit), "line-later")
     open_ = pairs.groupBy("doc", "line_no").agg(F.max("more").alias("more")).where("more").select("doc", "line_no").join(late, ["doc", "line_no"], "left_anti")
     open_, n = _by_doc(open_, "lines-open")
@@ -426,7 +479,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, unit: type = Lines,
         again = stored(postings(_with_lines(docs, open_, n, "inner"), counts, least, inside=True, unit=unit), "line-postings-again")
         asked = again.select(F.col("bucket").alias("asked")).distinct()
         flagged = posts.join(asked, F.col("bucket") == F.col("asked"), "left_semi").withColumn("again", F.lit(False)).union(again.withColumn("again", F.lit(True)))
-        late = late.union(similar(docs, stored(candidates(flagged, parts=parts), "line-pairs-again"), least, unit))
+        late = late.union(similar(docs, stored(candidates(flagged, parts=parts, unit=unit), "line-pairs-again"), least, unit))
     lost = copies.select("doc", F.explode("lines").alias("line_no")).union(late)
     lost = lost.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
     return lost.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), "lines")

@@ -292,7 +292,10 @@ def plain_line_dedup(docs, least=linededup.LEAST_WORDS):
     return dict(gone)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("hot", [1 << 17, 0])
+def test_line_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT_WORD", hot)
+    monkeypatch.setattr(linededup, "HOT_WORD_SHARE", 11 if hot else 60)  # 0: every word is posted in pairs
     docs = docs_of(spark).select("doc_id", "text").where("length(text) < 4000")
     base = [f"w{i}" for i in range(40)]
     near = [(200000 + i, " ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) + f"\nplain line number {i} of five words") for i in range(40)]
@@ -303,8 +306,8 @@ def test_line_dedup(spark):
     _, counts = linededup.survey(docs)
     posts = linededup.postings(docs.select("doc_id", "text", F.expr("cast(null as array<int>)").alias("lines")), counts).withColumn("again", F.lit(True))
     got = {((r.old_doc, r.old_line), (r.doc, r.line_no)) for r in linededup.candidates(posts).collect()}
-    sets = {(r.doc_id, k): set(x.encode().lower().split()) for r in docs.collect() for k, x in enumerate(r.text.split("\n")) if len(x.split()) >= 5}
-    assert {(x, y) for x, y in itertools.combinations(sorted(sets), 2) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])} <= got
+    sets = {(r.doc_id, k): set(x.encode().lower().split()) for r in docs.collect() for k, x in enumerate(r.text.split("\n")) if x.strip()}
+    assert {(x, y) for x, y in itertools.combinations(sorted(sets), 2) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]) and len(sets[x]) >= linededup.LEAST_SET} <= got
     hard = linededup.dedup(table(spark).dropDuplicates(["doc_id"]))
     assert hard.columns[: len(table(spark).columns)] == table(spark).columns
     own = {r.doc_id: r for r in hard.collect()}
