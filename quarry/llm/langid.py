@@ -9,7 +9,6 @@ the next one is almost as near.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,9 +18,9 @@ from pyspark.sql.types import StructType
 from quarry.llm.common import arrow_map
 
 DIM, UND, GAP = 4096, "und", 0.05
-#: Documents a language to learn from, and their characters used in learning.
-SAMPLE, SAMPLE_CHARS, MOST_LANGS = 400, 4000, 200
-_LETTER = re.compile(r"[^\W\d_]")
+#: Documents a language to learn from, and about how many at most of all languages (one a language, if there are more).
+SAMPLE, MOST_SAMPLE = 400, 8192
+LETTER = r"\p{L}"
 _CHUNK = 1 << 20
 
 
@@ -72,14 +71,13 @@ class Model:
         return like.argmax(1), order[:, -1], gap < GAP
 
 
-def train(texts: list[str], labels: list[str], rounds: int = 300, step: float = 4.0) -> Model:
-    """Logistic regression for each bit, all bits at once, by full gradient with momentum."""
-    langs = sorted(set(labels))
+def train(x: np.ndarray, labels: list[str], rounds: int = 300, step: float = 4.0) -> Model:
+    """Logistic regression on rows of features for each bit, all bits at once, by full gradient with momentum."""
+    langs, own = np.unique(labels, return_inverse=True) if labels else ([], np.zeros(0, int))
     codes = codewords(len(langs))
-    own = np.array([langs.index(x) for x in labels], int)
     weights = np.zeros((DIM + 1, codes.shape[1]), np.float32)
-    if len(texts):
-        x = np.hstack([np.stack([features(t) for t in texts]), np.ones((len(texts), 1), np.float32)])
+    if len(labels):
+        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         y = (codes[own] > 0).astype(np.float32)
         share = 1 / np.bincount(own, minlength=len(langs))[own]
         share = (share / share.sum()).astype(np.float32)[:, None]
@@ -88,38 +86,48 @@ def train(texts: list[str], labels: list[str], rounds: int = 300, step: float =
             grad = x.T @ (share * (1 / (1 + np.exp(-(x @ weights))) - y)) + 1e-5 * weights
             speed = 0.9 * speed - step * grad
             weights += speed
-    return Model(langs, codes, weights)
+    return Model([str(n) for n in langs], codes, weights)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from at most sample documents a language (in each of so many slots of the hashed text, the least), of at most MOST_LANGS languages.
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = MOST_SAMPLE) -> Model:
+    """Learns every language from the whole texts of at most sample documents of it.
 
-    Rows with a null text or language, or without letters, teach nothing; the
-    sample's size doesn't depend on the input's. Only this fitting is on a
-    sample: prediction reads whole texts.
+    They are those of the least hash in each of so many slots of hashed texts;
+    of more than most / sample languages fewer each are taken, at least one.
+    Rows with a null text or language, or without letters, teach nothing. The
+    sample's size doesn't depend on the input's; only this fitting is on a
+    sample. Hashes are picked first, so that only picked texts are shuffled,
+    and the driver gets their features.
     """
-    own = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    langs = [r.lang for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    own = own.where(F.col("lang").isin(langs)).where(F.col("text").rlike(r"\p{L}"))
-    slots = own.groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min_by("text", "h").alias("text"))
-    got = slots.select("lang", "text").collect()
-    got.sort(key=lambda r: (r.lang, r.text))
-    return train([r.text for r in got], [r.lang for r in got])
+    own = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(LETTER)).select("lang", "text", F.xxhash64("text").alias("h"))
+    n_langs = own.agg(F.count_distinct("lang")).first()[0]
+    each = max(1, min(sample, most // max(1, n_langs)))
+    picks = own.groupBy("lang", F.pmod("h", F.lit(each)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
+    picked = own.join(F.broadcast(picks), ["lang", "h"]).dropDuplicates(["lang", "h"])
+
+    def run(batches):
+        for b in batches:
+            yield {"lang": b["lang"], "h": b["h"], "x": [features(t).tobytes() for t in b["text"]]}
+
+    got = sorted(arrow_map(picked.select("lang", "h", "text"), run, "lang string, h bigint, x binary").collect(), key=lambda r: (r.lang, r.h))
+    x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, DIM)
+    return train(x, [r.lang for r in got])
 
 
 def label(docs: DataFrame, model: Model) -> DataFrame:
     """docs, all columns, with lang_pred, score, ambiguous, and whether the whole text has a letter.
 
-    A text that is null or has no letter is ``und`` with score 0; so is every
-    text if nothing was learned. Each row is decided on its own.
+    A text that is null or has no letter (of Unicode's category L; numerals
+    are none) is ``und`` with score 0; so is every text if nothing was
+    learned. Each row is decided on its own, equal texts alike. docs may have
+    no column of these names.
     """
 
     def run(batches):
         for b in batches:
             n = len(b["text"])
-            letters = [bool(t and _LETTER.search(t)) for t in b["text"]]
-            out = b | {"lang_pred": [UND] * n, "score": [0.0] * n, "ambiguous": [False] * n, "has_letter": letters}
-            todo = [i for i in range(n) if letters[i]] if model.langs else []
+            out = b | {"lang_pred": [UND] * n, "score": [0.0] * n, "ambiguous": [False] * n}
+            todo = [i for i in range(n) if b["has_letter"][i]] if model.langs else []
             for at in range(0, len(todo), 512):
                 part = todo[at : at + 512]
                 best, score, unsure = model.decode(np.stack([features(b["text"][i]) for i in part]))
@@ -127,8 +135,9 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
                     out["lang_pred"][i], out["score"][i], out["ambiguous"][i] = model.langs[k], min(1.0, s), u
             yield out
 
-    added = StructType.fromDDL("lang_pred string, score double, ambiguous boolean, has_letter boolean")
-    return arrow_map(docs, run, StructType([*docs.schema.fields, *added.fields]))
+    own = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
+    added = StructType.fromDDL("lang_pred string, score double, ambiguous boolean")
+    return arrow_map(own, run, StructType([*own.schema.fields, *added.fields]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -270,6 +270,8 @@ def test_langid(spark):
     assert all(0 <= r.score <= 1 for r in got)
     hard = {r.doc_id: r.lang_pred for r in langid.predict(table(spark), model).collect()}
     assert [hard[i] for i in (3, 4, 5, 6)] == ["und"] * 4 and hard[0] == "en" and hard[18] in model.langs
+    odd = spark.createDataFrame([(1, "½ ² 12 Ⅻ"), (2, "½ ² 12 é"), (3, None)], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.predict(odd, model).collect()} == {1: True, 2: False, 3: True}
     none = langid.fit(table(spark, True))
     assert {r.lang_pred for r in langid.predict(table(spark), none).collect()} == {"und"}
     for n in (1, 2, 3, 4, 7, 30):
@@ -277,6 +279,28 @@ def test_langid(spark):
         assert len({tuple(c) for c in codes.tolist()}) == n
 
 
+def test_langid_flags_what_lies_between(spark):
+    text = {"aa": "ba be bi bo bu " * 30, "bb": "xq xz xv xw xk " * 30}
+    rows = [(i, f"{text[g]}{i}", g) for i in range(20) for g in text]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    own = spark.createDataFrame([(1, text["aa"]), (2, text["bb"]), (3, "lmno lmno")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in langid.predict(own, model).collect()}
+    assert (got[1].lang_pred, got[2].lang_pred) == ("aa", "bb") and not got[1].ambiguous and not got[2].ambiguous and got[3].score < got[1].score
+    flat = langid.Model(["aa", "bb"], langid.codewords(2), np.zeros((langid.DIM + 1, 1), np.float32))
+    assert all(r.ambiguous for r in langid.predict(own, flat).collect())
+
+
+def test_langid_learns_whole_texts_of_every_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda g, k: letters[g % 26] + letters[g // 26] + letters[k % 5]
+    rows = [(f"{'12 ' * 1500}{' '.join(word(g, k + i) for k in range(40))}", f"l{g:03d}") for g in range(250) for i in range(2)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.langs) == 250
+    own = spark.createDataFrame([(g, " ".join(word(g, k) for k in range(30))) for g in range(250)], "doc_id bigint, text string")
+    got = langid.predict(own, model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03d}" for r in got) >= 225
+
+
 def plain_line_dedup(docs, least=linededup.LEAST_WORDS):
     lines = [(i, k, x) for i, t in docs for k, x in enumerate((t or "").split("\n"))]
     lines.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
