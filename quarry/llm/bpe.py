@@ -5,12 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import arrow_map
+from quarry.llm.common import arrow_map, worker_cache
 
 #: Before such a space, after a character that is no white space, every match of the splitting pattern ends.
 SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
@@ -49,7 +48,7 @@ class RankCodec:
         return self.library.decode_bytes(ids)
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def codec(path: str, pattern: str) -> RankCodec:
     return RankCodec(path, pattern)
 
@@ -62,7 +61,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield {"doc_id": b["doc_id"], "ids": [own.encode(t) for t in b["text"]]}
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>", keeps="codec")
 
 
 def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -73,7 +72,7 @@ def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield {"doc_id": b["doc_id"], "bytes": [own.decode(x or []) for x in b["ids"]]}
 
-    return arrow_map(ids.select("doc_id", "ids"), run, "doc_id bigint, bytes binary")
+    return arrow_map(ids.select("doc_id", "ids"), run, "doc_id bigint, bytes binary", keeps="codec")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -94,4 +93,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 out["decoded_sha256"].append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield out
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", keeps="codec")

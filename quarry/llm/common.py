@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,7 @@ BROADCAST_ROWS = 500_000
 #: The column that tells rows apart where doc_id may not.
 ROW = "row_of_docs"
 _OWN: dict[str, str] = {}
+_KEPT: dict[str, Callable] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -67,10 +71,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema: str | StructType, arrays: bool = False) -> DataFrame:
+def worker_cache(make: Callable) -> Callable:
+    """make(*arguments), kept by a worker process for the tasks of one operator: tasks of others let it go."""
+    kept = lru_cache(maxsize=2)(make)
+    _KEPT[make.__name__] = kept
+    return kept
+
+
+def let_go(but: str | None) -> None:
+    """Empties a worker's caches but one, and gives the room back."""
+    full = [f for name, f in _KEPT.items() if name != but and f.cache_info().currsize]
+    for f in full:
+        f.cache_clear()
+    if full:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema: str | StructType, arrays: bool = False, keeps: str | None = None) -> DataFrame:
     """mapInArrow for functions that take and give columns as lists or arrays.
 
     arrays: they take NumPy arrays, for columns of numbers without nulls.
+    keeps: the worker_cache that they use.
     """
     out = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     names = out.fieldNames()
@@ -79,6 +104,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[
     to = to_arrow_schema(out)
 
     def run(batches):
+        let_go(keeps)
+
         def columns():
             for b in batches:
                 if b.num_rows:

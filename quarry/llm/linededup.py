@@ -36,7 +36,7 @@ MARKED = 256
 #: Words counted more often than this, and than this share (a power of two) of all words, are posted in pairs.
 HOT_WORD, HOT_WORD_SHARE = 1 << 17, 11
 #: Postings that a task holds before it sends them, postings a bucket, buckets a task, most tasks that compare them.
-HELD, BUCKET, BUCKETS_A_TASK, MOST_PARTS = 1 << 19, 1 << 16, 8, 100_000
+HELD, BUCKET, BUCKETS_A_TASK, MOST_PARTS = 1 << 18, 1 << 16, 8, 100_000
 #: A line's copies are hot from 1 / (HOT_SHARE * shuffle partitions) of all lines on: at most that many keys are broadcast.
 HOT_SHARE = 8
 _NULL = -(1 << 63)

@@ -115,7 +115,7 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str | None], bytes]], e
             yield _rows([p], True) | {"part": [part], "pos": [sent]}
             sent += len(p[2]) // 4
 
-    placed = stored(arrow_map(docs.select("doc_id", "text"), run, f"{PIECE}, part int, pos bigint"), "packing")
+    placed = stored(arrow_map(docs.select("doc_id", "text"), run, f"{PIECE}, part int, pos bigint", keeps="encoder"), "packing")
     closed, open_ = placed.where("part IS NULL").drop("part", "pos"), placed.where("part IS NOT NULL")
     totals = open_.groupBy("part").agg(F.sum("length").alias("n"))
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # a row a partition

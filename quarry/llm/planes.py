@@ -173,7 +173,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None, folder: str, parts
         if out:
             yield done()
 
-    return stored(arrow_map(dealt.select("bucket", "doc_id", "text"), run, "bucket int, file string, n_docs bigint, n_ids bigint"), "planes-manifest")
+    return stored(arrow_map(dealt.select("bucket", "doc_id", "text"), run, "bucket int, file string, n_docs bigint, n_ids bigint", keeps="encoder"), "planes-manifest")
 
 
 def read_ids(manifest: DataFrame, what: str = "crc32") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
 
+from quarry.llm.common import worker_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: White space of Unicode beyond ASCII, and ASCII separators that libraries disagree on.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -125,7 +126,7 @@ class Encoder:
         return self.whole(text)
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def encoder(path: str) -> Encoder:
     """One encoder a worker process."""
     return Encoder(path)
