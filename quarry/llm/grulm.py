@@ -16,20 +16,36 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, stored
+from quarry.llm.common import added, arrow_map, stored
 from quarry.llm.words import chunks, words
 
 #: Model: vocabulary, hidden numbers, classes. Words whose counts every task gets (16 bytes each), as a bound.
-VOCAB, HIDDEN, CLASSES, KNOWN = 4096, 32, 64, 1 << 18
+VOCAB, HIDDEN, CLASSES, KNOWN = 4096, 16, 32, 1 << 18
 #: Training of the weights: documents of the start (one a slot of hashed texts), window, lanes, epochs of the start, rate.
 SAMPLE, WINDOW, LANES, EPOCHS, RATE = 2000, 16, 64, 2, 6e-3
 #: The pass over all documents: most lanes, steps that few entries are cut into, entries that a task takes at once, weights in a row of what tasks send.
-PASS_LANES, PASS_STEPS, PASS_ENTRIES, PASS_BLOCK = 256, 200, 1 << 20, 1 << 13
+PASS_LANES, PASS_STEPS, PASS_ENTRIES, PASS_BLOCK = 512, 200, 1 << 20, 1 << 13
 END, RARE = 0, 1
 
 
+#: Logits are kept within these, so that sums of their exponentials stay finite and above zero in single precision.
+LOGIT = 80
+
+
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _softened(a):
+    """Exponentials of clipped logits, in place, and the sums of rows."""
+    np.clip(a, -LOGIT, LOGIT, out=a)
+    np.exp(a, out=a)
+    return a, a @ np.ones(a.shape[1], a.dtype)
 
 
 class Gru:
@@ -43,17 +59,19 @@ class Gru:
         self.cls = np.zeros(v, int)
         self.cls[order] = np.unique(of, return_inverse=True)[1]
         self.n_classes = int(self.cls.max()) + 1
-        self.members = [np.flatnonzero(self.cls == c) for c in range(self.n_classes)]
-        self.inside = np.zeros(v, int)
-        for m in self.members:
-            self.inside[m] = np.arange(len(m))
+        # outputs are laid out class after class
+        place = np.argsort(self.cls, kind="stable")
+        self.slot = np.empty(v, int)
+        self.slot[place] = np.arange(v)
+        self.edges = np.searchsorted(self.cls[place], np.arange(self.n_classes + 1))
+        self.cls = self.cls.astype(np.int16)
         init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         logp = np.log(counts + 1.0)
-        per = np.array([np.log((counts[m] + 1.0).sum()) for m in self.members])
+        per = np.log(np.add.reduceat(counts[place] + 1.0, self.edges[:-1]))
         self.p = {
             "E": (rng.standard_normal((v, hidden)) * 0.1).astype(np.float32), "W": init(hidden, 3 * hidden), "U": init(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32),
             "C": init(hidden, self.n_classes) * 0.1, "c": (per - np.log(np.exp(per - per.max()).sum()) - per.max()).astype(np.float32),
-            "O": (rng.standard_normal((v, hidden)) * 0.01).astype(np.float32), "o": (logp - per[self.cls]).astype(np.float32),
+            "O": (rng.standard_normal((v, hidden)) * 0.01).astype(np.float32), "o": (logp - per[self.cls])[place].astype(np.float32),
         }
         self.hidden = hidden
 
@@ -63,77 +81,97 @@ class Gru:
 
     def step(self, h, gx):
         k, u = self.hidden, self.p["U"]
-        gh = h @ u[:, : 2 * k]
-        z, r = _sigmoid(gx[:, :k] + gh[:, :k]), _sigmoid(gx[:, k : 2 * k] + gh[:, k:])
-        n = np.tanh(gx[:, 2 * k :] + (r * h) @ u[:, 2 * k :])
-        return (1 - z) * h + z * n, z, r, n
+        both = h @ u[:, : 2 * k]
+        both += gx[:, : 2 * k]
+        _sigmoid(both)
+        z, r = both[:, :k], both[:, k:]
+        n = (r * h) @ u[:, 2 * k :]
+        n += gx[:, 2 * k :]
+        np.tanh(n, out=n)
+        return h + z * (n - h), z, r, n
+
+    def _by_class(self, h, target):
+        """Rows in the order of their targets' classes: that order, states, slots of targets, classes, and (class, its rows, its slots) where it has rows and a choice."""
+        cls = self.cls[target]
+        order = np.argsort(cls, kind="stable")
+        cls = cls[order]
+        at = np.searchsorted(cls, np.arange(self.n_classes + 1))
+        parts = [(slice(at[c], at[c + 1]), slice(self.edges[c], self.edges[c + 1])) for c in np.flatnonzero(np.diff(at)) if self.edges[c + 1] - self.edges[c] > 1]
+        return order, h[order], self.slot[target[order]], cls, parts
 
     def log_probs(self, h, target):
         """Natural log probability of each target after state h."""
-        a = h @ self.p["C"] + self.p["c"]
-        a -= a.max(1, keepdims=True)
-        cls = self.cls[target]
-        out = a[np.arange(len(h)), cls] - np.log(np.exp(a).sum(1))
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            if len(self.members[c]) > 1:
-                at, m = order[edges[c] : edges[c + 1]], self.members[c]
-                b = h[at] @ self.p["O"][m].T + self.p["o"][m]
-                b -= b.max(1, keepdims=True)
-                out[at] += b[np.arange(len(at)), self.inside[target[at]]] - np.log(np.exp(b).sum(1))
-        return out
+        order, h, slot, cls, parts = self._by_class(h, target)
+        a, rows = h @ self.p["C"] + self.p["c"], np.arange(len(h))
+        out = np.clip(a[rows, cls], -LOGIT, LOGIT)
+        out -= np.log(_softened(a)[1])
+        for own, words_ in parts:
+            b = h[own] @ self.p["O"][words_].T
+            b += self.p["o"][words_]
+            out[own] += np.clip(b[rows[: len(b)], slot[own] - words_.start], -LOGIT, LOGIT)
+            out[own] -= np.log(_softened(b)[1])
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def gradients(self, h0, x, y, fresh, live):
         """Backpropagation through one window, truncated at its start. Shapes (time, lanes); fresh: a document begins."""
         t_n, k, p = len(x), self.hidden, self.p
-        gates, hs, keep, h = self.inputs(), [], [], h0
+        xf = x.ravel()
+        gates, hs, keep, h = (p["E"][xf] @ p["W"] + p["b"]).reshape(*x.shape, 3 * k), [], [], h0
         for t in range(t_n):
-            h = np.where(fresh[t][:, None], 0, h).astype(np.float32)
-            new, z, r, n = self.step(h, gates[x[t]])
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], h.dtype.type(0), h)
+            new, z, r, n = self.step(h, gates[t])
             keep.append((h, z, r, n))
             hs.append(new)
             h = new
         g = {name: np.zeros_like(a) for name, a in p.items()}
-        hf, yf, wf = np.concatenate(hs), y.ravel(), live.ravel().astype(np.float32) / max(1, live.sum())
-        a = hf @ p["C"] + p["c"]
-        a = np.exp(a - a.max(1, keepdims=True))
-        a /= a.sum(1, keepdims=True)
-        cls, rows = self.cls[yf], np.arange(len(yf))
-        loss = -(wf * np.log(a[rows, cls] + 1e-30)).sum()
-        a[rows, cls] -= 1
-        a *= wf[:, None]
-        g["C"], g["c"], dh_out = hf.T @ a, a.sum(0), a @ p["C"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            m = self.members[c]
-            if len(m) > 1:
-                at = order[edges[c] : edges[c + 1]]
-                b = hf[at] @ p["O"][m].T + p["o"][m]
-                b = np.exp(b - b.max(1, keepdims=True))
-                b /= b.sum(1, keepdims=True)
-                own, i = self.inside[yf[at]], np.arange(len(at))
-                loss -= (wf[at] * np.log(b[i, own] + 1e-30)).sum()
-                b[i, own] -= 1
-                b *= wf[at][:, None]
-                g["O"][m], g["o"][m] = b.T @ hf[at], b.sum(0)
-                dh_out[at] += b @ p["O"][m]
+        order, hf, slot, cls, parts = self._by_class(np.concatenate(hs), y.ravel())
+        wf = (live.ravel()[order] / max(1, live.sum())).astype(hf.dtype)
+        rows = np.arange(len(hf))
+        a, total = _softened(hf @ p["C"] + p["c"])
+        loss = -(wf * np.log(a[rows, cls] / total)).sum()
+        a *= (wf / total)[:, None]
+        a[rows, cls] -= wf
+        g["C"], g["c"], dh_own = hf.T @ a, a.sum(0), a @ p["C"].T
+        for own, words_ in parts:
+            b = hf[own] @ p["O"][words_].T
+            b += p["o"][words_]
+            b, total = _softened(b)
+            w, i, j = wf[own], rows[: len(b)], slot[own] - words_.start
+            loss -= (w * np.log(b[i, j] / total)).sum()
+            b *= (w / total)[:, None]
+            b[i, j] -= w
+            g["O"][words_], g["o"][words_] = b.T @ hf[own], b.sum(0)
+            dh_own[own] += b @ p["O"][words_]
+        dh_out = np.empty_like(dh_own)
+        dh_out[order] = dh_own
         dh_out, dh, u = dh_out.reshape(t_n, -1, k), np.zeros_like(h0), p["U"]
-        dgx = np.zeros((t_n, len(h0), 3 * k), np.float32)
+        dgx = np.zeros((t_n, len(h0), 3 * k), hf.dtype)
         for t in reversed(range(t_n)):
             h, z, r, n = keep[t]
             dh = dh + dh_out[t]
-            dn = dh * z * (1 - n * n)
+            dn = dh * z
+            dz = dn * (n - h)
+            dz *= 1 - z
+            dn *= 1 - n * n
             drh = dn @ u[:, 2 * k :].T
-            dz, dr = dh * (n - h) * z * (1 - z), drh * h * r * (1 - r)
-            dgx[t] = np.concatenate((dz, dr, dn), 1)
-            g["U"] += np.concatenate((h.T @ dz, h.T @ dr, (r * h).T @ dn), 1)
-            dh = dh * (1 - z) + drh * r + dz @ u[:, :k].T + dr @ u[:, k : 2 * k].T
-            dh = np.where(fresh[t][:, None], 0, dh)
-        flat, xf = dgx.reshape(-1, 3 * k), x.ravel()
+            dr = drh * h
+            dr *= r
+            dr *= 1 - r
+            d = dgx[t]
+            d[:, :k], d[:, k : 2 * k], d[:, 2 * k :] = dz, dr, dn
+            g["U"][:, : 2 * k] += h.T @ d[:, : 2 * k]
+            g["U"][:, 2 * k :] += (r * h).T @ dn
+            dh = dh * (1 - z) + drh * r + d[:, : 2 * k] @ u[:, : 2 * k].T
+            if fresh[t].any():
+                dh[fresh[t]] = 0
+        flat = dgx.reshape(-1, 3 * k)
         g["W"], g["b"] = p["E"][xf].T @ flat, flat.sum(0)
-        np.add.at(g["E"], xf, flat @ p["W"].T)
+        by = np.argsort(xf, kind="stable")
+        first = np.flatnonzero(np.diff(xf[by], prepend=-1))
+        g["E"][xf[by][first]] = np.add.reduceat((flat @ p["W"].T)[by], first)
         return loss, g, hs[-1]
 
     def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, window: int = WINDOW, lanes: int = LANES) -> list[float]:
@@ -154,7 +192,7 @@ class Gru:
             per = -(-len(y) // own)
             per += -per % window
             lay = lambda a, fill: np.concatenate((a, np.full(own * per - len(a), fill, a.dtype))).reshape(own, per).T
-            x, live, fresh, y = lay(x, END), lay(np.ones(len(y), bool), False), lay(fresh, True), lay(y, END)
+            x, live, fresh, y = (np.ascontiguousarray(a) for a in (lay(x, END), lay(np.ones(len(y), bool), False), lay(fresh, True), lay(y, END)))
             h, total = np.zeros((own, self.hidden), np.float32), 0.0
             for t in range(0, per, window):
                 s = slice(t, t + window)
@@ -163,11 +201,19 @@ class Gru:
                 size = math.sqrt(sum(float((a * a).sum()) for a in g.values()))
                 step += 1
                 lr = rate * min(1, step / 20) * (0.3 if epoch == epochs - 1 else 1)
+                scale, lr = min(1, 1 / (size + 1e-9)), lr * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                 for n, a in g.items():
-                    a *= min(1, 1 / (size + 1e-9))
-                    m[n] = 0.9 * m[n] + 0.1 * a
-                    v[n] = 0.99 * v[n] + 0.01 * a * a
-                    self.p[n] -= (lr * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    a *= 0.1 * scale
+                    m[n] *= 0.9
+                    m[n] += a
+                    a *= a
+                    v[n] *= 0.99
+                    v[n] += a  # the square of a tenth is the hundredth that is due
+                    np.sqrt(v[n], out=a)
+                    a += 1e-8
+                    np.divide(m[n], a, out=a)
+                    a *= lr
+                    self.p[n] -= a
             losses.append(total / (per // window))
         return losses
 
@@ -315,10 +361,11 @@ def learn_all(scorer: Scorer, docs: DataFrame) -> None:
         import pandas as pd
 
         total = sum(n * np.frombuffer(w, "<f4").astype(np.float64) for n, w in zip(pdf["n"], pdf["weights"], strict=True))
-        return pd.DataFrame({"block": pdf["block"][:1].to_numpy(), "weights": [(total / pdf["n"].sum()).astype("<f4").tobytes()]})
+        return pd.DataFrame({"block": pdf["block"][:1].to_numpy(), "n": [pdf["n"].sum()], "weights": [(total / pdf["n"].sum()).astype("<f4").tobytes()]})
 
-    sent = stored(arrow_map(docs.select("text"), run, "block int, n bigint, weights binary"), "lm-weights")
-    got = sorted((r.block, r.weights) for r in sent.groupBy("block").applyInPandas(mean, "block int, weights binary").collect())
+    schema = "block int, n bigint, weights binary"
+    sent = stored(arrow_map(docs.select("text"), run, schema), "lm-weights")
+    got = sorted((r.block, r.weights) for r in added(sent, mean, schema).collect())
     at, flat = 0, np.frombuffer(b"".join(w for _, w in got), "<f4")
     for n in names if len(flat) else []:
         a = scorer.gru.p[n]
