@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: A side with at most so many rows of a few numbers may be broadcast (about 16 MB).
 BROADCAST_ROWS = 500_000
+#: Bytes of a batch that become lists at once.
+SLICE = 8 << 20
 #: The column that tells rows apart where doc_id may not.
 ROW = "row_of_docs"
 _OWN: dict[str, str] = {}
@@ -79,16 +81,20 @@ def worker_cache(make: Callable) -> Callable:
 
 
 def let_go(but: str | None) -> None:
-    """Empties a worker's caches but one, and gives the room back."""
-    full = [f for name, f in _KEPT.items() if name != but and f.cache_info().currsize]
-    for f in full:
-        f.cache_clear()
-    if full:
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+    """Empties a worker's caches but one."""
+    for name, f in _KEPT.items():
+        if name != but:
+            f.cache_clear()
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system: the next task may be another operator's, or the JVM's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema: str | StructType, arrays: bool = False, keeps: str | None = None) -> DataFrame:
@@ -108,11 +114,16 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[
 
         def columns():
             for b in batches:
-                if b.num_rows:
-                    yield {n: b.column(i).to_numpy(zero_copy_only=False) if arrays else b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+                rows = b.num_rows if arrays else max(1, b.num_rows * SLICE // max(1, b.nbytes))
+                for at in range(0, b.num_rows, rows or 1):
+                    part = b.slice(at, rows)
+                    yield {n: part.column(i).to_numpy(zero_copy_only=False) if arrays else part.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
 
-        for got in fn(columns()):
-            yield pa.RecordBatch.from_arrays([pa.array(got[n], type=to.field(n).type) for n in names], schema=to)
+        try:
+            for got in fn(columns()):
+                yield pa.RecordBatch.from_arrays([pa.array(got[n], type=to.field(n).type) for n in names], schema=to)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, out)
 

@@ -25,6 +25,10 @@ VOCAB, HIDDEN, CLASSES, KNOWN = 4096, 16, 32, 1 << 18
 SAMPLE, WINDOW, LANES, EPOCHS, RATE = 2000, 16, 64, 2, 6e-3
 #: The pass over all documents: most lanes, steps that few entries are cut into, entries that a task takes at once, weights in a row of what tasks send.
 PASS_LANES, PASS_STEPS, PASS_ENTRIES, PASS_BLOCK = 512, 200, 1 << 20, 1 << 13
+#: Counts that a task holds before it sends them.
+HELD_WORDS = 1 << 20
+#: Tokens that are scored side by side: enough lanes beside one long document.
+SCORED = 1 << 21
 END, RARE = 0, 1
 
 
@@ -217,7 +221,7 @@ class Gru:
             losses.append(total / (per // window))
         return losses
 
-    def score(self, docs: list[np.ndarray], window: int = 32, lanes: int = 256) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], window: int = 32, lanes: int = 512) -> np.ndarray:
         """log10 probability of each whole document (entries ending with END), many side by side in lanes."""
         out = np.zeros(len(docs))
         sizes = np.array([len(d) for d in docs])
@@ -262,29 +266,26 @@ class Gru:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, h (its hash), c over all whole texts; each task counts first, in bounded memory."""
+    """h (a word's 64-bit hash), c over all whole texts; each task counts first, in bounded memory."""
 
     def run(batches):
-        total: dict = {}
+        held, size = [], 0
 
         def give():
-            return {"word": [w for w, _ in total.values()], "h": list(total), "c": [c for _, c in total.values()]}
+            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return {"h": h.view(np.int64), "c": np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)}
 
         for b in batches:
             for _, texts in chunks(b["text"], b["text"], 1 << 22):
-                w = words(texts)
-                h, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
-                for key, i, c in zip(h.view(np.int64).tolist(), first.tolist(), n.tolist(), strict=True):
-                    had = total.get(key)
-                    total[key] = (had[0], had[1] + c) if had else (w.text(i), c)
-                if len(total) > 400_000:
+                held.append(np.unique(words(texts).hashes, return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD_WORDS:
                     yield give()
-                    total.clear()
-        if total:
+                    held, size = [], 0
+        if size:
             yield give()
 
-    parts = arrow_map(docs.select("text"), run, "word string, h bigint, c bigint")
-    return parts.groupBy("word").agg(F.first("h").alias("h"), F.sum("c").alias("c"))
+    return arrow_map(docs.select("text"), run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Scorer:
@@ -393,7 +394,7 @@ def fit(docs: DataFrame, training: Column, sample: int = SAMPLE) -> tuple[Scorer
         if have + n > KNOWN:
             break
         least, have = s, have + n
-    top = table.where(step >= least).select("h", "c", "word").orderBy(F.desc("c"), "word").select("h", "c").toPandas() if least is not None else None
+    top = table.where(step >= least).orderBy(F.desc("c"), "h").select("h", "c").toPandas() if least is not None else None
     h = top["h"].to_numpy().astype(np.int64).view(np.uint64) if top is not None else np.zeros(0, np.uint64)
     c = top["c"].to_numpy().astype(np.int64) if top is not None else np.zeros(0, np.int64)
     scorer = Scorer(h, c, n_docs, total, distinct)
@@ -413,38 +414,48 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     are told apart by position, so a repeated doc_id gives repeated rows.
     """
     scorer, table = fit(docs, training)
-    held = docs.sparkSession.sparkContext.broadcast(scorer)
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
-        s = held.value
+        s = sent.value
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 40
+        row, held, size = TaskContext.get().partitionId() << 40, [], 0
+
+        def give():
+            lm = s.gru.score([d for x in held for d in x.pop("entries")])
+            cols = {k: [v for x in held for v in x[k]] for k in held[0]}
+            return cols | {"score": lm + cols["score"], "row": range(row, row + len(lm))}
+
         for b in batches:
             for at, texts in chunks(range(len(b["text"])), b["text"], 1 << 22):
                 w = words(texts)
                 entry, c = s.look_up(w.hashes)
                 edges = np.searchsorted(w.owner, np.arange(len(texts) + 1))
                 hit = c >= 0
-                base = np.bincount(w.owner[hit], s.base(c[hit]), minlength=len(texts)) + s.base(s.end_count)
                 inside = hit & (entry == RARE)
-                lm = s.gru.score([np.append(entry[a:z], END) for a, z in zip(edges, edges[1:], strict=False)])
-                lm += np.bincount(w.owner[inside], s.rare(c[inside]), minlength=len(texts))
-                known = np.bincount(w.owner[hit], minlength=len(texts)) + (s.end_count > 0)
-                left: list[list] = [[] for _ in texts]
-                for i in np.flatnonzero(~hit).tolist():
-                    left[w.owner[i]].append(w.text(i))
-                part = [{"doc_id": b["doc_id"][i], "held_out": b["held_out"][i]} for i in at]
-                yield {
-                    "row": [row + i for i in range(len(texts))], "doc_id": [p["doc_id"] for p in part], "held_out": [p["held_out"] for p in part],
-                    "n_tokens": np.diff(edges) + 1, "n_known": known, "base_score": base, "score": lm, "left": left,
-                }
-                row += len(texts)
-
-    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, left array<string>"
+                away = np.flatnonzero(~hit)
+                cut = np.searchsorted(w.owner[away], np.arange(len(texts) + 1))
+                away = w.hashes[away].view(np.int64)
+                held.append({
+                    "entries": [np.append(entry[x:y], np.int32(END)).astype(np.int16) for x, y in zip(edges, edges[1:], strict=False)],
+                    "doc_id": [b["doc_id"][i] for i in at], "held_out": [b["held_out"][i] for i in at], "n_tokens": np.diff(edges) + 1,
+                    "n_known": np.bincount(w.owner[hit], minlength=len(texts)) + (s.end_count > 0),
+                    "base_score": np.bincount(w.owner[hit], s.base(c[hit]), minlength=len(texts)) + s.base(s.end_count),
+                    "score": np.bincount(w.owner[inside], s.rare(c[inside]), minlength=len(texts)),
+                    "left": [away[x:y] for x, y in zip(cut, cut[1:], strict=False)],
+                })
+                size += len(entry)
+                if size >= SCORED:
+                    yield give()
+                    row, held, size = row + sum(len(x["doc_id"]) for x in held), [], 0
+        if held:
+            yield give()
+
+    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, left array<bigint>"
     first = stored(arrow_map(docs.select("doc_id", (~F.coalesce(training, F.lit(False))).alias("held_out"), "text"), run, schema), "lm-scores")
-    each = first.select("row", F.explode("left").alias("word"))
-    found = each.join(table.select("word", "c"), "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
+    each = first.select("row", F.explode("left").alias("h"))
+    found = each.join(table, "h", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
     base = F.log10((F.col("c") + 1.0) / F.lit(float(scorer.train_tokens + scorer.vocabulary + 1)))
     rare = F.log10((F.col("c") + 1.0) / F.lit(float(scorer.rare_total + scorer.rare_distinct + 1)))
     rest = found.groupBy(F.col("row").alias("r")).agg(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("more"), F.sum(base).alias("b"), F.sum(rare).alias("s"))

@@ -25,6 +25,8 @@ BITS, MOST_BITS = 4, 5
 _BLOCK = 1 << 15
 #: Rows of a grid point that meet in one task; of one with more, each two shards meet.
 SHARD = 1 << 16
+#: Cells are counted by so many hash values first; each only where that doesn't bound them.
+HASHED = 1 << 18
 #: Rows that a task holds before it links them; groups of so many are compared all at once.
 HELD, SMALL = 1 << 17, 64
 
@@ -146,6 +148,9 @@ def _links_of(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray,
 
 def _dealt(cells: DataFrame) -> DataFrame:
     """cells with the columns a, b: rows of the same cell, a and b meet. Each two shards of a cell of more than SHARD rows do."""
+    counted = cells.groupBy(F.pmod(F.xxhash64("cell"), F.lit(HASHED))).count().agg(F.max("count")).first()[0] or 0
+    if counted <= SHARD:  # so no cell has more
+        return cells.withColumns({"a": F.lit(0), "b": F.lit(0)})
     sizes = stored(cells.groupBy("cell").count().where(F.col("count") > SHARD).select(F.col("cell").alias("hot"), F.ceil(F.col("count") / SHARD).cast("int").alias("shards")), "simhash-hot")
     n, zero = sizes.count(), F.lit(0)
     if not n:
