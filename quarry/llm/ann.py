@@ -4,7 +4,9 @@ Centroids come from balanced bisection of a bounded sample. Every vector goes
 to its nearest list and, if it lies near a boundary, to further ones. A
 search walks an in-memory graph of the centroids, keeps the lists whose
 centroid is within a ratio of the nearest one's distance, and scans them.
-Lists and their queries are cut into shards of bounded size.
+Lists and their queries are cut into shards of bounded size. The number of
+lists grows with the square root of the vectors; a query that the lists found
+give too few answers is put to all of them.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, stored
+from quarry.llm.common import ROW, arrow_map, identified, stored
 
-#: Vectors to fit on, vectors of the sample a leaf, most lists.
-SAMPLE, LEAF, MOST_LISTS = 16_384, 32, 4096
-#: Boundary copies a vector and their distance ratio; lists a search and theirs.
-COPIES, COPY_RATIO, PROBES, PROBE_RATIO = 4, 1.10, 96, 1.35
-SHARD, QUERY_SHARD, DEGREE, BEAM = 4096, 1024, 24, 128
+#: Lists, as a multiple of the square root of the vectors, and at most; vectors to fit on for each.
+LISTS, MOST_LISTS, LEAF = 4, 4096, 32
+#: Boundary copies a vector and their distance ratio; lists a search (a share of all, and at least) and theirs.
+COPIES, COPY_RATIO, PROBE_SHARE, PROBES, PROBE_RATIO = 2, 1.10, 0.25, 48, 1.5
+SHARD, QUERY_SHARD, DEGREE, BEAM = 4096, 1024, 24, 32
 
 
 def usable(vec: Column) -> Column:
@@ -81,7 +83,7 @@ class CentroidGraph:
 
     def search(self, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The most nearest centroids found for each query, with distances, ascending: best-first with a beam."""
-        q, beam = q.astype(np.float32), min(max(BEAM, most), len(self.c))
+        q, beam = q.astype(np.float32), min(max(BEAM, 2 * most), len(self.c))
         n, rows = len(q), np.arange(len(q))
         best = np.tile(self.entries, (n, 1))
         dist = self.distances(q, best)
@@ -106,86 +108,102 @@ class CentroidGraph:
         return np.take_along_axis(best, order, 1), np.sqrt(np.take_along_axis(dist, order, 1))
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, lists: int = MOST_LISTS) -> CentroidGraph | None:
-    """Centroids from at most sample vectors, one in each slot of hashed ids; None if there are none.
+def fit(vectors: DataFrame, n: int) -> CentroidGraph | None:
+    """Centroids for n vectors, from at most LEAF of them a list (of each slot of hashed ids the first); None if there are none.
 
-    There are at most lists centroids, whatever the table's size, so the
-    graph that is sent to all tasks is bounded (4096 of 64 numbers: 1 MB).
+    There are at most MOST_LISTS, whatever the table's size, so both the
+    sample and the graph that is sent to all tasks are bounded (131,072
+    vectors, 4096 centroids: 1 MB of 64 numbers each).
     """
-    slots = vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(sample)).alias("slot")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    lists = max(1, min(MOST_LISTS, round(LISTS * n**0.5), 2 * n // LEAF))
+    slots = vectors.groupBy(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(lists * LEAF)).alias("slot")).agg(F.min_by("embedding", ROW).alias("embedding"))
     rows = slots.orderBy("slot").select("embedding").toPandas()["embedding"].tolist()
     if not rows:
         return None
     x = np.unique(unit(rows), axis=0)
-    leaf = max(leaf, -(-len(x) // lists))
-    return CentroidGraph(np.array([x[g].mean(0) for g in bisect(x, leaf)]))
+    return CentroidGraph(np.array([x[g].mean(0) for g in bisect(x, max(1, -(-len(x) // lists)))]))
 
 
 def _lists(rows: DataFrame, graph: CentroidGraph, most: int, ratio: float) -> DataFrame:
-    """A row for each list that a vector goes to: list, vec_id, embedding."""
+    """A row for each list that a vector goes to: list, row, vec_id, embedding."""
     held = rows.sparkSession.sparkContext.broadcast(graph)
 
     def run(batches):
         for b in batches:
-            for at in range(0, len(b["vec_id"]), 512):
-                ids, vecs = b["vec_id"][at : at + 512], b["embedding"][at : at + 512]
-                best, dist = held.value.search(unit(vecs), most)
+            for at in range(0, len(b["row"]), 512):
+                part = {k: v[at : at + 512] for k, v in b.items()}
+                best, dist = held.value.search(unit(part["embedding"]), most)
                 near = np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-6)
                 row, col = np.nonzero(near)
-                yield {"list": best[row, col], "vec_id": [ids[i] for i in row], "embedding": [vecs[i] for i in row]}
+                yield {"list": best[row, col]} | {k: [v[i] for i in row] for k, v in part.items()}
 
-    return arrow_map(rows.select("vec_id", "embedding"), run, "list int, vec_id bigint, embedding array<double>")
+    return arrow_map(rows, run, "list int, row bigint, vec_id bigint, embedding array<double>")
 
 
-def _best(q_ids, q, m_ids, m, k: int) -> pd.DataFrame:
-    """Each query's k best members of one shard; ties to smaller ids. Sums are per row, so equal vectors score alike."""
+def _best(q_rows, q, m_rows, m_ids, m, k: int) -> pd.DataFrame:
+    """Each query's k best members of one shard but itself; ties to smaller ids. Sums are per row, so equal vectors score alike."""
     out = []
     rough = q @ m.T
-    for i, row in enumerate(rough):
-        row = np.where(m_ids == q_ids[i], -np.inf, row)
-        at = np.flatnonzero(row > -np.inf)
+    for i, near in enumerate(rough):
+        near = np.where(m_rows == q_rows[i], -np.inf, near)
+        at = np.flatnonzero(near > -np.inf)
         if len(at) > k:
-            at = at[row[at] >= np.partition(row[at], -k)[-k] - 1e-9]
+            at = at[near[at] >= np.partition(near[at], -k)[-k] - 1e-9]
         score = (m[at] * q[i]).sum(1)
-        order = np.lexsort((m_ids[at], -score))[:k]
-        out.append((np.full(len(order), q_ids[i]), m_ids[at][order], score[order]))
-    a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+        order = np.lexsort((m_rows[at], m_ids[at], -score))[:k]
+        out.append((np.full(len(order), q_rows[i]), m_rows[at][order], m_ids[at][order], score[order]))
+    return pd.DataFrame(dict(zip(("of", "row", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
-    """For each row of vectors(vec_id, embedding) where queries holds: query_id, rank, vec_id, score of the k nearest found.
-
-    Nearness is the cosine, in double precision. Vectors that are null, empty
-    or zero, or hold null or non-finite components, take no part, nor do
-    those of another length than most. Rows that share a vec_id are one
-    candidate; a row isn't its own.
-    """
-    spark = vectors.sparkSession
-    good = vectors.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    dims = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    result = "query_id bigint, vec_id bigint, score double"
-    graph = fit(good.where(F.size("embedding") == dims.n)) if dims else None
-    if graph is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    good = good.where(F.size("embedding") == dims.n)
-    posts = stored(_lists(good, graph, COPIES, COPY_RATIO), "ann-lists")
-    asked = stored(_lists(good.where(queries), graph, PROBES, PROBE_RATIO), "ann-queries")
+def _scan(posts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(of, row, vec_id, score): what asked rows find in their lists, k a shard at most. Shards of lists meet shards of queries."""
     sizes = posts.groupBy("list").count().select("list", F.ceil(F.col("count") / SHARD).cast("int").alias("shards"))
     q_sizes = asked.groupBy("list").count().select(F.col("list").alias("l"), F.ceil(F.col("count") / QUERY_SHARD).cast("int").alias("q_shards"))
     plan = F.broadcast(sizes.join(q_sizes, F.col("list") == F.col("l")).select("l", "shards", "q_shards"))  # at most as many rows as lists
-    slot = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
+    slot = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = posts.join(plan, F.col("list") == F.col("l")).withColumn("m", slot("shards", 1)).withColumn("q", every("q_shards")).select("list", "m", "q", "vec_id", "embedding")
-    seekers = asked.join(plan, F.col("list") == F.col("l")).withColumn("q", slot("q_shards", 2)).withColumn("m", every("shards")).select("list", "m", "q", "vec_id", "embedding")
+    members = posts.join(plan, F.col("list") == F.col("l")).withColumn("m", slot("shards", 1)).withColumn("q", every("q_shards")).select("list", "m", "q", "row", "vec_id", "embedding")
+    seekers = asked.join(plan, F.col("list") == F.col("l")).withColumn("q", slot("q_shards", 2)).withColumn("m", every("shards")).select("list", "m", "q", "row", "embedding")
 
     def scan(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(m):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _best(q["vec_id"].to_numpy(), unit(q["embedding"].tolist()), m["vec_id"].to_numpy(), unit(m["embedding"].tolist()), k)
+            return pd.DataFrame({"of": [], "row": [], "vec_id": [], "score": []})
+        return _best(q["row"].to_numpy(), unit(q["embedding"].tolist()), m["row"].to_numpy(), m["vec_id"].to_numpy(), unit(m["embedding"].tolist()), k)
 
     key = ["list", "m", "q"]
-    found = seekers.groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(scan, result)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return seekers.groupBy(*key).cogroup(members.groupBy(*key)).applyInPandas(scan, "of bigint, row bigint, vec_id bigint, score double")
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
+    """For each row of vectors(vec_id, embedding) where queries holds: query_id, rank, vec_id, score of the k nearest found.
+
+    Nearness is the cosine, in double precision, of the original vectors.
+    Vectors that are null, empty or zero, or hold null or non-finite
+    components, take no part, nor do those of another length than most, whose
+    cosine isn't defined, and those without an id. Rows are told apart by an
+    identity of their own: those that share a vec_id are queries and
+    candidates of their own; a row isn't its own. Every query gets k answers,
+    or as many as there are other rows.
+    """
+    spark = vectors.sparkSession
+    own = identified(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asked")).where("vec_id IS NOT NULL"), "vec_id")
+    good = own.where(usable(F.col("embedding")))
+    dims = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    good = good.where(F.size("embedding") == dims["n"]) if dims else good
+    graph = fit(good, dims["count"]) if dims else None
+    if graph is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    seek = good.where("asked").select(F.col(ROW).alias("row"), "vec_id", "embedding")
+    posts = stored(_lists(good.select(F.col(ROW).alias("row"), "vec_id", "embedding"), graph, COPIES, COPY_RATIO), "ann-lists")
+    asked = stored(_lists(seek, graph, max(PROBES, round(PROBE_SHARE * len(graph.c))), PROBE_RATIO), "ann-queries")
+    found = stored(_scan(posts, asked, k), "ann-found")
+    enough = found.groupBy("of").agg(F.count_distinct("row").alias("n")).where(F.col("n") >= min(k, dims["count"] - 1))
+    short = stored(seek.join(enough, F.col("row") == F.col("of"), "left_anti"), "ann-short")
+    if not short.isEmpty():
+        every = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(graph.c) - 1))).alias("list"), "row", "vec_id", "embedding")
+        found = found.union(_scan(posts, every, k))
+    once = found.groupBy("of", "row").agg(F.max("vec_id").alias("vec_id"), F.max("score").alias("score"))
+    order = W.partitionBy("of").orderBy(F.desc("score"), "vec_id", "row")
+    best = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ids = seek.select(F.col("row").alias("own"), F.col("vec_id").alias("query_id"))
+    return best.join(ids, F.col("of") == F.col("own")).select("query_id", "rank", "vec_id", "score")

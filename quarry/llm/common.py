@@ -165,18 +165,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """docs with a column ROW, if it has none: a long of each row's own, never null, that ascends with doc_id, nulls first.
+def identified(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with a column ROW, if it has none: a long of each row's own, never null, that ascends with the key, nulls first.
 
-    It is doc_id itself where no row lacks one or shares it. Otherwise the
-    rows are sorted and written once with their numbers; a hot doc_id is dealt
+    It is the key itself where no row lacks one or shares it. Otherwise the
+    rows are sorted and written once with their numbers; a hot key is dealt
     over tasks like any other rows.
     """
     if ROW in docs.columns:
         return docs
-    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
-        return docs.withColumn(ROW, F.col("doc_id"))
-    own = docs.withColumn(ROW, F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_first(), ROW)
+    if docs.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+        return docs.withColumn(ROW, F.col(key))
+    own = docs.withColumn(ROW, F.monotonically_increasing_id()).orderBy(F.col(key).asc_nulls_first(), ROW)
     return stored(own.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 

@@ -41,23 +41,49 @@ def test_chat(spark):
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
 
 
-def brute(x, ids, q, k):
+def brute(x, q, k):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     score = u @ u[q]
     score[q] = -np.inf
-    return [ids[i] for i in np.lexsort((ids, -np.round(score, 12)))[:k]]
+    at = np.argsort(-score, kind="stable")[:k]
+    return at, score
 
 
-def test_ann(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+@pytest.mark.parametrize("share", [1, 4])
+def test_ann(spark, share):
+    """Recall at two sizes; the scores are those of the original vectors."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(F.col("vec_id") % share == 0)
     own = df.orderBy("vec_id").collect()
-    x, ids = np.array([r.embedding for r in own], np.float64), np.array([r.vec_id for r in own])
+    x, ids = np.array([r.embedding for r in own], np.float64), [r.vec_id for r in own]
     got = defaultdict(list)
     for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append(r.vec_id)
-    qs = [i for i, v in enumerate(ids) if v % 50 == 0]
-    assert set(got) == {int(ids[q]) for q in qs}
-    assert np.mean([len(set(got[int(ids[q])]) & set(brute(x, ids, q, 5))) / 5 for q in qs]) >= 0.9
+        got[r.query_id].append(r)
+    assert set(got) == {i for i in ids if i % 50 == 0}
+    hits = []
+    for i, v in enumerate(ids):
+        if v % 50 == 0:
+            at, score = brute(x, i, 5)
+            assert [r.rank for r in got[v]] == [1, 2, 3, 4, 5] and all(abs(r.score - score[ids.index(r.vec_id)]) < 1e-12 for r in got[v])
+            hits.append(len({r.vec_id for r in got[v]} & {ids[k] for k in at}) / 5)
+    assert np.mean(hits) >= 0.9
+
+
+def test_ann_every_query_gets_its_answers(spark):
+    """Queries far from all else, whose lists hold only themselves; rows that share an id."""
+    rng = np.random.default_rng(1)
+    own = [(50 * i, [float(v) for v in np.eye(64)[i]]) for i in range(1, 9)] + [(1000 + i, [float(v) for v in np.eye(64)[60] + rng.normal(size=64) * 1e-4]) for i in range(1, 300) if (1000 + i) % 50]
+    own += [(5000, own[0][1]), (5000, own[1][1])]
+    df = spark.createDataFrame(own, "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].append(r)
+    assert {k: len(v) for k, v in got.items()} == {50 * i: 5 for i in range(1, 9)} | {5000: 10}
+    first = {k: [r for r in v if r.rank == 1] for k, v in got.items()}
+    assert [r.vec_id for r in first[50] + first[100]] == [5000, 5000] and sorted(r.vec_id for r in first[5000]) == [50, 100]
+    x = np.array([v for _, v in own])
+    for i in (2, 5):
+        _, score = brute(x, i, 5)
+        assert np.allclose(sorted((r.score for r in got[own[i][0]]), reverse=True), np.sort(score)[::-1][:5], atol=1e-12)
 
 
 def test_ann_hard_cases(spark):
