@@ -37,6 +37,7 @@ MARKED = 256
 HOT_WORD, HOT_WORD_SHARE = 1 << 17, 11
 #: Postings that a task holds before it sends them, postings a bucket, buckets a task, most tasks that compare them.
 HELD, BUCKET, BUCKETS_A_TASK, MOST_PARTS = 1 << 18, 1 << 16, 8, 100_000
+PAIR = ("old_doc", "old_line", "doc", "line_no", "more")
 #: A line's copies are hot from 1 / (HOT_SHARE * shuffle partitions) of all lines on: at most that many keys are broadcast.
 HOT_SHARE = 8
 _NULL = -(1 << 63)
@@ -403,13 +404,70 @@ def candidates(posts: DataFrame, first: int | None = FIRST, parts: int | None =
     return found.groupBy("old_doc", "old_line", "doc", "line_no").agg(F.max("more").alias("more"))
 
 
+def _named(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, text, lines of the lines that pairs name."""
+    named = pairs.select("doc", "line_no").union(pairs.select("old_doc", "old_line"))
+    wanted, size = _by_doc(named, "lines-named")
+    return _with_lines(docs, wanted, size, "inner")
+
+
+def _counts(lines: Lines) -> list[bytes | None]:
+    """Of each line's distinct words the number in each of 2^k buckets, n / 4 or more, as bytes; None where one has over 255."""
+    n = np.diff(lines.edges)
+    size = 1 << np.ceil(np.log2(np.maximum(n / 4, 8))).astype(np.int64)
+    at = np.concatenate(([0], np.cumsum(size)))
+    own = np.repeat(np.arange(len(n)), n)
+    total = np.bincount(at[own] + ((lines.h >> np.uint64(20)).astype(np.int64) & (size[own] - 1)), minlength=int(at[-1]))
+    raw = np.minimum(total, 255).astype(np.uint8).tobytes()
+    most = np.maximum.reduceat(total, at[:-1]) if len(n) else total
+    return [raw[x:y] if m < 256 else None for x, y, m in zip(at.tolist(), at[1:].tolist(), most.tolist(), strict=False)]
+
+
+def most_shared(x: bytes, y: bytes) -> int:
+    """At most so many words are in both sets: the smaller count of each bucket, the longer one folded to the other's length."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (x, y))
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] + a[len(a) // 2 :]
+    return int(np.minimum(a, b).sum())
+
+
+def likely(docs: DataFrame, pairs: DataFrame, least: int, unit: type) -> DataFrame:
+    """Of candidate pairs those that counts of words by bucket, a bound of what two sets share, leave. For large sets: the counts are a thirtieth of them."""
+
+    def counts(batches):
+        for b in batches:
+            for at, texts in chunks(range(len(b["text"])), b["text"]):
+                lines = unit(texts, least)
+                lines.take(_rows_of(lines, [b["lines"][i] for i in at], True))
+                lines.distinct()
+                ids = np.array([_id(b["doc_id"][i]) for i in at], np.int64)
+                yield {"doc": ids[lines.text], "line_no": lines.line, "n": np.diff(lines.edges), "counts": _counts(lines)}
+
+    table = stored(arrow_map(_named(docs, pairs), counts, "doc bigint, line_no int, n int, counts binary"), "line-counts")
+    old = table.select(F.col("doc").alias("old_doc"), F.col("line_no").alias("old_line"), F.col("n").alias("m"), F.col("counts").alias("old_counts"))
+    both = pairs.join(old, ["old_doc", "old_line"]).join(table, ["doc", "line_no"])
+
+    def run(batches):
+        for b in batches:
+            good = [
+                i for i, (m, n, x, y) in enumerate(zip(b["m"], b["n"], b["old_counts"], b["counts"], strict=True))
+                if x is None or y is None or (NUM + DEN) * most_shared(x, y) >= NUM * (m + n)
+            ]
+            yield {k: [b[k][i] for i in good] for k in PAIR}
+
+    return arrow_map(both.select(*PAIR, "m", "n", "old_counts", "counts"), run, "old_doc bigint, old_line int, doc bigint, line_no int, more boolean")
+
+
 def similar(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, unit: type = Lines) -> DataFrame:
     """Of candidate pairs the lines (doc, line_no) that have an earlier line of similarity 0.8 or more, each once.
 
-    Only the lines that the pairs name are read again.
+    Only the lines that the pairs name are read again; of units without marks
+    only those of likely() pairs as whole sets.
     """
-    named = pairs.select("doc", "line_no").union(pairs.select("old_doc", "old_line"))
-    wanted, size = _by_doc(named, "lines-named")
+    if "marks" not in unit.columns:
+        pairs = stored(likely(docs, pairs, least, unit), "line-pairs-likely")
 
     def sets(batches):
         for b in batches:
@@ -421,7 +479,7 @@ def similar(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, unit: t
                 ids = np.array([_id(b["doc_id"][i]) for i in at], np.int64)
                 yield {"doc": ids[lines.text], "line_no": lines.line, "words": [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)]}
 
-    table = stored(arrow_map(_with_lines(docs, wanted, size, "inner"), sets, "doc bigint, line_no int, words binary").dropDuplicates(["doc", "line_no"]), "line-sets")
+    table = stored(arrow_map(_named(docs, pairs), sets, "doc bigint, line_no int, words binary"), "line-sets")
     old = table.select(F.col("doc").alias("old_doc"), F.col("line_no").alias("old_line"), F.col("words").alias("x"))
     both = pairs.join(old, ["old_doc", "old_line"]).join(table, ["doc", "line_no"])
 

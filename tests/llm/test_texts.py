@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -235,6 +236,17 @@ def test_words():
     assert all(len(x) == 1 for x in names.values()) and len(names) == len({x for _, x in want})
 
 
+def test_counts_bound_what_sets_share():
+    rng = random.Random(3)
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((1, 3, 9, 40, 700)))]
+        other = base[: rng.randrange(len(base) + 1)] + [f"v{rng.randrange(10**6)}" for _ in range(rng.choice((1, 8, 300)))]
+        x, y = (linededup.Lines([" ".join(t)], 1) for t in (base, other))
+        x.distinct(), y.distinct()
+        assert linededup.most_shared(linededup._counts(x)[0], linededup._counts(y)[0]) >= len(set(base) & set(other))
+        assert linededup.most_shared(linededup._counts(x)[0], linededup._counts(x)[0]) == len(set(base))
+
+
 def test_iblt_differences():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
