@@ -5,7 +5,10 @@ from __future__ import annotations
 import glob as globbing
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,28 +64,55 @@ def slice_entries(df: DataFrame, start: int | None = None, stop: int | None = No
     return df if stop is None else df.where(F.col(entry) < stop)
 
 
-def read_with_entry(spark: SparkSession, path: str, entry: str = "entry") -> DataFrame:
-    """One Parquet file with the number of each row, which the reader gives without a shuffle."""
-    df = spark.read.parquet(path)
-    return df.select(F.col("_metadata.row_index").alias(entry), *[F.col(f"`{c}`") for c in df.columns])
+def _status(spark: SparkSession, path: str):
+    """What Spark's file systems say of a path, or None if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.getFileStatus(at) if store.exists(at) else None
 
 
 def _bare(path: str) -> str:
     """A path without scheme and leading slashes, as keys of files."""
-    return re.sub("^[a-z0-9]+:/*|^/+", "", path)
+    found = re.match("[a-z][a-z0-9]*:/+", path)
+    return path[found.end() :] if found else os.path.abspath(path).lstrip("/")
 
 
-def file_counts(spark: SparkSession, paths: list[str]) -> dict[str, int]:
-    """Rows of each Parquet file, in the order of paths, from one pass that reads no column. A missing file counts 0."""
-    there = [p for p in dict.fromkeys(paths) if "://" in p or os.path.exists(p)]
-    got: dict[str, int] = {}
+@dataclass(frozen=True)
+class Part:
+    """A data file: the path it was asked for by, its name as the scan says it, and its rows."""
+
+    path: str
+    name: str
+    rows: int
+
+
+def file_parts(spark: SparkSession, paths: list[str]) -> list[Part]:
+    """The Parquet files under each path (a file or a folder, its files by name), in the order of paths, from one pass that reads no column.
+
+    A missing path has none. Files without rows are left out. ValueError if
+    the scan names a file that none of the paths holds.
+    """
+    there = [p for p in dict.fromkeys(paths) if _status(spark, p) is not None]
+    got = {}
     if there:
         for r in spark.read.parquet(*there).groupBy(F.col("_metadata.file_path").alias("f")).count().collect():  # a row a file
-            got[_bare(r.f)] = r["count"]
-    out = {}
+            got[_bare(unquote(r.f))] = (r.f, r["count"])
+    names, out = sorted(got), []
     for p in paths:
-        key = _bare(p)
-        out[p] = sum(n for f, n in got.items() if f == key or f.startswith(f"{key}/"))
+        key = _bare(p.rstrip("/"))
+        inside = names[bisect_left(names, f"{key}/") : bisect_left(names, f"{key}0")]  # 0 comes after the slash
+        out += [Part(p, *got[n]) for n in ([key] if key in got else []) + inside]
+    lost = {n for n, _ in got.values()} - {x.name for x in out}
+    if lost:
+        raise ValueError(f"files of no path that was given: {sorted(lost)[:3]}")
+    return out
+
+
+def file_counts(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """Rows under each path, in the order of paths. A missing path counts 0."""
+    out = dict.fromkeys(paths, 0)
+    for x in file_parts(spark, list(out)):
+        out[x.path] += x.rows
     return out
 
 
@@ -93,38 +123,58 @@ def numentries(spark: SparkSession, paths, total: bool = True):
     return sum(counts[p] for p in files) if total else counts
 
 
+def _one_file(spark: SparkSession, path: str, entry: str) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df.select(F.col("_metadata.row_index").alias(entry), *[F.col(f"`{c}`") for c in df.columns])
+
+
+def read_with_entry(spark: SparkSession, path: str, entry: str = "entry") -> DataFrame:
+    """One Parquet table with the number of each row.
+
+    Of a single file the reader gives it without a shuffle, and bounds on it
+    reach the scan; the files of a folder follow each other by name.
+    """
+    status = _status(spark, path)
+    if status is not None and status.isFile():
+        return _one_file(spark, path, entry)
+    return _laid_out(spark, [path], entry, None)
+
+
 def read_all(spark: SparkSession, paths, entry: str = "entry", file: str | None = None) -> DataFrame:
-    """The ordered union of Parquet files with global entry numbers.
+    """The ordered union of Parquet files or folders with global entry numbers.
 
-    Each file's offset is the sum of the counts before it in the order of the
-    paths (a file that comes twice counts twice); rows get offset + own row
-    number in the scan, without a shuffle.
+    Columns are merged by name, whatever the number of files; a file that
+    lacks one has nulls. Each file's offset is the sum of the counts before it
+    in the order of the paths (a path that comes twice counts twice); rows get
+    offset + own row number in the scan, without a shuffle. file: a column
+    with the path.
     """
-    parts, at = [], 0
-    files = expand(paths)
-    of = file_counts(spark, files)
-    counts, once = [(p, of[p]) for p in files], len(of) == len(files)
-    if once and len(counts) > 8:
-        return _read_many(spark, counts, entry, file)
-    for p, n in counts:
-        df = read_with_entry(spark, p, entry).withColumn(entry, F.col(entry) + F.lit(at).cast("long"))
-        parts.append(df.withColumn(file, F.lit(p)) if file else df)
-        at += n
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    return _laid_out(spark, expand(paths), entry, file)
 
 
-def _read_many(spark: SparkSession, counts: list[tuple[str, int]], entry: str, file: str | None) -> DataFrame:
+def _laid_out(spark: SparkSession, paths: list[str], entry: str, file: str | None) -> DataFrame:
     at, rows = 0, []
-    for p, n in counts:
-        rows.append((_bare(p), p, at))
-        at += n
+    for x in file_parts(spark, paths):
+        rows.append((x.name, x.path, at))
+        at += x.rows
+    there = [p for p in dict.fromkeys(paths) if _status(spark, p) is not None]
+    df = spark.read.option("mergeSchema", "true").parquet(*there)
+    cols = [F.col(f"`{c}`") for c in df.columns]
     offsets = spark.createDataFrame(rows, "file_key string, file_path string, file_at bigint")
     offsets = F.broadcast(offsets) if len(rows) <= MOST_FILES else offsets
-    df = spark.read.parquet(*[p for p, _ in counts])
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    keyed = df.select(F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/*", "").alias("of_file"), F.col("_metadata.row_index").alias("of_row"), *cols)
+    keyed = df.select(F.col("_metadata.file_path").alias("of_file"), F.col("_metadata.row_index").alias("of_row"), F.struct(*cols).alias("of_columns"))
     joined = keyed.join(offsets, F.col("of_file") == F.col("file_key"))
-    return joined.select((F.col("file_at") + F.col("of_row")).alias(entry), *cols, *([F.col("file_path").alias(file)] if file else []))
+    own = [F.col("of_columns").getField(c).alias(c) for c in df.columns]
+    return joined.select((F.col("file_at") + F.col("of_row")).alias(entry), *own, *([F.col("file_path").alias(file)] if file else []))
+
+
+def save_skim(df: DataFrame, path: str, entry: str = "entry", derived: Iterable[str] = ()) -> None:
+    """Saves selected rows as pointers: their entry numbers, and the derived columns, nothing of the table itself."""
+    df.select(entry, *derived).write.mode("errorifexists").parquet(path)
+
+
+def open_skim(spark: SparkSession, path: str, paths, entry: str = "entry") -> DataFrame:
+    """The rows of a table of files that a skim points to, with its derived columns, read when needed."""
+    skim = spark.read.parquet(path)
+    whole = read_all(spark, paths, entry)
+    return whole.join(skim, entry)

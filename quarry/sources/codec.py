@@ -9,8 +9,8 @@ import pyarrow as pa
 import xxhash
 import zstandard
 
-# Fixed values of the format: the tag of each algorithm.
-TAGS = {"zlib": b"ZL", "lzma": b"XZ", "lz4": b"L4", "zstd": b"ZS"}
+# Fixed values of the format: the tag of each algorithm and the byte after it (deflate's number, none, the libraries' major versions).
+TAGS = {"zlib": b"ZL\x08", "lzma": b"XZ\x00", "lz4": b"L4\x01", "zstd": b"ZS\x01"}
 MOST = (1 << 24) - 1
 
 
@@ -55,7 +55,7 @@ def compress(data: bytes, kind: str | None, level: int = 1) -> bytes:
         body = _pack(kind, level, part)
         if len(body) + 9 >= len(part) or len(body) > MOST:
             return data
-        out.append(TAGS[kind] + bytes([8]) + len(body).to_bytes(3, "little") + len(part).to_bytes(3, "little") + body)
+        out.append(TAGS[kind] + len(body).to_bytes(3, "little") + len(part).to_bytes(3, "little") + body)
     return b"".join(out)
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 import io
 import re
 import struct
+import threading
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 
-from quarry.operators.entries import expand
-from quarry.operators.steps import Chunk
+from quarry.operators.entries import entry_range, expand, memory_size
+from quarry.operators.steps import Chunk, steps
 from quarry.sources.binary import In
 from quarry.sources.codec import decompress
 from quarry.sources.elements import Quantised, Record, arrow_of, bits_of, decode_bits, parse, unpack_strings
@@ -54,8 +55,20 @@ class Branch:
     entry_edges: list[int] = field(default_factory=list)
     seeks: list[int] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
+    total: int = 0
+    packed: int = 0
+    compress: int = 0
     children: list[Branch] = field(default_factory=list)
 
+    def keys(self, recursive: bool = True) -> list[str]:
+        """Names of the branches below this one, each followed by those below it where recursive holds."""
+        return [n for c in self.children for n in (c.name, *(c.keys() if recursive else ()))]
+
+    def planned(self) -> list[Chunk]:
+        """Chunks from the tree's own lists alone; their uncompressed bytes are by the branch's ratio."""
+        ratio = self.total / self.packed if self.packed else 1.0
+        return [Chunk(self.name, a, b, round(n * ratio), n) for a, b, n in zip(self.entry_edges, self.entry_edges[1:], self.sizes, strict=False)]
+
     @property
     def jagged(self) -> bool:
         return self.counter is not None or self.skip > 0
@@ -76,29 +89,39 @@ class Branch:
 
 
 class Cache(OrderedDict):
-    """Byte-limited cache of decoded chunks; the least recently used go first."""
+    """Byte-limited cache of decoded chunks, for threads too; the least recently used go first. limit: bytes, or a size as "64 MB"."""
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int | str):
         super().__init__()
-        self.limit, self.bytes = limit, 0
+        size = memory_size(limit) if isinstance(limit, str) else limit
+        if size is None:
+            raise ValueError(f"not a memory size: {limit!r}")
+        self.limit, self.bytes, self.lock = size, 0, threading.RLock()
 
     def get_or(self, key, make):
-        if key in self:
-            self.move_to_end(key)
-            return self[key]
+        with self.lock:
+            if key in self:
+                self.move_to_end(key)
+                return self[key]
         got = make()
-        self[key] = got
-        self.bytes += got.nbytes
-        while self.bytes > self.limit and self:
-            self.bytes -= self.popitem(last=False)[1].nbytes
+        with self.lock:
+            if key not in self:
+                self[key] = got
+                self.bytes += got.nbytes
+            while self.bytes > self.limit and self:
+                self.bytes -= self.popitem(last=False)[1].nbytes
         return got
 
 
 class File:
-    """An open file. source: a path, a URI that the arrow file systems know, bytes, or a file object."""
+    """An open file. source: a path, a URI that the arrow file systems know, bytes, or a file object.
+
+    transport: "file", "http" or "arrow" whatever the scheme says. auth: user
+    and password for HTTP.
+    """
 
-    def __init__(self, source, cache_bytes: int = 64 << 20):
-        self.f, self.cache = _open(source), Cache(cache_bytes)
+    def __init__(self, source, cache_bytes: int | str = 64 << 20, transport: str | None = None, auth: tuple[str, str] | None = None):
+        self.f, self.cache = _open(source, transport, auth), Cache(cache_bytes)
         head = In(self.at(0, 64))
         if head.bytes(4) != b"root":
             raise ValueError(f"not a file of this format: {source!r:.80}")
@@ -161,9 +184,23 @@ class File:
             raise KeyError(name)
         return max(own, key=lambda k: k.cycle)
 
+    def get(self, name: str) -> Key | Branch:
+        """A key, or the branch of a tree, by a path through directories, the tree and its branches. KeyError if there is none."""
+        parts = name.strip("/").split("/")
+        for n in range(len(parts), 0, -1):
+            try:
+                key = self.find("/".join(parts[:n]))
+            except KeyError:
+                continue
+            if n == len(parts):
+                return key
+            if key.class_name in ("TTree", "TNtuple", "TNtupleD"):
+                return self.tree("/".join(parts[:n])).branch("/".join(parts[n:]))
+        raise KeyError(name)
+
     def __contains__(self, name: str) -> bool:
         try:
-            return bool(self.find(name))
+            return bool(self.get(name))
         except KeyError:
             return False
 
@@ -198,21 +235,21 @@ def numentries(paths, tree: str, total: bool = True):
     return sum(counts[p] for p in expand(paths)) if total else counts
 
 
-def _open(source):
+def _open(source, transport: str | None = None, auth: tuple[str, str] | None = None):
+    if transport not in (None, "file", "http", "arrow"):
+        raise NotImplementedError(f"no transport {transport!r} here")
     if isinstance(source, (bytes, bytearray)):
         return io.BytesIO(source)
     if hasattr(source, "read"):
         return source
     text = str(source)
-    if "://" not in text:
-        return open(text, "rb")
-    scheme = text.split("://", 1)[0]
+    scheme = {"file": "file", "http": "http", "arrow": "arrow"}.get(transport) or (text.split("://", 1)[0] if "://" in text else "file")
     if scheme in ("http", "https"):
         from quarry.sources.remote import HttpFile
 
-        return HttpFile(text)
+        return HttpFile(text, auth)
     if scheme == "file":
-        return open(text[7:], "rb")
+        return open(text.removeprefix("file://"), "rb")
     from pyarrow import fs
 
     try:
@@ -222,6 +259,37 @@ def _open(source):
     return store.open_input_file(path)
 
 
+def iterate(paths, tree: str, branches: list[str] | None = None, entrysteps=float("inf"), reportpath: bool = False, reportfile: bool = False, reportentries: bool = False, entrystart: int | None = None, entrystop: int | None = None, pandas: bool = False):
+    """Steps over a tree in many files, in order; files without it are skipped.
+
+    What is reported comes before the data: path, file, first and last entry,
+    which run on over the files, as the bounds do. entrysteps: as of
+    steps.steps, within each file. pandas: frames with the entry as index, by
+    clusters unless entrysteps says otherwise.
+    """
+    entrysteps = None if pandas and entrysteps == float("inf") else entrysteps
+    files, at = expand(paths), 0
+    total = numentries(files, tree) if (entrystart or 0) < 0 or (entrystop or 0) < 0 else 1 << 62
+    first, last = entry_range(total, entrystart, entrystop)
+    for path in files:
+        with File(path) as f:
+            if tree not in f:
+                continue
+            t = f.tree(tree)
+            names = branches if branches is not None else t.keys()
+            low, high = max(0, first - at), min(t.numentries, last - at)
+            chunks = t.chunks(names) if entrysteps is None or isinstance(entrysteps, str) else ()
+            for a, b in steps(entrysteps, t.numentries, low, high, chunks, names) if low < high else ():
+                got = t.read(names, a, b)
+                if pandas:
+                    got = got.to_pandas()
+                    got.index = range(at + a, at + b)
+                    got.index.name = "entry"
+                told = (*([path] if reportpath else []), *([f] if reportfile else []), *([at + a, at + b] if reportentries else []))
+                yield (*told, got) if told else got
+            at += t.numentries
+
+
 class Tree:
     """A tree's metadata; reads its columns over entry ranges as Arrow arrays."""
 
@@ -266,7 +334,7 @@ class Tree:
         b = Branch(name, title)
         note(b)
         d.skip()  # fill attributes
-        d.take("iii")
+        b.compress, _, _ = d.take("iii")
         n = d.take("i")
         d.take("q")
         if version >= 13:
@@ -277,7 +345,7 @@ class Tree:
         d.take("q")
         if version >= 11:
             d.take("q")
-        d.take("qq")
+        b.total, b.packed = d.take("qq")
         b.children = [c for c in d.objects(self._branch) if c is not None]
         leaves = [x for x in d.objects(self._leaf) if x is not None]
         d.objects(lambda c, i, e, note: c)
@@ -332,6 +400,66 @@ class Tree:
         """Columns that can be read."""
         return [n for n, b in self._all.items() if b.arrow_type() is not None]
 
+    def branch(self, path: str) -> Branch:
+        """By name, or by a path of names from the top. KeyError if there is none."""
+        own, found = self.branches, None
+        for part in path.split("/"):
+            found = next((b for b in own if b.name in (part, path)), None)
+            if found is None:
+                break
+            own = found.children
+        found = found or self._all.get(path)
+        if found is None:
+            raise KeyError(path)
+        return found
+
+    def numbaskets(self, name: str) -> int:
+        return len(self.branch(name).seeks)
+
+    def _at(self, name: str, i: int) -> Branch:
+        b = self.branch(name)
+        if not 0 <= i < len(b.seeks):
+            raise IndexError(f"{name} has {len(b.seeks)} chunks, no {i}")
+        return b
+
+    def basket_range(self, name: str, i: int) -> tuple[int, int]:
+        """Entries [start, stop) of one chunk; IndexError if there is no such chunk, as in all that follow."""
+        b = self._at(name, i)
+        return b.entry_edges[i], b.entry_edges[i + 1]
+
+    def basket_bytes(self, name: str, i: int) -> tuple[int, int]:
+        """Uncompressed and compressed bytes of one chunk."""
+        head = self.file._key(In(self.file.at(self._at(name, i).seeks[i], 1024)))
+        return head.objlen, head.nbytes - head.keylen
+
+    def basket(self, name: str, i: int, start: int = 0, stop: int | None = None) -> pa.Array:
+        """What one chunk holds of entries [start, stop)."""
+        a, z = self.basket_range(name, i)
+        low, high = max(a, start), z if stop is None else min(z, stop)
+        return self._chunk(name, i).slice(low - a, max(0, high - low))
+
+    def baskets(self, name: str, start: int = 0, stop: int | None = None, reportentries: bool = False):
+        """The chunks of a column that overlap [start, stop), one after another."""
+        b = self.branch(name)
+        for i in range(len(b.seeks)):
+            a, z = b.entry_edges[i], b.entry_edges[i + 1]
+            if z > start and (stop is None or a < stop):
+                got = self.basket(name, i, start, stop)
+                yield (max(a, start), max(a, start) + len(got), got) if reportentries else got
+
+    def compression(self, name: str) -> tuple[str | None, int]:
+        """Codec and level of a branch, or the file's where the branch says none."""
+        code = self.branch(name).compress or self.file.compression
+        return {1: "zlib", 2: "lzma", 4: "lz4", 5: "zstd"}.get(code // 100), code % 100
+
+    def raw(self, name: str, i: int) -> pa.Array:
+        """The bytes of each entry of one chunk, as they are stored."""
+        b = self._at(name, i)
+        data, offsets, n, _ = self._basket(b, i)
+        if offsets is None:
+            offsets = np.arange(n + 1) * (len(data) // n if n else 0)
+        return pa.array([data[x:y] for x, y in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], pa.binary())
+
     def schema(self) -> pa.Schema:
         return pa.schema([(n, self._all[n].arrow_type()) for n in self.keys()])
 
@@ -354,9 +482,16 @@ class Tree:
             b = self._all[n]
             for i in range(len(b.seeks)):
                 head = self.file._key(In(self.file.at(b.seeks[i], 1024)))
-                out.append(Chunk(n, b.entry_edges[i], b.entry_edges[i + 1], head.objlen, head.nbytes - head.keylen))
+                a, z = b.entry_edges[i], b.entry_edges[i + 1]
+                out.append(Chunk(n, a, z, head.objlen, head.nbytes - head.keylen, self._items(b, i, z - a)))
         return out
 
+    def _items(self, b: Branch, i: int, rows: int) -> int:
+        """Elements in a chunk: those of its lists, or one or a shape's number a row."""
+        if b.jagged and b.arrow_type() is not None:
+            return len(self._chunk(b.name, i).flatten())
+        return rows * int(np.prod(b.shape)) if b.shape else rows
+
     def _chunk(self, name: str, i: int) -> pa.Array:
         return self.file.cache.get_or((self.key.seek, name, i), lambda: self._decode(name, i))
 

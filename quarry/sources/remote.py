@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import threading
 import time
 import urllib.error
 import urllib.request
 from collections import OrderedDict
+from concurrent.futures import ThreadPoolExecutor
 
 
 class HttpFile(io.RawIOBase):
@@ -20,12 +22,14 @@ class HttpFile(io.RawIOBase):
             keep.add_password(None, url, *auth)
             self.opener = urllib.request.build_opener(urllib.request.HTTPBasicAuthHandler(keep))
         self.held: OrderedDict[int, bytes] = OrderedDict()
+        self.lock = threading.Lock()
         self.whole: bytes | None = None
 
     def _get(self, i: int) -> bytes:
-        if i in self.held:
-            self.held.move_to_end(i)
-            return self.held[i]
+        with self.lock:
+            if i in self.held:
+                self.held.move_to_end(i)
+                return self.held[i]
         request = urllib.request.Request(self.url, headers={"Range": f"bytes={i * self.chunk}-{(i + 1) * self.chunk - 1}"})
         for k in range(self.tries):
             try:
@@ -42,11 +46,19 @@ class HttpFile(io.RawIOBase):
                 if e.code != 504 or k + 1 == self.tries:
                     raise
                 time.sleep(0.1 * 2**k)
-        self.held[i] = got
-        while len(self.held) > self.most:
-            self.held.popitem(last=False)
+        with self.lock:
+            self.held[i] = got
+            while len(self.held) > self.most:
+                self.held.popitem(last=False)
         return got
 
+    def prefetch(self, ranges, threads: int = 8) -> None:
+        """Gets the chunks of byte ranges (start, stop) side by side, as many as are kept."""
+        wanted = list(dict.fromkeys(i for a, b in ranges for i in range(a // self.chunk, -(-b // self.chunk)) if i not in self.held))[: self.most]
+        if self.whole is None and wanted:
+            with ThreadPoolExecutor(threads) as pool:
+                list(pool.map(self._get, wanted))
+
     def seekable(self) -> bool:
         return True
 
@@ -57,7 +69,7 @@ class HttpFile(io.RawIOBase):
         return at
 
     def read(self, n: int = -1) -> bytes:
-        out, end = bytearray(), self.at + n
+        out, end = bytearray(), self.at + n if n >= 0 else 1 << 62
         while self.at < end:
             if self.whole is not None:
                 part = self.whole[self.at : end]
