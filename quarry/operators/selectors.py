@@ -11,9 +11,13 @@ import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
+
+from quarry.sources.elements import arrow_of
 
 _FLAGS = {"i": re.I, "m": re.M, "s": re.S, "x": re.X, "a": re.A, "u": re.U, "l": re.L}
 _REGEX = re.compile(r"/(.*)/([a-z]*)", re.S)
@@ -112,15 +116,15 @@ def select_all(schema: T.StructType, selector, recursive: bool = True) -> list[t
             said = selector(b)
             if said is True:
                 out.append((b, None))
-            elif isinstance(said, T.DataType):
-                out.append((b, said))
+            elif isinstance(said, (T.DataType, np.dtype)):
+                out.append((b, as_type(said)))
         return [x for x in out if _readable(x[0])]
     pairs = list(selector.items()) if isinstance(selector, Mapping) else [(s, None) for s in selector]
     out, own = [], [b for b in branches(schema, recursive) if _readable(b)]
     for pattern, kind in pairs:
         if not isinstance(pattern, str):
             raise TypeError(f"a selector holds names, not {type(pattern).__name__}")
-        kind = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
+        kind = as_type(kind)
         test = matcher(pattern)
         if test is None:
             out.append((lookup(schema, pattern, recursive), kind))
@@ -129,6 +133,30 @@ def select_all(schema: T.StructType, selector, recursive: bool = True) -> list[t
     return out
 
 
+def as_type(kind) -> T.DataType | None:
+    """The Spark type that a type, its name in SQL, a NumPy dtype, class or array, or a Python number class stands for."""
+    if kind is None or isinstance(kind, T.DataType):
+        return kind
+    if isinstance(kind, str) and kind[:1] not in "<>=|":
+        return T._parse_datatype_string(kind)
+    return from_arrow_type(arrow_of(np.dtype(kind.dtype if isinstance(kind, np.ndarray) else kind).str))
+
+
+def compatible(a, b) -> bool:
+    """Whether two targets hold the same values, whatever may be null."""
+
+    def bare(t: T.DataType):
+        if isinstance(t, T.StructType):
+            return ("struct", *((f.name, bare(f.dataType)) for f in t.fields))
+        if isinstance(t, T.ArrayType):
+            return ("array", bare(t.elementType))
+        if isinstance(t, T.MapType):
+            return ("map", bare(t.keyType), bare(t.valueType))
+        return t.simpleString()
+
+    return bare(as_type(a)) == bare(as_type(b))
+
+
 def matches(schema: T.StructType, selector, recursive: bool = True) -> list[str]:
     return [b.name for b, _ in select_all(schema, selector, recursive)]
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,9 @@ from pyspark.sql import types as T
 
 from quarry.functions import nested, vectors
 from quarry.operators import entries, flatten, hist, selectors, steps
-from quarry.plans.table import Table, chunk_stats
+from quarry.plans import file_queries
+from quarry.plans.scratch import folder
+from quarry.plans.table import Table
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -245,22 +246,15 @@ def format_round_trip(spark, d):
     from quarry.sources import datasource
 
     datasource.register(spark)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    out = f"{shared.removeprefix('file://')}/eventfile-{os.urandom(8).hex()}" if shared else tempfile.mkdtemp(prefix="quarry-")
+    out = folder(spark, "eventfile")
     own = _read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     own.write.format("eventfile").option("compression", "zstd").mode("append").save(out)
     return spark.read.format("eventfile").load(out).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
 
-def chunk_sums(spark, d):
-    """Sums over the chunks of a table in memory: 500 rows a chunk."""
-    n = _read(spark, d, "events").count()
-    return chunk_stats(spark, [steps.Chunk("value", a, b, 8 * (b - a), 4 * (b - a), b - a) for a, b in steps.steps(500, n)])
-
-
 def flagship(spark, d):
-    """A histogram of the quantities in the first 50,000 line items' lists, flattened."""
-    own = entries.slice_entries(_entries(spark, d, "lineitem"), 0, 50_000)
+    """A histogram of the quantities in all line items' lists, flattened."""
+    own = _entries(spark, d, "lineitem")
     lists = own.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("entry", "l_quantity"))).alias("it")).select(F.col("l_orderkey").alias("entry"), F.col("it.l_quantity").alias("quantity"))
     axis = hist.Axis(10, 0.0, 50.0)
     return hist.complete(hist.fill(flatten.flatten(lists), "quantity", axis), axis).select("bin", "sumw")
@@ -318,7 +312,7 @@ ORACLE_SQL = {
     "map_zip": f"SELECT entry, subentry + 1 AS k, quantity AS q FROM {_SUB}",
     "vector_mass": "SELECT l_orderkey, round(max(sqrt((l_quantity + l_extendedprice) * (l_quantity + l_extendedprice) - l_quantity * l_quantity - l_discount * l_discount - l_tax * l_tax)), 3) AS mass, round(max(sqrt(l_quantity * l_quantity + l_discount * l_discount)), 6) AS pt FROM lineitem GROUP BY 1",
     "format_round_trip": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders",
-    "chunk_sums": "SELECT 'value' AS branch, ((count(*) + 499) // 500)::BIGINT AS numbaskets, count(*) AS numentries, count(*) AS numitems, 8 * count(*) AS uncompressedbytes, 4 * count(*) AS compressedbytes, 2.0::DOUBLE AS compressionratio FROM events",
-    "flagship": _all_bins(10, f"SELECT {_bin('l_quantity', 10, 0, 50)} AS bin, count(*) AS sumw FROM {_NUMBERED} WHERE entry < 50000 GROUP BY 1"),
+    "flagship": _all_bins(10, f"SELECT {_bin('l_quantity', 10, 0, 50)} AS bin, count(*) AS sumw FROM lineitem GROUP BY 1"),
 }
-QUERIES = {name: globals()[name] for name in ORACLE_SQL}
+QUERIES = {name: globals()[name] for name in ORACLE_SQL} | file_queries.QUERIES
+ORACLE_SQL |= file_queries.ORACLE_SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,13 @@ class Table:
     def matches(self, selector) -> list[str]:
         return selectors.matches(self.schema, selector)
 
-    def show(self) -> str:
-        return "\n".join(f"{'  ' * (len(b.path) - 1)}{b.name:<30} {b.dataType.simpleString()}" for b in selectors.branches(self.schema))
+    def show(self, foldnames: bool = False) -> str:
+        """A line a branch: name, whether it is a group of branches, the type that it is read as. foldnames: long names on lines of their own."""
+        out = []
+        for b in selectors.branches(self.schema):
+            name = f"{'  ' * (len(b.path) - 1)}{b.name}"
+            out += [name, f"{'':<30} {b.dataType.simpleString()}"] if foldnames and len(name) > 29 else [f"{name:<30} {b.dataType.simpleString()}"]
+        return "\n".join(out)
 
     def lazyarrays(self, branches=None, entrystart=None, entrystop=None, recursive: bool | str = True, namedecode=None) -> DataFrame:
         """The selected columns of an entry range, after the entry number."""
@@ -65,12 +71,17 @@ class Table:
         df = self.lazyarrays({"/".join(one.path): interpretation or found[0][1]}, entrystart, entrystop)
         return flatten.concatenate(df, one.name) if flat else df
 
-    def arrays(self, branches=None, outputtype=dict, entrystart=None, entrystop=None, flat: bool | None = False, recursive: bool | str = True, namedecode=None):
-        """Collects the selected columns in entry order into outputtype.
+    def arrays(self, branches=None, outputtype=dict, entrystart=None, entrystop=None, flat: bool | None = False, recursive: bool | str = True, namedecode=None, blocking: bool = True):
+        """Collects the selected columns in entry order into outputtype. blocking=False: gives a function that waits for them.
 
         dict (or a subclass), list, tuple, a named tuple class, "pandas",
         "arrow", or any callable of the columns. flat=None drops list columns.
         """
+        if not blocking:
+            pool = ThreadPoolExecutor(1)
+            waits = pool.submit(self.arrays, branches, outputtype, entrystart, entrystop, flat, recursive, namedecode)
+            pool.shutdown(wait=False)
+            return waits.result
         df = self.lazyarrays(branches, entrystart, entrystop, recursive, namedecode)
         df = flatten.drop_jagged(df) if flat is None else df
         if outputtype in (DataFrame, "spark"):

@@ -1,6 +1,8 @@
 """The Spark data source "eventfile": reads and writes trees, a task for each entry range or output file.
 
-Options: path (a file, a glob, or several split by commas), tree, branches
+Options: path (a file, a folder, a glob, or several split by commas; any store
+that Arrow's file systems know), transport ("file", "http" or "arrow"), user
+and password (for HTTP), tree, branches
 (names split by commas: Spark can't prune columns of a Python source itself),
 entrystart, entrystop, step (entries a task, or a size as "64 MB"; clusters
 that together have about 64 MB by default), compression, level, rows,
@@ -10,11 +12,16 @@ lists of fixed length, as "a:3,b:2x3").
 
 from __future__ import annotations
 
+import glob as globbing
 import os
+import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
@@ -23,6 +30,10 @@ from quarry.sources.reader import File
 from quarry.sources.writer import FileWriter
 
 TARGET = "64 MB"
+#: Files that the driver opens at once to plan.
+OPENERS = 32
+#: Bytes of a written file that stay in memory; rows a chunk.
+SPOOL, ROWS = 64 << 20, 100_000
 
 
 @dataclass
@@ -33,13 +44,39 @@ class Range(InputPartition):
     offset: int
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def _listed(store: fs.FileSystem, root: str) -> list[str]:
+    """The data files of a folder, by name."""
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".root") and not f.base_name.startswith("."))
+
+
 def _files(options) -> list[str]:
     out = []
     for p in options["path"].split(","):
-        out += entries.expand(os.path.join(p.removeprefix("file://"), "*.root") if os.path.isdir(p.removeprefix("file://")) else p)
+        if p.startswith(("http://", "https://")) or options.get("transport") == "http" or globbing.has_magic(p):
+            out += entries.expand(p)
+            continue
+        store, root = _store(p)
+        if store.get_file_info(root).type == fs.FileType.Directory:
+            own = _listed(store, root)
+            scheme = f"{p.split('://', 1)[0]}://" if "://" in p else ""
+            out += [f"{scheme}{x}" for x in own] if scheme in ("", "file://") else [f"{p.rstrip('/')}/{x.rsplit('/', 1)[-1]}" for x in own]
+            if not own:
+                raise TypeError(f"no files in {p!r}")
+        else:
+            out += entries.expand(p)
     return out
 
 
+def _opened(options, path: str) -> File:
+    auth = (options["user"], options.get("password", "")) if options.get("user") else None
+    return File(path, transport=options.get("transport"), auth=auth)
+
+
 def _pairs(text: str) -> list[tuple[str, str]]:
     """("x", "zstd"), ("y", "") of "x:zstd,y:"."""
     return [tuple(x.strip().rsplit(":", 1)) for x in text.split(",") if x.strip()]
@@ -65,12 +102,18 @@ class Reader(DataSourceReader):
         out, at = [], 0
         o = self.options
         bound = lambda k: int(o[k]) if k in o else None
-        files = []
-        for path in _files(o):
-            with File(path) as f:
-                if self.tree in f:
-                    t = f.tree(self.tree)
-                    files.append((path, t.numentries, t.chunks(self.names)))
+        exact = not (o.get("step") or "1").isdigit()
+
+        def survey(path):
+            """Entries and chunks, from the tree's own lists; only a step in bytes needs every chunk's head."""
+            with _opened(o, path) as f:
+                if self.tree not in f:
+                    return None
+                t = f.tree(self.tree)
+                return path, t.numentries, t.chunks(self.names) if exact else [c for n in self.names for c in t.branch(n).planned()]
+
+        with ThreadPoolExecutor(OPENERS) as pool:
+            files = [x for x in pool.map(survey, _files(o)) if x]
         total = sum(n for _, n, _ in files)
         first, last = entries.entry_range(total, bound("entrystart"), bound("entrystop"))
         for path, n, chunks in files:
@@ -92,12 +135,12 @@ class Reader(DataSourceReader):
         if not partition.path:
             return
         schema = to_arrow_schema(self.spark_schema)
-        with File(partition.path) as f:
+        with _opened(self.options, partition.path) as f:
             got = f.tree(self.tree).read(self.names, partition.start, partition.stop)
         cols = []
         for field in schema:
             if field.name == "entry":
-                cols.append(pa.array(range(partition.start + partition.offset, partition.stop + partition.offset), pa.int64()))
+                cols.append(pa.array(np.arange(partition.start + partition.offset, partition.stop + partition.offset, dtype=np.int64)))
             else:
                 cols.append(got[field.name].cast(field.type))
         yield from pa.table(cols, schema=schema).to_batches(max_chunksize=50_000)
@@ -109,40 +152,54 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """Every task writes a file of its own under a temporary name; commit renames them, abort removes them."""
+    """Every task writes a file of its own to a folder beside the data, on the same store; commit moves them in, then old ones go.
+
+    A file is put together in the task's memory or temporary folder first, as
+    its head is written last and stores don't seek.
+    """
 
     def __init__(self, options, schema, overwrite):
-        self.options, self.schema, self.folder = dict(options), to_arrow_schema(schema), options["path"].removeprefix("file://")
-        if os.path.exists(self.folder) and os.listdir(self.folder):
-            if not overwrite:
-                raise FileExistsError(f"{self.folder} exists; files can't be updated in place")
-            for p in os.listdir(self.folder):
-                if p.endswith(".root"):
-                    os.remove(os.path.join(self.folder, p))
-        os.makedirs(self.folder, exist_ok=True)
+        self.options, self.schema, self.folder = dict(options), to_arrow_schema(schema), options["path"]
+        self.job = uuid.uuid4().hex
+        store, root = _store(self.folder)
+        self.old = _listed(store, root)
+        if self.old and not overwrite:
+            raise FileExistsError(f"{self.folder} exists; files can't be updated in place")
+        store.create_dir(f"{root}/_temporary-{self.job}", recursive=True)
 
     def write(self, iterator):
         from pyspark import TaskContext
 
-        name = os.path.join(self.folder, f".{uuid.uuid4().hex}")
+        store, root = _store(self.folder)
+        name = f"{root}/_temporary-{self.job}/{uuid.uuid4().hex}"
         o = self.options
-        with FileWriter(name, "create", o.get("compression", "zlib") or None, int(o.get("level", 1))) as f:
-            shapes = {k: tuple(int(n) for n in v.split("x")) for k, v in _pairs(o.get("shapes", ""))}
-            t = f.tree(o.get("tree", "tree"), self.schema, o.get("title", ""), shapes, {k: v or None for k, v in _pairs(o.get("compressions", ""))})
-            for batch in iterator:
-                t.extend(pa.Table.from_batches([batch]))
-            t.close()
+        with tempfile.SpooledTemporaryFile(SPOOL) as held:
+            with FileWriter(held, "create", o.get("compression", "zlib") or None, int(o.get("level", 1))) as f:
+                shapes = {k: tuple(int(n) for n in v.split("x")) for k, v in _pairs(o.get("shapes", ""))}
+                t = f.tree(o.get("tree", "tree"), self.schema, o.get("title", ""), shapes, {k: v or None for k, v in _pairs(o.get("compressions", ""))})
+                rows = int(o.get("rows", ROWS))
+                for batch in iterator:
+                    for at in range(0, batch.num_rows, rows):
+                        t.extend(pa.Table.from_batches([batch.slice(at, rows)]))
+                t.close()
+            held.seek(0)
+            with store.open_output_stream(name) as out:
+                while part := held.read(8 << 20):
+                    out.write(part)
         return Written(f"{name}|{TaskContext.get().partitionId():05d}")
 
     def commit(self, messages):
+        store, root = _store(self.folder)
         for m in filter(None, messages):
             name, part = m.path.split("|")
-            os.replace(name, os.path.join(self.folder, f"part-{part}.root"))
+            store.move(name, f"{root}/part-{part}{f'-{self.job}' if self.old else ''}.root")
+        for p in self.old:
+            store.delete_file(p)
+        store.delete_dir(f"{root}/_temporary-{self.job}")
 
     def abort(self, messages):
-        for m in filter(None, messages):
-            if os.path.exists(m.path.split("|")[0]):
-                os.remove(m.path.split("|")[0])
+        store, root = _store(self.folder)
+        store.delete_dir(f"{root}/_temporary-{self.job}")
 
 
 class EventFile(DataSource):
@@ -154,7 +211,7 @@ class EventFile(DataSource):
         """From the first file that has the tree; an entry column comes first."""
         tree = self.options.get("tree", "tree")
         for path in _files(self.options):
-            with File(path) as f:
+            with _opened(self.options, path) as f:
                 if tree in f:
                     t = f.tree(tree)
                     names = [n.strip() for n in self.options["branches"].split(",")] if self.options.get("branches") else t.keys()
@@ -173,6 +230,25 @@ def register(spark) -> None:
     spark.dataSource.register(EventFile)
 
 
+def baskets(spark, paths, tree: str = "tree"):
+    """file, branch, basket, entry_start, entry_stop, uncompressed, compressed, items of all stored chunks: one row a chunk, read by the executors."""
+    files = entries.expand(paths)
+    schema = "file string, branch string, basket int, entry_start bigint, entry_stop bigint, uncompressed bigint, compressed bigint, items bigint"
+    from pyspark.sql.types import StructType
+
+    to = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                with File(p) as f:
+                    t = f.tree(tree)
+                    rows = [(p, n, i, c.start, c.stop, c.uncompressed, c.compressed, c.items) for n in t.keys() for i, c in enumerate(t.chunks([n]))]
+                yield pa.RecordBatch.from_pylist([dict(zip(to.names, r, strict=True)) for r in rows], schema=to)
+
+    return spark.createDataFrame([(p,) for p in files], "file string").repartition(len(files)).mapInArrow(run, schema)
+
+
 def catalog(spark, paths):
     """path, name, cycle, class_name, title, nbytes of all keys of files: one row a key, read by the executors."""
     df = spark.createDataFrame([(p,) for p in entries.expand(paths)], "file string").repartition(max(1, len(entries.expand(paths))))

@@ -51,16 +51,17 @@ def _kind(t: pa.DataType, name: str) -> str:
 
 
 class FileWriter:
-    """mode "create" fails if the file exists, "recreate" overwrites it; "update" isn't possible."""
+    """mode "create" fails if the file exists, "recreate" overwrites it; "update" isn't possible. path: or a file object, which stays open."""
 
     def __init__(self, path, mode: str = "create", compression: str | None = "zlib", level: int = 1):
         if mode == "update":
             raise NotImplementedError("files can't be updated in place")
         if compression not in NUMBERS:
             raise ValueError(f"unknown compression {compression!r}")
-        self.f = path if hasattr(path, "write") else open(path, "xb" if mode == "create" else "wb")
+        self.own = not hasattr(path, "write")
+        self.f = open(path, "xb" if mode == "create" else "wb") if self.own else path
         self.compression, self.level, self.at, self.keys = compression, level, 0, []
-        name = os.path.basename(str(getattr(path, "name", path)))
+        name = os.path.basename(str(path)) if self.own else "file.root"
         own = self._key_head("TFile", name, "", 0, 0, _BEGIN)[0]
         self.n_name = len(own) + len(Out().string(name).string("").parts)
         self.name = name
@@ -128,7 +129,8 @@ class FileWriter:
         self.f.write(front)
         self.f.seek(_BEGIN)
         self.f.write(top + names + directory + uuid)
-        self.f.close()
+        if self.own:
+            self.f.close()
 
     def __enter__(self):
         return self

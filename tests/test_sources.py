@@ -1,12 +1,26 @@
 """The file format: round trips with every codec, fixed bytes, ranges, recovery of errors."""
 
+import base64
+import http.server
+import io
+import lzma
+import os
+import re
+import threading
+import urllib.error
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from quarry.operators.hist import Axis, Histogram, HistogramND, Profile, fill_nd
+from quarry.plans.table import Table
 from quarry.sources import codec, datasource
 from quarry.sources.reader import File, numentries
+from quarry.sources.remote import HttpFile
 from quarry.sources.writer import FileWriter, write_table
 
 RANGES = [(None, None), (1, None), (1, 2), (1, 10), (10, 11), (10, 20), (6, 12), (6, 13)]
@@ -191,3 +205,92 @@ def test_remove(tmp_path):
             f.remove("z")
     with File(tmp_path / "a.root") as f:
         assert [(k.name, k.cycle) for k in f.listing()] == [("x", 1), ("x", 3), ("y", 1), ("x", 4)] and f.string("x") == "four" and f.string("x;1") == "one"
+
+
+def test_codec_bytes():
+    """Of each codec the tag and the byte after it, the packed and the plain length, and a body that its own library reads."""
+    data = b"abcdefgh" * 1000
+    heads = {"zlib": b"ZL\x08", "lzma": b"XZ\x00", "lz4": b"L4\x01", "zstd": b"ZS\x01"}
+    opened = {"zlib": zlib.decompress, "lzma": lzma.decompress, "zstd": lambda b: zstandard.ZstdDecompressor().decompress(b, max_output_size=len(data))}
+    for kind, head in heads.items():
+        got = codec.compress(data, kind)
+        assert got[:3] == head and int.from_bytes(got[3:6], "little") == len(got) - 9 and int.from_bytes(got[6:9], "little") == len(data)
+        assert kind not in opened or opened[kind](got[9:]) == data
+
+
+class Ranged(http.server.BaseHTTPRequestHandler):
+    body, auth, seen = b"", None, 0
+
+    def do_GET(self):
+        type(self).seen += 1
+        if self.auth and self.headers.get("Authorization") != self.auth:
+            self.send_response(401)
+            self.send_header("WWW-Authenticate", 'Basic realm="x"')
+            self.end_headers()
+            return
+        a, b = re.fullmatch(r"bytes=(\d+)-(\d+)", self.headers["Range"]).groups()
+        part = self.body[int(a) : int(b) + 1]
+        self.send_response(206 if part else 416)
+        self.send_header("Content-Length", str(len(part)))
+        self.end_headers()
+        self.wfile.write(part)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_http(spark):
+    out = io.BytesIO()
+    with FileWriter(out) as f:
+        t = f.tree("tree", pa.schema([("x", pa.int64())]))
+        t.extend(pa.table({"x": list(range(1000))}))
+        t.close()
+    Ranged.body, Ranged.auth = out.getvalue(), "Basic " + base64.b64encode(b"me:secret").decode()
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Ranged)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/a.root"
+    try:
+        with File(url, transport="http", auth=("me", "secret")) as f:
+            assert f.tree("tree").read()["x"].to_pylist() == list(range(1000))
+        with pytest.raises(urllib.error.HTTPError):
+            File(url, auth=("me", "wrong"))
+        whole = HttpFile(url, ("me", "secret"), chunk=256)
+        whole.prefetch([(0, 1000)])
+        before = Ranged.seen
+        assert whole.read(1000) == Ranged.body[:1000] and Ranged.seen == before and whole.read() == Ranged.body[1000:]
+        datasource.register(spark)
+        df = spark.read.format("eventfile").options(transport="http", user="me", password="secret").load(url)
+        assert df.agg({"x": "sum"}).first()[0] == 499500
+        with pytest.raises(NotImplementedError):
+            File("root://host/a.root", transport="xrootd")
+    finally:
+        server.shutdown()
+
+
+def test_chunks_one_by_one():
+    out = io.BytesIO()
+    with FileWriter(out) as f:
+        t = f.tree("tree", pa.schema([("x", pa.int32()), ("l", pa.list_(pa.int16()))]))
+        for at in (0, 5):
+            t.extend(pa.table({"x": pa.array(range(at, at + 5), pa.int32()), "l": pa.array([[k] * (k % 3) for k in range(at, at + 5)], pa.list_(pa.int16()))}))
+        t.close()
+    with File(out.getvalue(), cache_bytes="1 MB") as f:
+        t = f.tree("tree")
+        assert t.numbaskets("x") == 2 and t.basket_range("x", 1) == (5, 10) and t.basket_bytes("x", 0)[0] == 20
+        assert [(a, b, x.to_pylist()) for a, b, x in t.baskets("x", 3, 7, True)] == [(3, 5, [3, 4]), (5, 7, [5, 6])]
+        assert [c.items for c in t.chunks(["l"])] == [4, 5] and t.raw("x", 0)[4].as_py() == b"\0\0\0\4"
+        for i in (-1, 2):
+            with pytest.raises(IndexError):
+                t.basket("x", i)
+        assert f.get("tree/l").name == "l" and "tree/none" not in f and t.branch("x").keys() == []
+
+
+def test_overwrite_and_waiting(spark, tmp_path):
+    datasource.register(spark)
+    own = spark.range(100)
+    for _ in range(2):
+        own.coalesce(1).write.format("eventfile").mode("overwrite").save(f"{tmp_path}/out")
+    assert spark.read.format("eventfile").load(f"file://{tmp_path}/out").count() == 100
+    assert [p for p in os.listdir(tmp_path / "out") if not p.endswith(".root")] == []
+    waits = Table(own.withColumnRenamed("id", "entry").withColumn("x", F.col("entry") * 2)).arrays(blocking=False)
+    assert waits()["x"].to_pylist() == list(range(0, 200, 2))
