@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import BROADCAST_ROWS, ROW, added, arrow_map, fresh, identified, stored
@@ -279,6 +280,16 @@ def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (DEN * a >= NUM * b) & (DEN * b >= NUM * a)
 
 
+def _least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of similar sets of so many words at least so many are in both prefixes.
+
+    Where the prefix that ends first ends, all common words so far are in
+    both prefixes, and what is left of that set has ceil(0.8 n) - 1 words.
+    """
+    need = -(-NUM * (a + b) // (NUM + DEN))
+    return need + 1 - np.maximum(-(-NUM * a // DEN), -(-NUM * b // DEN))
+
+
 def _close(cols: dict, old: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Which pairs of rows, of fitting lengths, the positional filter and the marks leave."""
     a, b, p, q = cols["n"][old], cols["n"][new], cols["place"][old], cols["place"][new]
@@ -367,15 +378,18 @@ def _of_bucket(cols: dict, again: np.ndarray | None, first: int | None):
     other = (cols["doc"][o] != cols["doc"][w]) | (cols["line_no"][o] != cols["line_no"][w])
     o, w = o[other], w[other]
     if len(o):
-        yield {"old_doc": cols["doc"][o], "old_line": cols["line_no"][o], "doc": cols["doc"][w], "line_no": cols["line_no"][w], "more": flag[w]}
+        yield {"old_doc": cols["doc"][o], "old_line": cols["line_no"][o], "doc": cols["doc"][w], "line_no": cols["line_no"][w], "more": flag[w], "least": _least(cols["n"][o], cols["n"][w])}
 
 
 def candidates(posts: DataFrame, first: int | None = FIRST, parts: int | None = None, unit: type = Lines) -> DataFrame:
-    """(old_doc, old_line, doc, line_no, more) of lines that share a posted word and pass the filters.
-
-    posts may have a column again: then only postings where it is true look
-    for earlier ones, for all of them. A bucket's postings are one task's
-    work, in blocks; parts: tasks.
+    """(old_doc, old_line, doc, line_no, more) of lines that share posted words and pass the filters.
+
+    Lines have to share as many words of their prefixes as similar ones do;
+    one fewer is let pass, as of words posted in pairs the last one may be
+    missing, and so are lines of which some word named only the first old
+    ones. posts may have a column again: then only postings where it is true
+    look for earlier ones, for all of them. A bucket's postings are one
+    task's work, in blocks; parts: tasks.
     """
     second = "again" in posts.columns
     first = None if second else first
@@ -400,8 +414,11 @@ def candidates(posts: DataFrame, first: int | None = FIRST, parts: int | None =
         if held:
             yield from work()
 
-    found = arrow_map(dealt, run, "old_doc bigint, old_line int, doc bigint, line_no int, more boolean")
-    return found.groupBy("old_doc", "old_line", "doc", "line_no").agg(F.max("more").alias("more"))
+    found = arrow_map(dealt, run, "old_doc bigint, old_line int, doc bigint, line_no int, more boolean, least int")
+    found = found.repartition("doc", "line_no")  # both what follows is by these
+    pairs = found.groupBy("doc", "line_no", "old_doc", "old_line").agg(F.max("more").alias("more"), F.max("least").alias("least"), F.count("*").alias("shared"))
+    cut_off = F.max("more").over(W.partitionBy("doc", "line_no"))  # as many rows as a line has candidates
+    return pairs.withColumn("cut_off", cut_off).where("cut_off OR shared + 1 >= least").select(*PAIR)
 
 
 def _named(docs: DataFrame, pairs: DataFrame) -> DataFrame:
