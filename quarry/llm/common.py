@@ -101,8 +101,10 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[
     """mapInArrow for functions that take and give columns as lists or arrays.
 
     arrays: they take NumPy arrays, for columns of numbers without nulls.
-    keeps: the worker_cache that they use.
+    keeps: the worker_cache that they use. Batches are of about SLICE bytes, for
+    the whole session from then on: so many rows of long texts wouldn't fit.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE))
     out = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     names = out.fieldNames()
     from pyspark.sql.pandas.types import to_arrow_schema

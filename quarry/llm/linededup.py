@@ -38,6 +38,8 @@ MARKED = 256
 HOT_WORD, HOT_WORD_SHARE = 1 << 17, 11
 #: Postings that a task holds before it sends them, postings a bucket, buckets a task, most tasks that compare them.
 HELD, BUCKET, BUCKETS_A_TASK, MOST_PARTS = 1 << 18, 1 << 16, 8, 100_000
+#: Words that a second look may name to all tasks (16 MB).
+MOST_ASKED = 1 << 21
 PAIR = ("old_doc", "old_line", "doc", "line_no", "more")
 #: A line's copies are hot from 1 / (HOT_SHARE * shuffle partitions) of all lines on: at most that many keys are broadcast.
 HOT_SHARE = 8
@@ -534,6 +536,35 @@ def _repeats(table: DataFrame) -> DataFrame:
     return of_hot.where(late).select("doc", "line_no").union(of_cold.where(late).select("doc", "line_no"))
 
 
+def _asked(posts: DataFrame, again: DataFrame, unit: type) -> DataFrame:
+    """Of posts the postings of the words that again has; of more than MOST_ASKED words all postings of their buckets."""
+
+    def words_of(batches):
+        for b in batches:
+            yield {"word": np.unique(_unpacked(b["posts"], unit.columns)[0]["word"])}
+
+    asked = stored(arrow_map(again.select("posts"), words_of, "word bigint").distinct(), "words-asked")
+    if asked.count() > MOST_ASKED:
+        buckets = again.select(F.col("bucket").alias("asked")).distinct()
+        return posts.join(buckets, F.col("bucket") == F.col("asked"), "left_semi")
+    sent = posts.sparkSession.sparkContext.broadcast(np.sort(asked.toPandas()["word"].to_numpy()))
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            out = {"bucket": [], "posts": []}
+            for bucket, posted in zip(b["bucket"], b["posts"], strict=True):
+                cols = _unpacked([posted], unit.columns)[0]
+                at = np.minimum(np.searchsorted(sent.value, cols["word"]), len(sent.value) - 1)
+                good = sent.value[at] == cols["word"]
+                if good.any():
+                    out["bucket"].append(bucket)
+                    out["posts"].append(press.compress(b"".join(cols[k][good].tobytes() for k in unit.columns)))
+            yield out
+
+    return arrow_map(posts.select("bucket", "posts"), run, "bucket bigint, posts binary")
+
+
 def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, unit: type = Lines, named: DataFrame | None = None) -> DataFrame:
     """doc_id, lines: the numbers of the lines that go, ascending, of documents that lose any.
 
@@ -552,8 +583,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, unit: type = Lines,
     open_, n = _by_doc(open_, "lines-open")
     if n:
         again = stored(postings(_with_lines(docs, open_, n, "inner"), counts, least, inside=True, unit=unit), "line-postings-again")
-        asked = again.select(F.col("bucket").alias("asked")).distinct()
-        flagged = posts.join(asked, F.col("bucket") == F.col("asked"), "left_semi").withColumn("again", F.lit(False)).union(again.withColumn("again", F.lit(True)))
+        flagged = _asked(posts, again, unit).withColumn("again", F.lit(False)).union(again.withColumn("again", F.lit(True)))
         late = late.union(similar(docs, stored(candidates(flagged, parts=parts, unit=unit), "line-pairs-again"), least, unit))
     lost = copies.select("doc", F.explode("lines").alias("line_no")).union(late)
     lost = lost.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
