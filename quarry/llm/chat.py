@@ -64,8 +64,18 @@ def expand(turns: DataFrame) -> DataFrame:
     )
 
 
-def formatted(example: DataFrame) -> Column:
-    return F.concat(example["context"], F.coalesce(example["target"], F.lit("")), example["closing"])
+def examples(turns: DataFrame) -> DataFrame:
+    """The formatted text of each example of turns, and its loss mask as a span of code points.
+
+    Gives conv_id, example, text, loss_start (from 0), loss_length; an example
+    without a target has the empty span at its end.
+    """
+    own = expand(turns)
+    target = F.coalesce("target", F.lit(""))
+    return own.select(
+        "conv_id", "example", F.concat("context", target, "closing").alias("text"),
+        F.length("context").cast("long").alias("loss_start"), F.length(target).cast("long").alias("loss_length"),
+    )
 
 
 def parse(text: Column) -> Column:
@@ -78,18 +88,19 @@ def parse(text: Column) -> Column:
     ))
 
 
-def read_back(examples: DataFrame) -> DataFrame:
-    """Per conversation, from its examples: turns, text under the loss mask, and length.
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Per conversation, from the examples as they are written: turns, text under the loss mask, and length.
 
-    The turns are parsed from the longest (last) example. formatted_chars is
-    the length of all its examples.
+    The turns are parsed from the longest (last) example; the text under the
+    mask is cut from each example's text by its span. formatted_chars is the
+    length of all examples.
     """
-    text = formatted(examples)
-    per = examples.select("conv_id", "example", text.alias("all"), unescaped(F.col("target")).alias("target"))
+    masked = F.substr("text", (F.col("loss_start") + 1).cast("int"), F.col("loss_length").cast("int"))
+    per = formatted.select("conv_id", "example", "text", unescaped(masked).alias("loss"))
     per = per.groupBy("conv_id").agg(
-        F.max_by("all", "example").alias("last"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "target"))), lambda x: x["target"]), "").alias("loss"),
-        F.sum(F.length("all")).alias("formatted_chars"),
+        F.max_by("text", "example").alias("last"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"),
+        F.sum(F.length("text")).alias("formatted_chars"),
     )
     per = per.withColumn("turns", parse(F.col("last")))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

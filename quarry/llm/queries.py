@@ -45,7 +45,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text")
-    return chat.read_back(chat.expand(turns.union(own)))
+    return chat.read_back(chat.examples(turns.union(own)))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +80,23 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_simhash, op3_bpe, op4_packing, op5_chat, op6_langid, op7_ann, op8_line_dedup, op9_lm, op10_planes, pipeline)}
 
+_CHAT = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, x, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(x, r)
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+        length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*/?turn>)', '<\\\1', 'g')) + length(regexp_replace(text, '<(\\*/?turn>)', '<\\\1', 'g')) + 15 AS chars
+    FROM said
+), summed AS (
+    SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM numbered
+)
+SELECT conv_id, max(n)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    length(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), ''))::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    (sum(before) FILTER (WHERE role = 'assistant' OR k = n))::BIGINT AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
+
 #: Only what DuckDB can say about whole tables in fair time.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat": _CHAT}

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def test_chat(spark):
     df = spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")
     data = spark.read.parquet(f"{SF}/conversations.parquet").selectExpr("conv_id + 1000 AS conv_id", "turn", "role", "text")
     df = df.union(data).withColumn("target", F.lit("clash")).withColumn("example", F.lit(1))
-    got = {r.conv_id: r for r in chat.read_back(chat.expand(df)).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.examples(df)).collect()}
     conv = defaultdict(list)
     for r in df.collect():
         conv[r.conv_id].append(((r.turn is not None, r.turn or 0), r.role or "", r.text or ""))
@@ -36,9 +37,23 @@ def test_chat(spark):
         assert got[k].n_turns == len(own), k
         assert got[k].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest(), k
         assert (got[k].loss_chars, got[k].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest()), k
+        esc = lambda x: re.sub(r"<(\\*)(/?turn>)", r"<\\\1\2", x)
+        whole = [len(f"<turn>{esc(r.replace(chr(92), chr(92) * 2).replace(chr(10), chr(92) + 'n'))}\n{esc(t)}</turn>\n") for _, r, t in own]
+        assert got[k].formatted_chars == sum(sum(whole[: i + 1]) for i, (_, r, _) in enumerate(own) if r == "assistant" or i == len(own) - 1), k
+    masked = {(r.conv_id, r.example): r.text[r.loss_start : r.loss_start + r.loss_length] for r in chat.examples(df).collect()}
+    assert masked == {(r.conv_id, r.example): r.target or "" for r in chat.expand(df).collect()}
     examples = chat.expand(df).where("conv_id = 5").orderBy("example").collect()
     assert [e.target is None for e in examples] == [False, False, True] and examples[1].context.startswith(examples[0].context)
-    assert chat.read_back(chat.expand(df.limit(0))).count() == 0
+    assert chat.read_back(chat.examples(df.limit(0))).count() == 0
+
+
+def test_chat_sql(spark):
+    df = queries.op5_chat(spark, SF)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    cur = con.execute(queries.ORACLE_SQL["op5_chat"])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(df.columns) and sorted(cur.fetchall()) == sorted(tuple(r[n] for n in names) for r in df.collect())
 
 
 def brute(x, q, k):
