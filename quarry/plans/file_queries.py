@@ -224,6 +224,44 @@ def file_jagged(spark, d):
     return back.select("l_orderkey", F.col("nquantity").cast("long").alias("n"), nested.total("quantity").alias("total"), nested.pick("quantity", -1).alias("last"))
 
 
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "customer").select(F.struct(F.col("c_custkey").cast("long").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("double").alias("balance")).alias("c"))
+
+
+def object_split(spark, d):
+    """Objects written a branch a member, by a class that the file describes."""
+    back = _eventfile(spark, _customers(spark, d), "split", compression="zstd")
+    return back.select(F.col("`c.key`").alias("key"), F.col("`c.name`").alias("name"), F.col("`c.balance`").alias("balance"))
+
+
+def object_whole(spark, d):
+    """Objects written whole, an entry each."""
+    back = _eventfile(spark, _customers(spark, d), "whole", split="false")
+    return back.select("c.key", "c.name", "c.balance")
+
+
+def object_flat(spark, d):
+    """Objects of a fixed width."""
+    own = _read(spark, d, "supplier").select(F.struct(F.col("s_suppkey").cast("int").alias("key"), F.col("s_acctbal").cast("double").alias("balance")).alias("s"))
+    return _eventfile(spark, own, "flat", split="false").select(F.col("s.key").cast("long").alias("key"), "s.balance")
+
+
+def object_lists(spark, d):
+    """Lists of objects, split: a branch that counts them and one for each member."""
+    lines = F.struct(F.col("l_quantity").cast("double").alias("quantity"), F.col("l_linenumber").cast("int").alias("line"))
+    own = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("l_orderkey")).agg(F.collect_list(lines).alias("it"))
+    back = _eventfile(spark, own, "objects", compression="lz4")
+    return back.select("l_orderkey", F.col("it").cast("long").alias("n"), nested.total(F.col("`it.quantity`")).alias("quantity"), nested.total(F.col("`it.line`")).cast("long").alias("lines"))
+
+
+def object_classes(spark, d):
+    """The members of the class that a file describes."""
+    path = folder(spark, "classes")
+    datasource.register(spark)
+    _customers(spark, d).coalesce(1).write.format("eventfile").mode("append").save(path)
+    return datasource.classes(spark, f"{path.removeprefix('file://')}/*.root").select("class", "version", "place", "member", "type")
+
+
 def file_fixed(spark, d):
     """Lists of fixed length as two-dimensional arrays."""
     own = _read(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8)).alias("m"))
@@ -388,6 +426,11 @@ ORACLE_SQL = {
     "catalog": "SELECT * FROM (VALUES ('hello', 1::BIGINT, 'TObjString'), ('hello', 2, 'TObjString'), ('quantity', 1, 'TH1D'), ('nations', 1, 'TTree')) AS t(name, cycle, class_name)",
     "string_cycles": "SELECT CASE WHEN n = 0 THEN 'region' ELSE 'region;' || n END AS name, (SELECT r_name FROM region WHERE r_regionkey = CASE WHEN n = 0 THEN 4 ELSE n - 1 END) AS said FROM (SELECT unnest([0, 1, 3]) AS n)",
     "file_jagged": f"SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS total, last(l_quantity ORDER BY e) AS last FROM {_NUMBERED} GROUP BY 1",
+    "object_split": "SELECT c_custkey AS key, c_name AS name, c_acctbal::DOUBLE AS balance FROM customer",
+    "object_whole": "SELECT c_custkey AS key, c_name AS name, c_acctbal::DOUBLE AS balance FROM customer",
+    "object_flat": "SELECT s_suppkey AS key, s_acctbal::DOUBLE AS balance FROM supplier",
+    "object_lists": "SELECT l_orderkey, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY 1",
+    "object_classes": "SELECT * FROM (VALUES ('c', 1::BIGINT, 0::BIGINT, 'key', 'Long64_t'), ('c', 1, 1, 'name', 'TString'), ('c', 1, 2, 'balance', 'double')) t(class, version, place, member, type)",
     "file_fixed": "SELECT vec_id, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings",
     "file_zlib": _PARTS, "file_lzma": _PARTS, "file_lz4": _PARTS, "file_zstd": _PARTS,
     "file_columns_codecs": "SELECT * FROM (VALUES ('r_regionkey', 'zstd'), ('r_name', 'lzma')) AS t(branch, codec)",

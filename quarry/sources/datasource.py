@@ -176,7 +176,7 @@ class Writer(DataSourceArrowWriter):
         with tempfile.SpooledTemporaryFile(SPOOL) as held:
             with FileWriter(held, "create", o.get("compression", "zlib") or None, int(o.get("level", 1))) as f:
                 shapes = {k: tuple(int(n) for n in v.split("x")) for k, v in _pairs(o.get("shapes", ""))}
-                t = f.tree(o.get("tree", "tree"), self.schema, o.get("title", ""), shapes, {k: v or None for k, v in _pairs(o.get("compressions", ""))})
+                t = f.tree(o.get("tree", "tree"), self.schema, o.get("title", ""), shapes, {k: v or None for k, v in _pairs(o.get("compressions", ""))}, o.get("split", "true") == "true")
                 rows = int(o.get("rows", ROWS))
                 for batch in iterator:
                     for at in range(0, batch.num_rows, rows):
@@ -226,6 +226,9 @@ class EventFile(DataSource):
         return Writer(self.options, schema, overwrite)
 
 
+_MEMBERS = pa.schema([("file", pa.string()), ("class", pa.string()), ("version", pa.int64()), ("place", pa.int64()), ("member", pa.string()), ("type", pa.string())])
+
+
 def register(spark) -> None:
     spark.dataSource.register(EventFile)
 
@@ -249,6 +252,22 @@ def baskets(spark, paths, tree: str = "tree"):
     return spark.createDataFrame([(p,) for p in files], "file string").repartition(len(files)).mapInArrow(run, schema)
 
 
+def classes(spark, paths):
+    """The members of the classes that files describe: file, class, version, place, member, type."""
+
+    def members(batches):
+        for b in batches:
+            rows = []
+            for p in b["file"].to_pylist():
+                with File(p) as f:
+                    rows += [(p, c.name, c.version, i, m.name, m.type) for own in f.classes.own.values() for c in own.values() for i, m in enumerate(c.members)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("file", "class", "version", "place", "member", "type"), r, strict=True)) for r in rows], schema=_MEMBERS)
+
+    files = entries.expand(paths)
+    own = spark.createDataFrame([(p,) for p in files], "file string").repartition(max(1, len(files)))
+    return own.mapInArrow(members, from_arrow_schema(_MEMBERS))
+
+
 def catalog(spark, paths):
     """path, name, cycle, class_name, title, nbytes of all keys of files: one row a key, read by the executors."""
     df = spark.createDataFrame([(p,) for p in entries.expand(paths)], "file string").repartition(max(1, len(entries.expand(paths))))

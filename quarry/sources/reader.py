@@ -8,6 +8,7 @@ import struct
 import threading
 from collections import OrderedDict
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import pyarrow as pa
 from quarry.operators.entries import entry_range, expand, memory_size
 from quarry.operators.steps import Chunk, steps
 from quarry.sources.binary import In
+from quarry.sources.classes import ARRAY, ARRAYS, DOUBLE32, FLOAT16, PLAIN, POINTED, STRING, Classes, Entries, Member, read_descriptions
 from quarry.sources.codec import decompress
 from quarry.sources.elements import Quantised, Record, arrow_of, bits_of, decode_bits, parse, unpack_strings
 
@@ -59,6 +61,12 @@ class Branch:
     packed: int = 0
     compress: int = 0
     children: list[Branch] = field(default_factory=list)
+    class_name: str = ""
+    class_version: int = 0
+    checksum: int = 0
+    member: int = -1
+    role: int = -1
+    counted_by: str | None = None
 
     def keys(self, recursive: bool = True) -> list[str]:
         """Names of the branches below this one, each followed by those below it where recursive holds."""
@@ -80,7 +88,7 @@ class Branch:
             return pa.string()
         if self.kind == "bits":
             return pa.list_(pa.bool_())
-        if self.kind in ("composite", "record"):
+        if self.kind in ("composite", "record", "object"):
             return self.element.arrow
         out = self.element.arrow if self.element else arrow_of(self.kind)
         for _ in self.shape:
@@ -133,6 +141,7 @@ class File:
         n_name = head.take("i")
         head.take("B")
         self.compression = head.take("i")
+        self.described_at = head.take("q" if big else "i")
         d = In(self.at(self.begin + n_name, 64))
         self.keys = self._directory(d, "")
 
@@ -173,6 +182,25 @@ class File:
                 out += self._directory(In(self.at(k.seek + k.keylen, 64)), f"{k.path}/")
         return out
 
+    @cached_property
+    def classes(self) -> Classes:
+        """The classes that the file describes."""
+        if not self.described_at:
+            return Classes()
+        key = self._key(In(self.at(self.described_at, 1024)))
+        return Classes(read_descriptions(In(self.payload(key), origin=key.keylen)))
+
+    def showclasses(self, filtername=None) -> str:
+        """The file's classes with their members, as text."""
+        return self.classes.show(filtername)
+
+    def object(self, name: str) -> dict:
+        """Any object of a class that the file describes: its members by name, those behind pointers with their class as "@class"."""
+        key = self.find(name)
+        if not self.classes.known(key.class_name):
+            raise TypeError(f"{name} is a {key.class_name}, which the file doesn't describe")
+        return self.classes.read(key.class_name, In(self.payload(key), origin=key.keylen))
+
     def listing(self, recursive: bool = True, filtername=None, filterclass=None) -> list[Key]:
         return [k for k in self.keys if (recursive or "/" not in k.path) and (filtername is None or filtername(k.name)) and (filterclass is None or filterclass(k.class_name))]
 
@@ -323,12 +351,14 @@ class Tree:
         for b in todo:
             self._all.setdefault(b.name, b)
             todo += b.children
+        for b in todo:
+            if b.kind is None and b.role >= 0:
+                self._settle(b)
 
     def _branch(self, cls: str, d: In, end: int | None, note) -> Branch:
         if cls not in ("TBranch", "TBranchElement", "TBranchObject", "TBranchClones"):
             return Branch("", cls)
-        if cls == "TBranchElement":
-            d.header()
+        outer = d.header()[0] if cls == "TBranchElement" else 0
         version, inner = d.header()
         name, title = d.named()
         b = Branch(name, title)
@@ -364,12 +394,52 @@ class Tree:
             shape = lambda x: tuple(int(k) for k in re.findall(r"\[(\d+)\]", x["title"])) or ((x["len"],) if x["len"] > 1 else ())
             b.kind, b.element = "record", Record(tuple((x["name"], x["kind"], shape(x)) for x in leaves))
         if cls == "TBranchElement":
-            self._element(b, d)
+            self._element(b, d, outer)
         return b
 
-    @staticmethod
-    def _element(b: Branch, d: In) -> None:
+    def _settle(self, b: Branch) -> None:
+        """What a branch of objects holds, by the file's descriptions: whole objects, one member of them, or of each in a collection."""
+        known, b.counter, b.shape = self.file.classes, None, ()
+        many = b.role in (31, 41)
+        if b.role in (3, 4):
+            b.kind = ">i4"
+        elif b.member < 0 and not b.children and known.known(b.class_name):
+            b.kind, b.element = "object", Entries(known, b.class_name)
+        elif b.member >= 0 and not b.children and b.class_name in known:
+            members = known.of(b.class_name, b.class_version, b.checksum).members
+            if b.member < len(members) and not members[b.member].base:
+                self._settle_member(b, members[b.member], many)
+        b.counter = b.counted_by if many and b.kind != "object" else None
+
+    def _settle_member(self, b: Branch, m: Member, many: bool) -> None:
+        dims = (m.dims or (m.length,)) if ARRAY <= m.code < POINTED else ()
+        code = m.code - ARRAY if dims else m.code
+        vector = re.fullmatch(r"(?:std::)?vector<\s*(.+?)\s*>", m.type)
+        if code in PLAIN:
+            b.kind, b.shape = PLAIN[code], dims
+        elif code in (DOUBLE32, FLOAT16):
+            b.kind, b.shape, b.element = "short float", dims, Quantised.of_title(m.title, code == DOUBLE32)
+        elif not many and m.code - POINTED in PLAIN:
+            b.kind, b.skip = PLAIN[m.code - POINTED], 1
+        elif not many and m.code == STRING:
+            b.kind = "string"
+        elif not many and m.type in ARRAYS:
+            b.kind, b.skip = ARRAYS[m.type], 4
+        elif not many and vector and vector[1] in ELEMENTS:
+            b.kind, b.skip = ELEMENTS[vector[1]], 10
+        else:
+            b.kind, b.element = "object", Entries(self.file.classes, member=m, many=many)
+
+    def _element(self, b: Branch, d: In, version: int) -> None:
         name = d.string()
+        if version >= 8:
+            b.class_name, _, _ = name, d.string(), d.string()
+            b.checksum = d.take("I")
+            own = self.file.classes
+            wide = "TBranchElement" in own and any(m.name == "fClassVersion" and m.code == 3 for m in own.of("TBranchElement").members)
+            b.class_version, b.member, b.role, _, _ = d.take("iiiii" if wide else "hiiii")
+            count = d.pointer(self._branch)
+            b.counted_by = count.name if count else None
         m = re.fullmatch(r"vector<(.+?)>", name)
         if m and m[1] in ELEMENTS and not b.children:
             b.kind, b.skip, b.counter, b.shape = ELEMENTS[m[1]], 10, None, ()
@@ -505,6 +575,9 @@ class Tree:
             return pa.ListArray.from_arrays(np.arange(len(flags) + 1, dtype=np.int32) * b.element, pa.array(flags.ravel()))
         if b.kind == "record":
             return b.element.decode(data)
+        if b.kind == "object":
+            rows = b.entry_edges[i + 1] - b.entry_edges[i]
+            return b.element.decode(data, offsets if offsets is not None else np.arange(rows + 1) * (len(data) // max(1, rows)))
         if b.kind == "composite":
             # six bytes, a length and a version, come before each entry
             return pa.array([b.element.read(In(data, int(at) + 6)) for at in offsets[:-1]], b.element.arrow)
