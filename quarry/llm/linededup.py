@@ -81,14 +81,13 @@ class Lines:
         w = words(texts)
         raw = np.frombuffer(w.raw, np.uint8)
         breaks = np.flatnonzero(raw == 10)  # every text ends with one, too
-        line = np.searchsorted(breaks, w.starts)
-        n = np.bincount(line, minlength=len(breaks))
-        keep = np.flatnonzero(n >= least)
-        ends = np.cumsum(np.fromiter((len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts), np.int64, len(texts)))
-        text = np.searchsorted(ends, breaks, side="right")
-        first = np.searchsorted(breaks, np.concatenate(([0], ends[:-1])))
+        n = np.diff(np.searchsorted(w.starts, breaks), prepend=0)
+        enough = n >= least
+        keep = np.flatnonzero(enough)
+        text = np.searchsorted(w.text_ends, breaks, side="right")
+        first = np.searchsorted(breaks, np.concatenate(([0], w.text_ends[:-1])))
         self.text, self.line = text[keep], keep - first[text[keep]]
-        self.h = w.hashes[(n >= least)[line]]
+        self.h = w.hashes if (n[~enough] == 0).all() else w.hashes[np.repeat(enough, n)]
         self.edges = np.concatenate(([0], np.cumsum(n[keep])))
 
     def owners(self) -> np.ndarray:
@@ -216,9 +215,8 @@ def _unpacked(rows: list[bytes], columns: dict) -> tuple[dict, list[int]]:
     return {"line_no": np.zeros(sum(sizes), np.int32)} | {k: np.concatenate(v) for k, v in out.items()}, sizes
 
 
-def _paired(rows: np.ndarray, h: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each of these words with each of the after words that follow it in its line: row of the first, and the pair's name."""
-    n = after[rows]
+def _paired(rows: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of these words with each of so many that follow it in its line: row of the first, and the pair's name."""
     first = np.repeat(rows, n)
     second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
     return first, _mixed(h[first] * np.uint64(3) + _mixed(h[second])) & _NAME
@@ -251,16 +249,17 @@ def postings(docs: DataFrame, counts: np.ndarray, least: int = LEAST_WORDS, insi
                     continue
                 lines.distinct(shared.value)
                 n = np.diff(lines.edges)
-                own = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(lines.h)) - lines.edges[own]
                 prefix = np.where(n >= LEAST_SET, n - (NUM * n + DEN - 1) // DEN + 1, 0)
-                take = np.flatnonzero(place < prefix[own])
+                row = np.repeat(np.arange(len(n)), prefix)  # of each word that is in a prefix
+                take = np.arange(len(row)) + np.repeat(lines.edges[:-1] - np.cumsum(prefix) + prefix, prefix)
+                place = take - lines.edges[row]
                 common = lines.h[take] >> np.uint64(30) >= hot
-                first, pairs = _paired(take[common], lines.h, prefix[own] - place)
-                take = np.concatenate((take[~common], first))
-                row = own[take]
+                first, pairs = _paired(take[common], lines.h, (prefix[row] - place)[common])
+                again = np.repeat(np.flatnonzero(common), (prefix[row] - place)[common])
+                order = np.concatenate((np.flatnonzero(~common), again))
+                take, row, place = take[order], row[order], place[order]
                 ids = np.array([_id(b["doc_id"][i]) for i in at], np.int64)
-                cols = {"word": np.concatenate((lines.h[take[: len(take) - len(first)]], pairs)).view(np.int64), "doc": ids[lines.text][row], "line_no": lines.line[row], "n": n[row], "place": place[take]}
+                cols = {"word": np.concatenate((lines.h[take[: len(take) - len(first)]], pairs)).view(np.int64), "doc": ids[lines.text][row], "line_no": lines.line[row], "n": n[row], "place": place}
                 if "marks" in unit.columns:
                     bit = np.uint64(1) << (lines.h & np.uint64(63))
                     low = (lines.h >> np.uint64(6) & np.uint64(1)).astype(bool)
@@ -305,6 +304,12 @@ def _close(cols: dict, old: np.ndarray, new: np.ndarray) -> np.ndarray:
     return good[(np.maximum(a[good], b[good]) > MARKED) | (ones("marks") + ones("marks2") <= room)]
 
 
+def _ranks(ids: np.ndarray) -> np.ndarray:
+    """The place of each of these ascending numbers among its equals."""
+    edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
+    return np.arange(len(ids)) - np.repeat(edges[:-1], np.diff(edges)) if len(ids) else np.zeros(0, int)
+
+
 def _run_pairs(cols: dict, first: int | None, again: np.ndarray | None):
     """Candidates within one word's postings, in line order: (old, new) row numbers, and rows that have more than first."""
     n, out, more = len(cols["n"]), [], []
@@ -321,7 +326,7 @@ def _run_pairs(cols: dict, first: int | None, again: np.ndarray | None):
             good = _close(cols, j + lo, rows[i])
             i, j = i[good], j[good]
             if first is not None:
-                rank = np.arange(len(i)) - np.searchsorted(i, i) + count[i]
+                rank = _ranks(i) + count[i]
                 count += np.bincount(i, minlength=len(rows))
                 i, j = i[rank < first], j[rank < first]
             out.append((j + lo, rows[i]))
@@ -346,7 +351,7 @@ def _small_pairs(cols: dict, place: np.ndarray, first: int | None, again: np.nda
         return old, new, np.zeros(0, int)
     order = np.lexsort((old, new))
     old, new = old[order], new[order]
-    rank = np.arange(len(new)) - np.searchsorted(new, new)
+    rank = _ranks(new)
     return old[rank < first], new[rank < first], np.unique(new[rank >= first])
 
 
@@ -605,9 +610,10 @@ def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     side = F.broadcast(lost) if n <= 4 * BROADCAST_ROWS else lost
     joined = own.join(side, F.col(of) == own[ROW], "left")
     lines = F.split(F.col("text"), "\n")
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(lost_lines), i)), "\n")
     joined = joined.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
+        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(breaks + 1).cast("long"),
         "n_removed": F.when(F.col(lost_lines).isNull(), F.lit(0)).otherwise(F.size(lost_lines)).cast("long"),
     })
     out = joined.withColumn("text", F.when(F.col(lost_lines).isNull(), F.col("text")).otherwise(kept)).drop(of, lost_lines)

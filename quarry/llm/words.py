@@ -16,54 +16,58 @@ _MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 #: Longer words are hashed one by one, by XXH64.
 _LONG = 256
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 @dataclass
 class Words:
-    """raw: the lower-cased bytes; for each word its start and end in raw, its 64-bit hash, and the number of its text."""
+    """raw: the lower-cased bytes; for each word its start and end in raw, its 64-bit hash, and the number of its text; where each text ends in raw."""
 
     raw: bytes
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     owner: np.ndarray
+    text_ends: np.ndarray
 
     def text(self, i: int) -> str:
         return self.raw[self.starts[i] : self.ends[i]].decode("utf-8", "surrogatepass")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(31)
+    x *= _ODD
+    x ^= x >> np.uint64(29)
+    x *= _ODD2
+    return x ^ x >> np.uint64(32)
+
+
 def words(texts: Iterable[str | None]) -> Words:
     """The words of all texts, in order. The hash mixes in eight bytes at a time."""
     own = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     raw = b"\n".join(own) + b"\n"
     eights = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))
-    sizes = np.fromiter(map(len, own), np.int64, len(own)) + 1
+    ends_of = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
     b = np.frombuffer(raw, np.uint8)
-    solid = ~_SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], solid)).view(np.int8)))
+    solid = np.zeros(len(b) + 1, bool)
+    solid[1:] = (b - np.uint8(9) > 4) & (b != 32)  # below 9 it wraps around
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return Words(raw, none, none, np.zeros(0, np.uint64), none)
+        return Words(raw, none, none, np.zeros(0, np.uint64), none, ends_of)
     lens = ends - starts
     h = lens.astype(np.uint64) * _ODD2
-    todo = np.arange(len(lens))
-    at = 0
+    h = _mixed(h ^ (eights[starts] & _MASK[np.minimum(lens, 8)]))
+    at = 8
+    todo = np.flatnonzero((lens > at) & (lens <= _LONG))
     while len(todo):
-        x = h[todo] ^ (eights[starts[todo] + at] & _MASK[np.minimum(lens[todo] - at, 8)])
-        x ^= x >> np.uint64(31)
-        x *= _ODD
-        x ^= x >> np.uint64(29)
-        x *= _ODD2
-        h[todo] = x ^ x >> np.uint64(32)
+        h[todo] = _mixed(h[todo] ^ (eights[starts[todo] + at] & _MASK[np.minimum(lens[todo] - at, 8)]))
         at += 8
-        todo = todo[(lens[todo] > at) & (lens[todo] <= _LONG)]
+        todo = todo[lens[todo] > at]
     for i in np.flatnonzero(lens > _LONG):
         h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
-    owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
-    return Words(raw, starts, ends, h, owner)
+    owner = np.repeat(np.arange(len(own)), np.diff(np.searchsorted(starts, ends_of), prepend=0))
+    return Words(raw, starts, ends, h, owner, ends_of)
 
 
 def chunks(ids: list, texts: list, most: int = 1 << 21):
