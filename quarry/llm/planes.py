@@ -37,7 +37,11 @@ def to_planes(ids: np.ndarray, planes: int = 32) -> list[bytes]:
     if planes == 4:
         return [p.tobytes() for p in ids.astype("<u4").view(np.uint8).reshape(-1, 4).T]
     top = int(ids.max()).bit_length() if len(ids) else 0
-    return [np.packbits((ids >> np.uint32(k)) & np.uint32(1)).tobytes() if k < top else b"" for k in range(planes)]
+    out = []
+    for byte in ids.astype("<u4").view(np.uint8).reshape(-1, 4).T[: (top + 7) // 8]:
+        own = np.ascontiguousarray(byte)
+        out += [np.packbits(own & np.uint8(1 << k)).tobytes() for k in range(8)]
+    return out[:top] + [b""] * (planes - top)
 
 
 def from_planes(parts: list[bytes], n: int) -> np.ndarray:

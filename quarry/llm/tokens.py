@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from struct import pack
 
 import numpy as np
 
@@ -70,6 +69,7 @@ class Encoder:
         self.spaced = kind == "ByteLevel" and not spec.get("normalizer") and not spec["pre_tokenizer"].get("add_prefix_space") and spec["pre_tokenizer"].get("use_regex", True)
         self.worded = kind == "Sequence" and bool(spec["model"].get("end_of_word_suffix")) and '"Removed"' in json.dumps(spec["pre_tokenizer"])
         self.table = byte_letters()
+        self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.library.get_vocab().values(), default=0))]
         self.heads, self.rest = Pieces(self.head), Pieces(self.after_space)
         self.words = Pieces(self.word)
 
@@ -79,11 +79,11 @@ class Encoder:
     def merged(self, letters: str, space: str = "") -> bytes:
         """Ids of one run of letters, after a space or none, which no splitting cuts."""
         if letters.isascii():  # these stand for themselves
-            raw = f"{space and self.table[32]}{letters}"
+            raw = self.table[32] + letters if space else letters
         else:
             raw = f"{space}{letters}".encode().decode("latin1").translate(self.table)
-        ids = [t.id for t in self.model.tokenize(raw)]
-        return pack(f"<{len(ids)}I", *ids)
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(raw)])
 
     def head(self, piece: str) -> bytes:
         if piece.isalpha():
@@ -107,9 +107,9 @@ class Encoder:
     def word(self, piece: str) -> bytes:
         if piece.isalpha():
             # of composed Latin letters, lower case is all that normalizing does
-            return self.merged(piece.lower()) if max(piece) < "İ" else self.whole(piece)
+            return self.merged(piece.lower()) if piece.isascii() or max(piece) < "İ" else self.whole(piece)
         body = piece.rstrip(MARKS)
-        if body.isalpha() and max(body) < "İ":
+        if body.isalpha() and (body.isascii() or max(body) < "İ"):
             return self.words[body] + self.words[piece[len(body) :]]
         return self.whole(piece)
 
