@@ -137,9 +137,9 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str | None], bytes]], e
     return closed.unionByName(arrow_map(merged, cut, PIECE))
 
 
-def pack_texts(docs: DataFrame, path: str, end_id: int | None, **options) -> DataFrame:
-    """pack() by a vocabulary file of the tokenizers library."""
-    return pack(docs, lambda: encoder(path), end_id, **options)
+def pack_texts(docs: DataFrame, path: str, end_id: int | None, pieces: int | None = None, **options) -> DataFrame:
+    """pack() by a vocabulary file of the tokenizers library; pieces: kept by a worker's encoder (see Encoder)."""
+    return pack(docs, lambda: encoder(path, pieces), end_id, **options)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -32,16 +32,16 @@ def byte_letters() -> dict[int, str]:
 class Pieces(dict):
     """piece -> its ids as little-endian unsigned 32-bit bytes, in two bounded generations."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, piece):
         got = self.old.get(piece)
         if got is None:
             got = self.encode(piece)
         if len(piece) <= LONGEST_PIECE:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[piece] = got
@@ -55,9 +55,11 @@ class Encoder:
     single space that follows a character which isn't white space (byte-level
     vocabularies), or at any white space (vocabularies that drop it). Other
     texts are encoded in one call. Strings of special tokens are ordinary text.
+    pieces: kept in each generation of a cache (CACHE_PIECES); fewer take less
+    memory and more time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int | None = None):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -70,8 +72,9 @@ class Encoder:
         self.worded = kind == "Sequence" and bool(spec["model"].get("end_of_word_suffix")) and '"Removed"' in json.dumps(spec["pre_tokenizer"])
         self.table = byte_letters()
         self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.library.get_vocab().values(), default=0))]
-        self.heads, self.rest = Pieces(self.head), Pieces(self.after_space)
-        self.words = Pieces(self.word)
+        pieces = pieces or CACHE_PIECES
+        self.heads, self.rest = Pieces(self.head, pieces), Pieces(self.after_space, pieces)
+        self.words = Pieces(self.word, pieces)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
@@ -127,6 +130,6 @@ class Encoder:
 
 
 @worker_cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int | None = None) -> Encoder:
     """One encoder a worker process."""
-    return Encoder(path)
+    return Encoder(path, pieces)

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
-from quarry.llm import grulm, langid, linededup
+from quarry.llm import grulm, langid, linededup, packing
 from quarry.llm.tokens import Encoder
 
 PIPE_DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -116,3 +116,15 @@ def test_lm_learns_from_all_documents_whole(spark):
     scorer, _ = grulm.fit(documents(spark, [(i, t, "en") for i, t in enumerate(texts)]), F.lit(True), sample=2)
     tail = scorer.entries([" ".join(cycle * 70)])[0]
     assert scorer.gru.score([tail])[0] / len(tail) > -0.5  # a word of its cycle is one of twenty without learning, -1.3
+
+
+def test_packing_keeps_few_pieces(spark, monkeypatch):
+    texts = [" ".join(f"Name{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)} {sentence(i * k)}" for k in range(60)) for i in range(6)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    few, many = Encoder(path, 50), Encoder(path)
+    assert [few(t) for t in texts] == [many(t) for t in texts] == [many.whole(t) for t in texts]
+    assert max(len(x) for c in (few.heads, few.rest) for x in (c, c.old)) <= 50 < len(many.rest)
+    asked = []
+    monkeypatch.setattr(packing, "pack_texts", lambda docs, *a, **options: asked.append(options["pieces"]))
+    corpus_pipeline.pack(spark, None, "")
+    assert asked == [corpus_pipeline.PIECES] and corpus_pipeline.PIECES <= 1 << 16
