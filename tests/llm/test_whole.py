@@ -128,3 +128,18 @@ def test_packing_keeps_few_pieces(spark, monkeypatch):
     monkeypatch.setattr(packing, "pack_texts", lambda docs, *a, **options: asked.append(options["pieces"]))
     corpus_pipeline.pack(spark, None, "")
     assert asked == [corpus_pipeline.PIECES] and corpus_pipeline.PIECES <= 1 << 16
+
+
+def test_near_copies_go_whole(spark, tmp_path):
+    text = [sentence(i) for i in range(20)]
+    rows = [(1, "\n".join(text)), (2, "\n".join([*text[:9], sentence(90), *text[10:]])), (3, "\n".join([*text[:4], *map(sentence, range(40, 60))])), (4, sentence(91))]
+    for name, own in (("once", rows), ("repeated", [(i if i == 4 else None if i == 1 else 7, t) for i, t in rows])):
+        docs = documents(spark, [(i, t, "en") for i, t in own])
+        docs.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}").where("start = 0").collect()
+        tokens = {len(Encoder(public_tokenizers.path("byte_bpe_50k.json"))(t)) // 4 + 1 for t in (rows[0][1], "\n".join(map(sentence, range(40, 60))), rows[3][1])}
+        assert {r.doc_tokens for r in packed} == tokens and len(packed) == 3
+    left = spark.read.parquet(f"{tmp_path}/once/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        left = corpus_pipeline.stored(stage(spark, left, f"{tmp_path}/once"), "stage")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4]
