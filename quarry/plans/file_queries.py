@@ -329,9 +329,13 @@ def file_path_lookup(spark, d):
 
 
 def bytes_reinterpret(spark, d):
-    """Doubles whose bits are read as whole numbers, and back."""
+    """Doubles whose bits are read as whole numbers, and back.
+
+    Numbers below zero have bits from above those of -0.0, the least of all,
+    to those of -inf; NaNs with a sign are beyond.
+    """
     own = _read(spark, d, "customer").select("c_custkey", "c_acctbal", stored.reinterpret("c_acctbal", "f8", "i8").alias("bits"))
-    return own.select("c_custkey", (F.col("bits") < 0).alias("negative"), stored.reinterpret("bits", "i8", "f8").alias("value"))
+    return own.select("c_custkey", F.expr("bits > -9223372036854775807 - 1 AND bits <= -4503599627370496").alias("negative"), stored.reinterpret("bits", "i8", "f8").alias("value"))
 
 
 def _four(x) -> F.Column:
