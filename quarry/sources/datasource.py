@@ -4,8 +4,9 @@ Options: path (a file, a folder, a glob, or several split by commas; any store
 that Arrow's file systems know), transport ("file", "http" or "arrow"), user
 and password (for HTTP), tree, branches
 (names split by commas: Spark can't prune columns of a Python source itself),
-entrystart, entrystop, step (entries a task, or a size as "64 MB"; clusters
-that together have about 64 MB by default), compression, level, rows,
+entrystart, entrystop, step (entries a task, or a size as "64 MB", of more than
+TASKS steps several a task; clusters that together have about 64 MB by
+default), compression, level, rows,
 compressions (of single columns, as "x:zstd,y:lz4"; "x:" for none), shapes (of
 lists of fixed length, as "a:3,b:2x3").
 """
@@ -13,6 +14,7 @@ lists of fixed length, as "a:3,b:2x3").
 from __future__ import annotations
 
 import glob as globbing
+import math
 import os
 import tempfile
 import uuid
@@ -30,6 +32,8 @@ from quarry.sources.reader import File
 from quarry.sources.writer import FileWriter
 
 TARGET = "64 MB"
+#: Tasks of a read, from which on neighbouring steps of a file share one: each task reads a file's lists of chunks.
+TASKS = 256
 #: Files that the driver opens at once to plan.
 OPENERS = 32
 #: Bytes of a written file that stay in memory; rows a chunk.
@@ -42,6 +46,8 @@ class Range(InputPartition):
     start: int
     stop: int
     offset: int
+    #: Entries that are read at once.
+    piece: int
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -99,51 +105,63 @@ class Reader(DataSourceReader):
         self.tree, self.names = options.get("tree", "tree"), [f.name for f in schema.fields if f.name != "entry"]
 
     def partitions(self):
-        out, at = [], 0
+        out, own, at = [], [], 0
         o = self.options
         bound = lambda k: int(o[k]) if k in o else None
-        exact = not (o.get("step") or "1").isdigit()
+        step = o.get("step")
+        exact = not (step or "1").isdigit()
 
         def survey(path):
-            """Entries and chunks, from the tree's own lists; only a step in bytes needs every chunk's head."""
+            """Entries, chunks and bytes, from the tree's own lists; only a step in bytes needs every chunk's head."""
             with _opened(o, path) as f:
                 if self.tree not in f:
                     return None
                 t = f.tree(self.tree)
-                return path, t.numentries, t.chunks(self.names) if exact else [c for n in self.names for c in t.branch(n).planned()]
+                chunks = t.chunks(self.names) if exact else [c for n in self.names for c in t.branch(n).planned()] if not step else []
+                return path, t.numentries, chunks, sum(t.branch(n).total for n in self.names)
 
         with ThreadPoolExecutor(OPENERS) as pool:
             files = [x for x in pool.map(survey, _files(o)) if x]
-        total = sum(n for _, n, _ in files)
+        total = sum(n for _, n, _, _ in files)
         first, last = entries.entry_range(total, bound("entrystart"), bound("entrystop"))
-        for path, n, chunks in files:
+        for path, n, chunks, size in files:
             a, b = max(0, first - at), min(n, last - at)
-            if a < b:
-                step = o.get("step")
-                if step and not step.isdigit():
-                    ranges = steps.steps(step, n, a, b, chunks, self.names)
-                elif step:
-                    ranges = steps.equal(int(step), a, b)
-                else:
-                    rows = steps.memory_step(chunks, self.names, entries.memory_size(TARGET), a, b) if self.names else b - a
-                    ranges = _merge(steps.steps(None, n, a, b, chunks, self.names), rows) if self.names and chunks else [(a, b)]
-                out += [Range(path, x, y, at) for x, y in ranges or [(a, b)]]
+            if a < b and step:
+                rows = self._rows(step, chunks, a, b) or b - a
+                own.append((path, a, b, at, rows, max(1, n * entries.memory_size(TARGET) // max(1, size))))
+            elif a < b:
+                rows = steps.memory_step(chunks, self.names, entries.memory_size(TARGET), a, b) if self.names else b - a
+                ranges = _merge(steps.steps(None, n, a, b, chunks, self.names), rows) if self.names and chunks else [(a, b)]
+                out += [Range(path, x, y, at, y - x) for x, y in ranges or [(a, b)]]
             at += n
-        return out or [Range("", 0, 0, 0)]
+        share = math.ceil(sum(len(range(a, b, rows)) for _, a, b, _, rows, _ in own) / TASKS)
+        for path, a, b, at, rows, many in own:
+            out += [Range(path, x, y, at, rows * max(1, many // rows)) for x, y in steps.equal(rows * share, a, b)]
+        return out or [Range("", 0, 0, 0, 0)]
+
+    def _rows(self, step: str, chunks, a: int, b: int) -> int | None:
+        """Entries of a step; None of one in bytes where there are none."""
+        if step.isdigit():
+            return int(step)
+        size = entries.memory_size(step)
+        if size is None:
+            raise ValueError(f"not a memory size: {step!r}")
+        return steps.memory_step(chunks, self.names, size, a, b)
 
     def read(self, partition):
         if not partition.path:
             return
         schema = to_arrow_schema(self.spark_schema)
         with _opened(self.options, partition.path) as f:
-            got = f.tree(self.tree).read(self.names, partition.start, partition.stop)
-        cols = []
-        for field in schema:
-            if field.name == "entry":
-                cols.append(pa.array(np.arange(partition.start + partition.offset, partition.stop + partition.offset, dtype=np.int64)))
-            else:
-                cols.append(got[field.name].cast(field.type))
-        yield from pa.table(cols, schema=schema).to_batches(max_chunksize=50_000)
+            t = f.tree(self.tree)
+            for start, stop in steps.equal(partition.piece, partition.start, partition.stop):
+                got, cols = t.read(self.names, start, stop), []
+                for field in schema:
+                    if field.name == "entry":
+                        cols.append(pa.array(np.arange(start + partition.offset, stop + partition.offset, dtype=np.int64)))
+                    else:
+                        cols.append(got[field.name].cast(field.type))
+                yield from pa.table(cols, schema=schema).combine_chunks().to_batches(max_chunksize=50_000)
 
 
 @dataclass

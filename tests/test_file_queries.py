@@ -6,6 +6,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from quarry.plans import file_queries
+from quarry.sources import datasource
+from quarry.sources.writer import write_table
 
 
 def against_sql(spark, name, folder, table):
@@ -25,3 +27,26 @@ def test_reinterpret_signs(spark, tmp_path):
     pq.write_table(pa.table({"c_custkey": range(10), "c_acctbal": pa.concat_arrays([pa.array(odd), pa.nulls(1, pa.float64())])}), tmp_path / "customer.parquet")
     got, want = against_sql(spark, "bytes_reinterpret", tmp_path, "customer")
     assert got == want
+
+
+def test_range_in_few_tasks(spark, tmp_path):
+    """Steps of more than TASKS share tasks: each reads the file's lists of chunks. Results don't change."""
+    pq.write_table(pa.table({"o_orderkey": np.arange(30_000)}), tmp_path / "orders.parquet")
+    assert file_queries.file_range(spark, str(tmp_path)).rdd.getNumPartitions() <= datasource.TASKS + 3
+    got, want = against_sql(spark, "file_range", tmp_path, "orders")
+    assert got == want and len(got) == 29_920
+
+
+def test_pieces_of_a_task(spark, tmp_path, monkeypatch):
+    """A task reads as many of its steps at once as have about TARGET bytes."""
+    monkeypatch.setattr(datasource, "TARGET", "1 kB")
+    monkeypatch.setattr(datasource, "TASKS", 2)
+    write_table(tmp_path / "a.root", pa.table({"x": np.arange(5000)}), "tree", 70)
+    datasource.register(spark)
+    for step in ("33", "400 B", "2000"):
+        reader = datasource.EventFile({"path": str(tmp_path / "a.root"), "step": step})
+        own = reader.reader(reader.schema())
+        parts = own.partitions()
+        assert len(parts) <= 3 and [b.num_rows for b in own.read(parts[0])][0] in (99, 100, 2000)
+        got = pa.Table.from_batches(b for p in parts for b in own.read(p))
+        assert got["x"].to_pylist() == got["entry"].to_pylist() == list(range(5000))
