@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quarry.functions import bytes as stored
 from quarry.functions import nested, vectors
@@ -60,6 +62,35 @@ def _written(table: pa.Table, rows: int, compression: str | None = None, name: s
     return out.getvalue()
 
 
+#: Chunks of a column in each of the files that _chunks() makes of a table.
+CHUNKS = 256
+_HEADS = "branch string, start bigint, stop bigint, uncompressed bigint, compressed bigint, items bigint, total bigint"
+
+
+def _chunks(spark: SparkSession, own: DataFrame, key: str, rows: int) -> DataFrame:
+    """A row for each stored chunk of numbers sorted by key, so many rows a chunk, not compressed: its head, and the sum of whole numbers.
+
+    The sorted rows are numbered by their place in files; executors write each
+    CHUNKS * rows of them as a file, in memory, and read its chunks.
+    """
+    path = folder(spark, "sorted")
+    own.orderBy(key).write.parquet(path)
+    numbered = entries.read_with_entry(spark, path, "chunks entry").withColumn("chunks file", F.expr(f"div(`chunks entry`, {CHUNKS * rows})"))
+
+    to = to_arrow_schema(StructType.fromDDL(_HEADS))
+
+    def heads(table: pa.Table) -> pa.Table:
+        at = table["chunks file"][0].as_py() * CHUNKS * rows
+        table = table.sort_by("chunks entry").drop_columns(["chunks entry", "chunks file"])
+        with File(_written(table, rows)) as f:
+            t = f.tree("tree")
+            total = lambda n, i: int(np.sum(t.basket(n, i).to_numpy())) if pa.types.is_integer(t.schema().field(n).type) else None
+            out = [(n, at + c.start, at + c.stop, c.uncompressed, c.compressed, c.items, total(n, i)) for n in t.keys() for i, c in enumerate(t.chunks([n]))]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), to, strict=True)], schema=to)
+
+    return numbered.groupBy("chunks file").applyInArrow(heads, _HEADS)
+
+
 def entry_folder(spark, d):
     return entries.read_with_entry(spark, _parted(spark, d)).select("entry", "o_orderkey")
 
@@ -88,18 +119,13 @@ def skim(spark, d):
 
 def chunk_sums(spark, d):
     """Sums over the chunks of a table's columns, from the heads of its stored chunks: three columns of 8 bytes, 500 rows a chunk, not compressed."""
-    own = _read(spark, d, "events").select("event_id", "user_id", "value").orderBy("event_id").toArrow()
-    with File(_written(own, 500)) as f:
-        return chunk_stats(spark, f.tree("tree").chunks())
+    return chunk_stats(spark, _chunks(spark, _read(spark, d, "events").select("event_id", "user_id", "value"), "event_id", 500))
 
 
 def basket_ranges(spark, d):
     """Every chunk of a column, with its entries and bytes."""
-    own = _read(spark, d, "customer").select("c_custkey").orderBy("c_custkey").toArrow()
-    with File(_written(own, 64)) as f:
-        t = f.tree("tree")
-        rows = [(i, *t.basket_range("c_custkey", i), t.basket_bytes("c_custkey", i)[0], int(np.sum(t.basket("c_custkey", i).to_numpy()))) for i in range(t.numbaskets("c_custkey"))]
-    return spark.createDataFrame(rows, "basket bigint, entry_start bigint, entry_stop bigint, bytes bigint, total bigint")
+    own = _chunks(spark, _read(spark, d, "customer").select("c_custkey"), "c_custkey", 64)
+    return own.select(F.expr("div(start, 64)").alias("basket"), F.col("start").alias("entry_start"), F.col("stop").alias("entry_stop"), F.col("uncompressed").alias("bytes"), "total")
 
 
 def basket_table(spark, d):
@@ -123,11 +149,10 @@ def clusters(spark, d):
 
 def mempartitions(spark, d):
     """Steps of about 4000 bytes over two columns of 8 bytes each."""
-    own = _read(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy("c_custkey").toArrow()
-    with File(_written(own, 100)) as f:
-        table = Table(spark.createDataFrame([], "entry bigint, c_custkey bigint, c_acctbal double"), chunks=f.tree("tree").chunks())
-        table._n = own.num_rows
-        return spark.createDataFrame(table.mempartitions(4000), "low bigint, high bigint")
+    own = _chunks(spark, _read(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey", 100)
+    table = Table(spark.createDataFrame([], "entry bigint, c_custkey bigint, c_acctbal double"), chunks=[steps.Chunk(*r) for r in own.drop("total").collect()])
+    table._n = max((c.stop for c in table.chunks()), default=0)
+    return spark.createDataFrame(table.mempartitions(4000), "low bigint, high bigint")
 
 
 def row_groups(spark, d):

@@ -186,10 +186,12 @@ def row_group_chunks(paths: list[str]) -> list[steps.Chunk]:
     return out
 
 
-def chunk_stats(spark: SparkSession, chunks: list[steps.Chunk]) -> DataFrame:
-    """Per branch: chunks, rows, items, bytes and their ratio (null without bytes)."""
-    rows = [(c.branch, c.start, c.stop, c.uncompressed, c.compressed, c.items) for c in chunks]
-    df = spark.createDataFrame(rows, "branch string, start bigint, stop bigint, uncompressed bigint, compressed bigint, items bigint")
+def chunk_stats(spark: SparkSession, chunks: list[steps.Chunk] | DataFrame) -> DataFrame:
+    """Per branch: chunks, rows, items, bytes and their ratio (null without bytes). chunks: a table of them stays with the executors."""
+    df = chunks
+    if not isinstance(chunks, DataFrame):
+        rows = [(c.branch, c.start, c.stop, c.uncompressed, c.compressed, c.items) for c in chunks]
+        df = spark.createDataFrame(rows, "branch string, start bigint, stop bigint, uncompressed bigint, compressed bigint, items bigint")
     return df.groupBy("branch").agg(
         F.count("*").alias("numbaskets"), F.sum(F.col("stop") - F.col("start")).alias("numentries"), F.sum("items").alias("numitems"),
         F.sum("uncompressed").alias("uncompressedbytes"), F.sum("compressed").alias("compressedbytes"),

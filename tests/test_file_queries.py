@@ -50,3 +50,15 @@ def test_pieces_of_a_task(spark, tmp_path, monkeypatch):
         assert len(parts) <= 3 and [b.num_rows for b in own.read(parts[0])][0] in (99, 100, 2000)
         got = pa.Table.from_batches(b for p in parts for b in own.read(p))
         assert got["x"].to_pylist() == got["entry"].to_pylist() == list(range(5000))
+
+
+def test_chunks_stay_with_executors(spark, tmp_path, monkeypatch):
+    """Tables of more rows than a file's, in no order, are cut as one file would be; their rows don't come to the driver."""
+    mixed = np.random.default_rng(1).permutation(1300)
+    pq.write_table(pa.table({"event_id": mixed, "user_id": mixed % 7, "value": mixed / 3}), tmp_path / "events.parquet")
+    pq.write_table(pa.table({"c_custkey": mixed, "c_acctbal": mixed / 7}), tmp_path / "customer.parquet")
+    monkeypatch.setattr(file_queries, "CHUNKS", 2)
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", None)
+    for name, table in (("chunk_sums", "events"), ("basket_ranges", "customer"), ("mempartitions", "customer")):
+        got, want = against_sql(spark, name, tmp_path, table)
+        assert got == want
